@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmask.llm import chat_format, media, mixing, packing, secrets, token_counts, toxicity
+from quillmask.llm import chat_format, jaccard_join, media, mixing, packing, secrets, token_counts, toxicity
 from quillmask.llm.common import table
 
 
@@ -42,6 +42,10 @@ def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(table(spark, sf_dir, "documents"))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar(table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer())
 
@@ -53,10 +57,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_secrets": op5_secrets,
     "op7_toxicity": op7_toxicity,
     "op8_media_columns": op8_media_columns,
+    "op9_jaccard_join": op9_jaccard_join,
     "op10_packing": op10_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_chat_format": chat_format.SQL,
     "op4_mixing": mixing.sql(),
+    "op9_jaccard_join": jaccard_join.SQL,
 }
