@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmask.llm import chat_format, embedding_dedup, jaccard_join, media, mixing, packing, secrets, token_counts, toxicity
+from quillmask.llm import chat_format, embedding_dedup, jaccard_join, media, mixing, packing, secrets, suffix_dedup, token_counts, toxicity
 from quillmask.llm.common import table
 
 
@@ -36,6 +36,10 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -60,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_embedding_dedup": op3_embedding_dedup,
     "op4_mixing": op4_mixing,
     "op5_secrets": op5_secrets,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_toxicity": op7_toxicity,
     "op8_media_columns": op8_media_columns,
     "op9_jaccard_join": op9_jaccard_join,
