@@ -193,8 +193,11 @@ def detect(df: DataFrame, text_col: str = "text", only: tuple[str, ...] | None =
 
 
 def rows(df: DataFrame, keys: list[str], column: str = "entities") -> DataFrame:
-    """One row per entity: keys, type, source, confidence, start, end, value, ord."""
-    return df.select(*keys, F.explode(column).alias("_e")).select(*keys, "_e.*")
+    """One row per entity: keys, type, source, confidence, start, end, value, ord; of two columns of one name the key stays."""
+    taken = {k.lower() for k in keys}
+    fields = [n for n in ("type", "source", "confidence", "start", "end", "value", "ord") if n not in taken]
+    held = free_name(df, "_e")
+    return df.select(*keys, F.explode(column).alias(held)).select(*keys, *(F.col(held)[n].alias(n) for n in fields))
 
 
 def safe_string(e: Column) -> Column:
