@@ -82,12 +82,12 @@ def route(hosts: DataFrame, providers: DataFrame, host_col: str = "host", fallba
     only while it is small (counted).
     """
     labels = F.split(clean_host(F.col(host_col)), "\\.")
-    parents = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
-    names = hosts.select(host_col).distinct()
+    parents = F.transform(F.sequence(F.lit(1), F.size("_l")), lambda k: F.array_join(F.slice("_l", k, F.size("_l")), "."))
+    names = hosts.select(F.col(host_col).alias("_h"), labels.alias("_l")).distinct()
     table = providers.select(F.lower("domain").alias("_d"), "provider")
     table = F.broadcast(table) if table.count() <= 100_000 else table
-    best = names.select(host_col, F.explode(parents).alias("_d")).join(table, "_d").groupBy(host_col).agg(F.max_by("provider", F.struct(F.length("_d"), "provider")).alias("provider"))
-    out = hosts.join(best, hosts[host_col].eqNullSafe(best[host_col]), "left").drop(best[host_col])
+    best = names.select("_h", F.explode(parents).alias("_d")).join(table, "_d").groupBy("_h").agg(F.max_by("provider", F.struct(F.length("_d"), "provider")).alias("provider"))
+    out = hosts.join(best, F.col(host_col).eqNullSafe(F.col("_h")), "left").drop("_h")
     return out.withColumn("action", F.when(F.col("provider").isNull(), "TUNNEL").otherwise("MITM")).withColumn("provider", F.coalesce("provider", F.lit(fallback)))
 
 
