@@ -2,7 +2,8 @@
 
 A byte goes if a string of `length` bytes covers it that also starts in a document of smaller id.
 
-1. Documents are dealt to blocks of a few megabytes by their ids.  In a block every window of `length` bytes has an
+1. Texts that equal one of a smaller id as a whole need no search.  The others are dealt to blocks of a megabyte or two by
+   their ids.  In a block every window of `length` bytes has an
    anchor, its k-gram of smallest hash; windows in a row with one anchor form a fragment.  Equal windows have equal
    anchors, at equal places.
 2. Blocks send their different anchor hashes to buckets, which answer with those that occur in two documents.
@@ -26,11 +27,13 @@ import hashlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillmask.llm.common import written
+
 LENGTH, GRAM, HOT = 50, 24, 512
-BLOCK_BYTES = 4_000_000
+BLOCK_BYTES = 1_500_000
 _LOW = (1 << 28) - 1
 #: bytes that are searched at once
-SEARCH = 2_000_000
+SEARCH = 600_000
 
 _KEPT: dict = {}
 
@@ -121,12 +124,33 @@ class _Block:
 
 
 
-def _anchors(pdf, length: int, gram: int, buckets: int):
+def _without(docs, copies):
+    """(a block's documents to search, those that repeat a whole text of smaller id); rows with null ids are in neither."""
+    docs = docs[docs.id.notna()]
+    known = {x for part in copies for x in part}
+    if not known:
+        return docs, docs.iloc[:0]
+    again = [(int(i), hashlib.md5(t).hexdigest()) in known for i, t in zip(docs.id, docs.text)]
+    return docs[[not a for a in again]], docs[again]
+
+
+def _named(copies):
+    return [[(int(c["id"]), c["key"]) for c in part] for part in copies if part is not None]
+
+
+def _short(anchor):
+    """Within its bucket an anchor is known by 32 bits: whether it is shared is a filter, so a chance equality costs only work."""
+    import numpy as np
+
+    return ((anchor >> np.uint64(29)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+
+
+def _anchors(docs, copies, length: int, gram: int, buckets: int):
     """Different anchors of a block by bucket, with how many different fragments each has (up to 255; 128 more: in two documents)."""
     import numpy as np
     import pandas as pd
 
-    pdf = pdf[pdf.id.notna()]
+    pdf, _ = _without(docs, _named(copies.gone))
     block = _Block(pdf.id.tolist(), pdf.text.tolist())
     hashes, anchor, first, last, document = block.fragments(length, gram)
     out = []
@@ -142,11 +166,11 @@ def _anchors(pdf, length: int, gram: int, buckets: int):
         bucket = anchor % np.uint64(buckets)
         order = np.argsort(bucket, kind="stable")
         cut = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
-        number = pdf.block.iloc[0]
+        number = docs.block.iloc[0]
         for b in range(buckets):
             part = order[cut[b] : cut[b + 1]]
             if len(part):
-                out.append((b, number, anchor[part].tobytes(), count[part].tobytes()))
+                out.append((b, number, _short(anchor[part]).tobytes(), count[part].tobytes()))
     return pd.DataFrame(out, columns=["bucket", "block", "hashes", "counts"])
 
 
@@ -156,10 +180,10 @@ def _shared(pdf, hot: int):
     import pandas as pd
 
     blocks, sizes = pdf.block.to_numpy(), np.array([len(c) for c in pdf.counts])
-    hashes, counts = np.frombuffer(b"".join(pdf.hashes), np.uint64), np.frombuffer(b"".join(pdf.counts), np.uint8)
+    hashes, counts = np.frombuffer(b"".join(pdf.hashes), np.uint32), np.frombuffer(b"".join(pdf.counts), np.uint8)
     origin = np.repeat(np.arange(len(blocks)), sizes)
     order = np.argsort(hashes, kind="stable")
-    at = np.flatnonzero(np.concatenate(([True], np.diff(hashes[order]) != 0)))
+    at = np.flatnonzero(np.concatenate(([True], hashes[order][1:] != hashes[order][:-1])))
     runs = np.diff(np.append(at, len(order)))
     good = (runs > 1) | (np.maximum.reduceat(counts[order], at) >= 128)
     many = np.add.reduceat((counts[order] & 127).astype(np.int64), at) > hot
@@ -170,8 +194,8 @@ def _shared(pdf, hot: int):
         own = (origin == k) if len(blocks) < 2 else slice(int(sizes[:k].sum()), int(sizes[: k + 1].sum()))
         chosen = mark[own] > 0
         if chosen.any():
-            out.append((blocks[k], hashes[own][chosen].tobytes(), mark[own][chosen].tobytes()))
-    return pd.DataFrame(out, columns=["block", "hashes", "marks"])
+            out.append((blocks[k], pdf.bucket.iloc[0], hashes[own][chosen].tobytes(), mark[own][chosen].tobytes()))
+    return pd.DataFrame(out, columns=["block", "bucket", "hashes", "marks"])
 
 
 def _candidates(docs, answers, length: int, gram: int, buckets: int):
@@ -180,16 +204,19 @@ def _candidates(docs, answers, length: int, gram: int, buckets: int):
     import pandas as pd
 
     columns = ["bucket", "block", "anchors", "ids", "sizes", "bytes", "owners", "starts", "ranges"]
-    docs = docs[docs.id.notna()]
+    docs, _ = _without(docs, _named(answers.gone))
+    answers = answers[answers.hashes.notna()]
     if not len(docs) or not len(answers):
         return pd.DataFrame([], columns=columns)
     block = _Block(docs.id.tolist(), docs.text.tolist())
     hashes, anchor, first, last, document = block.fragments(length, gram)
-    known, mark = np.frombuffer(b"".join(answers.hashes), np.uint64), np.frombuffer(b"".join(answers.marks), np.uint8)
+    known = np.concatenate([np.frombuffer(h, np.uint32).astype(np.uint64) | np.uint64(int(b) << 32) for b, h in zip(answers.bucket, answers.hashes)])
+    mark = np.frombuffer(b"".join(answers.marks), np.uint8)
     order = np.argsort(known)
     known, mark = known[order], mark[order]
-    at = np.minimum(np.searchsorted(known, anchor), len(known) - 1)
-    got = np.where(known[at] == anchor, mark[at], 0)
+    name = _short(anchor).astype(np.uint64) | (anchor % np.uint64(buckets)) << np.uint64(32)
+    at = np.minimum(np.searchsorted(known, name), len(known) - 1)
+    got = np.where(known[at] == name, mark[at], 0)
     keep = got > 0
     anchor, first, last, document, got = anchor[keep], first[keep], last[keep], document[keep], got[keep]
     # windows of hot anchors on their own
@@ -209,7 +236,7 @@ def _candidates(docs, answers, length: int, gram: int, buckets: int):
     group = np.cumsum(new) - 1
     lowest = owner == owner[at][group] if len(at) else np.zeros(0, bool)
     begin = first - block.begins[document] if len(first) else first
-    ranges = np.stack((document[~lowest], begin[~lowest], begin[~lowest] + (stop - first)[~lowest]), axis=1).astype(np.int64) if len(first) else np.zeros((0, 3), np.int64)
+    ranges = np.stack((document[~lowest], begin[~lowest], begin[~lowest] + (stop - first)[~lowest]), axis=1).astype(np.int32) if len(first) else np.zeros((0, 3), np.int32)
     number, out = docs.block.iloc[0], []
     out.append((int(number % buckets), number, b"", b"", b"", b"", b"", b"", ranges.tobytes()))
     bucket = (route[at] % np.uint64(buckets)).astype(np.int64)
@@ -224,9 +251,9 @@ def _candidates(docs, answers, length: int, gram: int, buckets: int):
         if len(part):
             lo, hi = first[at[part]].tolist(), stop[at[part]].tolist()
             where = np.concatenate([spots[spot_cut[g] : spot_cut[g + 1]] for g in part])
-            times = (spot_cut[part + 1] - spot_cut[part]).astype(np.int64)
-            flat = np.stack((document[where], begin[where]), axis=1).astype(np.int64)
-            out.append((b, number, route[at[part]].tobytes(), owner[at[part]].tobytes(), np.array([y - x for x, y in zip(lo, hi)], np.int64).tobytes(), b"".join(raw[x:y] for x, y in zip(lo, hi)), times.tobytes(), flat.tobytes(), b""))
+            times = (spot_cut[part + 1] - spot_cut[part]).astype(np.int32)
+            flat = np.stack((document[where], begin[where]), axis=1).astype(np.int32)
+            out.append((b, number, (route[at[part]] >> np.uint64(32)).astype(np.uint32).tobytes(), owner[at[part]].tobytes(), np.array([y - x for x, y in zip(lo, hi)], np.uint16).tobytes(), b"".join(raw[x:y] for x, y in zip(lo, hi)), times.tobytes(), flat.tobytes(), b""))
     return pd.DataFrame(out, columns=columns)
 
 
@@ -324,13 +351,13 @@ def _search(pdf, length: int):
     seen: dict = {}
     for r in pdf.itertuples():
         if r.ranges:
-            out.setdefault(r.block, []).append(np.frombuffer(r.ranges, np.int64).reshape(-1, 3))
+            out.setdefault(r.block, []).append(np.frombuffer(r.ranges, np.int32).reshape(-1, 3))
         if not r.ids:
             continue
-        sizes = np.frombuffer(r.sizes, np.int64).tolist()
-        cut = np.cumsum(np.frombuffer(r.owners, np.int64)).tolist()
-        spots, lo, at = np.frombuffer(r.starts, np.int64).reshape(-1, 2), 0, 0
-        for anchor, doc, n, stop in zip(np.frombuffer(r.anchors, np.uint64).tolist(), np.frombuffer(r.ids, np.int64).tolist(), sizes, cut):
+        sizes = np.frombuffer(r.sizes, np.uint16).tolist()
+        cut = np.cumsum(np.frombuffer(r.owners, np.int32), dtype=np.int64).tolist()
+        spots, lo, at = np.frombuffer(r.starts, np.int32).reshape(-1, 2), 0, 0
+        for anchor, doc, n, stop in zip(np.frombuffer(r.anchors, np.uint32).tolist(), np.frombuffer(r.ids, np.int64).tolist(), sizes, cut):
             seen.setdefault(anchor, {}).setdefault(r.bytes[lo : lo + n], []).append((doc, r.block, spots[at:stop]))
             lo, at = lo + n, stop
 
@@ -363,20 +390,21 @@ def _search(pdf, length: int):
             batch, size = [], 0
     if batch:
         search()
-    return pd.DataFrame([(b, np.concatenate(v).astype(np.int64).tobytes()) for b, v in out.items()], columns=["block", "ranges"])
+    return pd.DataFrame([(b, np.concatenate(v).astype(np.int32).tobytes()) for b, v in out.items()], columns=["block", "ranges"])
 
 
-def _results(docs, found, keep_text: bool):
+def _results(docs, found, length: int, keep_text: bool):
     """A row per text of a block."""
     import numpy as np
     import pandas as pd
 
     lost = docs[docs.id.isna()]
-    docs = docs[docs.id.notna()]
+    docs, again = _without(docs, _named(found.gone))
+    found = found[found.ranges.notna()]
     block = _Block(docs.id.tolist(), docs.text.tolist())
     change = np.zeros(len(block.data) + 1, np.int32)
     if len(found) and len(block.ids):
-        ranges = np.frombuffer(b"".join(found.ranges), np.int64).reshape(-1, 3)
+        ranges = np.frombuffer(b"".join(found.ranges), np.int32).reshape(-1, 3)
         base = block.begins[ranges[:, 0]]
         np.add.at(change, base + ranges[:, 1], 1)
         np.add.at(change, base + ranges[:, 2], -1)
@@ -388,6 +416,10 @@ def _results(docs, found, keep_text: bool):
         kept = block.data[lo:hi][~mask].tobytes() if removed else text
         spans = int(mask[0]) + int((mask[1:] & ~mask[:-1]).sum()) if removed else 0
         out.append((doc, len(text), removed, spans, hashlib.sha256(kept).hexdigest(), *([kept] if keep_text else [])))
+    nothing = hashlib.sha256(b"").hexdigest()
+    for doc, t in zip(again.id.tolist(), again.text.tolist()):
+        whole = len(t) >= length
+        out.append((doc, len(t), len(t) * whole, int(whole), nothing if whole else hashlib.sha256(t).hexdigest(), *([b"" if whole else t] if keep_text else [])))
     out += [(None, len(t), 0, 0, hashlib.sha256(t).hexdigest(), *([t] if keep_text else [])) for t in lost.text]
     frame = pd.DataFrame(out, columns=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: 5 + keep_text])
     frame["id"] = frame["id"].astype("Int64")
@@ -405,10 +437,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     blocks = max(8, -(-total // block_bytes))
     buckets = max(8, blocks // 4)
     rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("long"))
-    anchors = rows.groupBy("block").applyInPandas(lambda pdf: _anchors(pdf, length, gram, buckets), "bucket long, block long, hashes binary, counts binary")
-    answers = anchors.groupBy("bucket").applyInPandas(lambda pdf: _shared(pdf, hot), "block long, hashes binary, marks binary")
+    keyed = rows.where("id IS NOT NULL").select("block", "id", F.md5("text").alias("key"))
+    lowest = written(keyed.groupBy("key").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "low"), "lowest")
+    again = keyed.join(lowest, "key").where("id <> low").select("block", F.struct("id", "key").alias("c")).distinct()
+    copies = written(again.groupBy("block").agg(F.collect_list("c").alias("gone")), "copies")
+    none = lambda *names: [F.lit(None).cast("binary").alias(n) for n in names]
+    anchors = rows.groupBy("block").cogroup(copies.groupBy("block")).applyInPandas(lambda a, b: _anchors(a, b, length, gram, buckets), "bucket long, block long, hashes binary, counts binary")
+    answers = anchors.groupBy("bucket").applyInPandas(lambda pdf: _shared(pdf, hot), "block long, bucket long, hashes binary, marks binary")
+    answers = answers.select("block", "bucket", "hashes", "marks", F.lit(None).cast(copies.schema["gone"].dataType).alias("gone")).union(copies.select("block", F.lit(None).cast("long").alias("bucket"), *none("hashes", "marks"), "gone"))
     wanted = "bucket long, block long, anchors binary, ids binary, sizes binary, bytes binary, owners binary, starts binary, ranges binary"
     candidates = rows.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(lambda a, b: _candidates(a, b, length, gram, buckets), wanted)
     ranges = candidates.groupBy("bucket").applyInPandas(lambda pdf: _search(pdf, length), "block long, ranges binary")
-    out = rows.groupBy("block").cogroup(ranges.groupBy("block")).applyInPandas(lambda a, b: _results(a, b, keep_text), "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text)
+    ranges = ranges.select("block", "ranges", F.lit(None).cast(copies.schema["gone"].dataType).alias("gone")).union(copies.select("block", *none("ranges"), "gone"))
+    out = rows.groupBy("block").cogroup(ranges.groupBy("block")).applyInPandas(lambda a, b: _results(a, b, length, keep_text), "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text)
     return out.withColumnRenamed("id", id_col)
