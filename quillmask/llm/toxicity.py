@@ -150,12 +150,20 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     before, after = _sparse(got.x[got.label < 0].to_numpy()), _sparse(got.y[got.label < 0].to_numpy())
     m, k = len(y), max(1, (got.label < 0).sum())
     w, b, vw, vb = np.zeros(width), math.log(sizes[1] / sizes[0]), np.zeros(width), 0.0
+    # steps that the curvature allows, found by power iteration
+    v, bend = np.ones(width + 1), 1.0
+    for _ in range(20):
+        v /= np.linalg.norm(v)
+        line, move = _times(x, v[:-1], m) + v[-1], (_times(before, v[:-1], k) - _times(after, v[:-1], k)) / k
+        v = np.append(_back(x, line / (4 * m), width) + 2 * l2 * v[:-1] + 2 * swap * (_back(before, move, width) - _back(after, move, width)), line.mean() / 4)
+        bend = max(float(np.linalg.norm(v)), 1e-9)
+    step = 1 / bend
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-(_times(x, w, m) + b)))
+        p = 1 / (1 + np.exp(-np.clip(_times(x, w, m) + b, -50, 50)))
         change = (_times(before, w, k) - _times(after, w, k)) / k
         grad = _back(x, (p - y) / m, width) + 2 * l2 * w + 2 * swap * (_back(before, change, width) - _back(after, change, width))
         vw, vb = 0.9 * vw + grad, 0.9 * vb + (p - y).mean()
-        w, b = w - 0.5 * vw, b - 0.5 * vb
+        w, b = w - step * vw, b - step * vb
     return Model(model.vocabulary, w.tolist(), float(b))
 
 
