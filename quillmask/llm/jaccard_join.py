@@ -6,11 +6,13 @@
 3. Inverted lists are kept in blocks in order of set size.
 4. Lists longer than `common` are looked up only for dense texts, those whose prefix is full of common shingles: sets
    that link share l shingles of their prefixes lengthened by l - 1, so a text with fewer than l common ones in it
-   finds every partner in a short list.
-5. Answers of similar sets: first every set is compared with the first set of its lists, the smallest.  Sets that link
-   with it have its component as their answer; sets of one component are not compared again.  What is left are
-   pairs in one list whose components differ; blocks whose sizes cannot link are skipped, and the pairs left are
-   compared too.  Every link between different texts is thus checked or implied by links that were.
+   finds every partner in a short list.  Dense texts are looked up among themselves by prefixes in another order, common
+   shingles last, so that they meet in long lists only where most of their shingles are common.
+5. Answers of similar sets: first sets are compared with the first set of their lists, the smallest, if they meet in
+   several.  Sets that link with it have its component as their answer; sets of one component are not compared again.
+   What is left are pairs in one list whose components differ; blocks whose sizes cannot link are skipped, pairs that
+   share too few prefix shingles too, and the others are compared.  Every link between different texts is thus checked
+   or implied by links that were.
 
 Lower-casing is A-Z only; words are runs of other characters than ASCII white space; a text with fewer than `width`
 words is one shingle; a text without words, or null, has none and links with nothing.  Shingles are 64-bit hashes.
@@ -36,7 +38,7 @@ SENT = 1_000_000
 
 def slack(n):
     """By how much a prefix is lengthened."""
-    return n // 20 + 4
+    return n // 12 + 8
 
 
 def prefix(n, percent: int = PERCENT):
@@ -117,8 +119,8 @@ def _steps(n: int):
     return _POWERS["up"], _POWERS["down"]
 
 
-def _sets(batches, width: int, percent: int, whole: bool):
-    """id, key, n and the lengthened prefix (or the whole set) as signed hashes in order."""
+def _sets(batches, width: int, percent: int, part: str):
+    """id, key, n and the lengthened prefix ("prefix"), the whole set ("all") or nothing ("none") as signed hashes in order."""
     import numpy as np
     import pyarrow as pa
 
@@ -131,7 +133,9 @@ def _sets(batches, width: int, percent: int, whole: bool):
                 hi += 1
             flat, sizes = shingle_sets(texts[lo:hi], width)
             lengths = sizes
-            if not whole:
+            if part == "none":
+                lengths, flat = np.zeros_like(sizes), flat[:0]
+            elif part == "prefix":
                 lengths = np.where(sizes > 0, np.minimum(sizes, prefix(sizes, percent) + slack(sizes)), 0)
                 place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
                 flat = flat[place < np.repeat(lengths, sizes)]
@@ -227,55 +231,75 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
 
     # inverted lists over lengthened prefixes
     schema = "id long, key string, n int, items array<long>"
-    first = written(own.mapInArrow(partial(_sets, width=width, percent=percent, whole=False), schema), "prefixes")
-    postings = first.where("id IS NOT NULL").select("id", "n", F.posexplode("items").alias("place", "item"))
+    postings = own.where("id IS NOT NULL").mapInArrow(partial(_sets, width=width, percent=percent, part="prefix"), schema)
+    postings = postings.select("id", "n", F.posexplode("items").alias("place", "item"))
     postings = postings.select("item", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("place")).alias("at"), "id")
     ordered = postings.repartition("item").sortWithinPartitions("item", "at", "id")
     lists = written(ordered.mapInArrow(partial(_lists, block=block), "item long, block int, lead long, members array<struct<id:long,n:int,place:int>>"), "lists")
     long_list = (F.size("members") > common) | (F.col("block") > 0)
     member = lambda df: df.select("item", "block", "lead", F.explode("members").alias("m")).select("item", "block", "lead", "m.*")
-    short = member(lists.where(~long_list)).select("item", "block", "id", "n", "lead")
+    short = member(lists.where(~long_list)).select("item", "block", "id", "n", "lead", F.lit(False).alias("long"))
 
     # long lists: dense texts only
-    need = F.expr(f"n - CAST((n * {percent} + 99) DIV 100 AS INT) + 1")
     in_long = member(lists.where(long_list))
-    dense = in_long.groupBy("id", "n").agg(F.sort_array(F.collect_list("place")).alias("q")).withColumn("p", need)
-    escapes = F.exists(F.sequence(F.lit(1), F.expr("CAST(n DIV 20 AS INT) + 5")), lambda k: (k > F.size("q")) | (F.get("q", k - 1) >= F.col("p") + k - 1))
-    dense = written(dense.where(~escapes).select("id", "n"), "dense")
-    active = in_long.where(F.col("place") < need).join(dense, ["id", "n"], "left_semi").select("item", "block", "id", "n")
-    lead = active.groupBy("item").agg(F.min(F.struct("n", "id")).alias("f")).select("item", F.col("f.id").alias("lead"))
-    active = written(active.join(lead, "item").select("item", "block", "id", "n", "lead"), "active")
-
-    # every set against the first of its lists
+    least = F.expr(f"CAST((n * {percent} + 99) DIV 100 AS INT)")  # elements that partners share
+    escapes = F.exists(F.sequence(F.lit(1), F.least(F.expr("CAST(n DIV 12 AS INT) + 9"), least)), lambda k: (k > F.size("q")) | (F.get("q", k - 1) >= F.col("n") - least + k))
+    frequent = in_long.groupBy("id", "n").agg(F.sort_array(F.collect_list("place")).alias("q"))
+    frequent = written(frequent.select("id", "n", F.size("q").alias("often"), (~escapes).alias("dense")), "frequent")
+    # dense texts among themselves: prefixes in another order, in which shingles of long lists come last
+    common_items = written(in_long.select("item").distinct(), "common")
+    whole = _chosen(own, frequent.where("dense").select("id"), ["id"], "left_semi").mapInArrow(partial(_sets, width=width, percent=percent, part="all"), schema)
+    flagged = F.broadcast(common_items) if common_items.count() <= SENT else common_items
+    marked = whole.select("id", "key", "n", F.explode("items").alias("item")).join(flagged.withColumn("last", F.lit(1)), "item", "left")
+    turned = marked.groupBy("id", "key", "n").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("last", F.lit(0)).alias("last"), "item"))).alias("s"))
+    own_prefix = written(turned.select("id", "n", F.explode(F.slice("s", F.lit(1), F.col("n") - least + 1)).alias("e")).select(F.col("e.item").alias("item"), "id", "n"), "turned")
+    lead = own_prefix.groupBy("item").agg(F.min(F.struct("n", "id")).alias("f"), F.count(F.lit(1)).alias("k")).where("k > 1").select("item", F.col("f.id").alias("lead"), "k")
+    active = own_prefix.join(lead, "item").select("item", F.pmod(F.xxhash64("id"), F.ceil(F.col("k") / block)).cast("int").alias("block"), "id", "n", "lead", F.lit(True).alias("long"))
+    active = written(active, "active")
     members = short.union(active)
-    needed = written(members.select("id").distinct(), "needed")
-    sets = written(_chosen(own, needed, ["id"], "left_semi").mapInArrow(partial(_sets, width=width, percent=percent, whole=True), schema), "sets").select("id", "n", "items")
-    stars = written(members.where("id <> lead").select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct(), "stars")
-    links = written(_verified(stars, sets, percent), "links")
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        """The pairs that link; whole sets are made for their texts only."""
+        nodes = written(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "nodes")
+        sets = written(_chosen(own, nodes, ["id"], "left_semi").mapInArrow(partial(_sets, width=width, percent=percent, part="all"), schema).select("id", "n", "items"), "sets")
+        return written(_verified(pairs, sets, percent), "links")
+
+    # every set against the first of its lists, where they meet in several: what this misses is found below
+    stars = members.where("id <> lead").groupBy(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).agg(F.count(F.lit(1)).alias("met"), F.max("n").alias("n"))
+    stars = written(stars.where(F.col("met") * 80 >= F.col("n")).select("a", "b"), "stars")
+    links = checked(stars)
     known = written(components(links), "known")
 
     # what is left: pairs in one list with different components
-    placed = members.join(known.withColumnRenamed("node", "id"), "id", "left").select("item", "block", "id", "n", F.coalesce("component", "id").alias("c"))
-    placed = written(placed, "placed")
-    mixed = placed.groupBy("item").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("item")
-    blocks = placed.join(mixed, "item", "left_semi").groupBy("item", "block").agg(F.collect_list(F.struct("n", "id", "c")).alias("all"), F.min("n").alias("lo"), F.max("n").alias("hi"))
-    blocks = written(blocks, "blocks")
-    other = blocks.select("item", F.col("block").alias("block2"), F.col("all").alias("all2"), F.col("lo").alias("lo2"))
-    met = blocks.join(other, "item").where((F.col("block") <= F.col("block2")) & (F.col("lo2") * percent <= F.col("hi") * 100))
+    placed = members.join(known.withColumnRenamed("node", "id"), "id", "left").join(frequent.groupBy("id").agg(F.max("often").alias("often")), "id", "left")
+    placed = written(placed.select("item", "block", "long", "id", "n", F.coalesce("component", "id").alias("c"), F.coalesce("often", F.lit(0)).alias("often")), "placed")
+    # in each list the members outside its largest component against all others
+    parts = placed.groupBy("item", "c").agg(F.count(F.lit(1)).alias("k")).groupBy("item").agg(F.count(F.lit(1)).alias("parts"), F.max_by("c", F.struct("k", "c")).alias("main")).where("parts > 1")
+    blocks = placed.join(parts.select("item", "main"), "item").groupBy("item", "block", "long", "main").agg(F.collect_list(F.struct("n", "id", "c", "often")).alias("all"), F.min("n").alias("lo"), F.max("n").alias("hi"))
+    blocks = written(blocks.withColumn("odd", F.filter("all", lambda x: x["c"] != F.col("main"))), "blocks")
+    alone = blocks.where("NOT long AND size(odd) > 0").withColumn("all2", F.col("all"))
+    other = blocks.where("long").select("item", F.col("all").alias("all2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+    met = blocks.where("long AND size(odd) > 0").join(other, "item").where((F.col("lo2") * percent <= F.col("hi") * 100) & (F.col("lo") * percent <= F.col("hi2") * 100))
+    met = alone.select("long", "main", "odd", "all2").union(met.select("long", "main", "odd", "all2"))
 
     def partners(x):
-        fits = lambda y: (x["c"] != y["c"]) & (F.least(x["n"], y["n"]) * 100 >= F.greatest(x["n"], y["n"]) * percent)
-        return F.transform(F.filter("all2", fits), lambda y: F.struct(F.least(x["id"], y["id"]).alias("a"), F.greatest(x["id"], y["id"]).alias("b")))
+        once = lambda y: (y["c"] == F.col("main")) | (x["id"] < y["id"])
+        fits = lambda y: (x["c"] != y["c"]) & once(y) & (F.least(x["n"], y["n"]) * 100 >= F.greatest(x["n"], y["n"]) * percent)
+        # sets that link share this many of their lengthened prefixes, the ones in long lists not counted
+        low, high = (lambda y: F.least(x["n"], y["n"])), (lambda y: F.greatest(x["n"], y["n"]))
+        need = lambda y: F.least((low(y) / 12).cast("int") + 9, ((high(y) * percent + 99) / 100).cast("int")) - F.least(x["often"], y["often"])
+        return F.transform(F.filter("all2", fits), lambda y: F.struct(F.least(x["id"], y["id"]).alias("a"), F.greatest(x["id"], y["id"]).alias("b"), need(y).alias("need")))
 
-    pairs = met.select(F.explode(F.array_distinct(F.flatten(F.transform("all", partners)))).alias("p")).select("p.a", "p.b").distinct()
-    rest = written(_verified(written(pairs.join(stars, ["a", "b"], "left_anti"), "pairs"), sets, percent), "rest")
-    final = components(links.union(rest))
+    pairs = met.select("long", F.explode(F.array_distinct(F.flatten(F.transform("odd", partners)))).alias("p")).groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("met"), F.max("long").alias("long"), F.min("p.need").alias("need"))
+    pairs = pairs.where(F.col("long") | (F.col("met") >= F.col("need"))).select("a", "b").join(stars, ["a", "b"], "left_anti")
+    final = components(links.union(checked(written(pairs, "pairs"))))
 
     # back to all rows
-    by_key = classes.join(first.select("key", F.col("n").cast("long").alias("n")).distinct(), "key").join(final, F.col("rep") == F.col("node"), "left")
+    sizes = own.mapInArrow(partial(_sets, width=width, percent=percent, part="none"), schema).select("key", F.col("n").cast("long").alias("n")).distinct()
+    by_key = classes.join(sizes, "key").join(final, F.col("rep") == F.col("node"), "left")
     by_key = written(by_key.select("key", "n", F.coalesce("component", "rep").alias("component")), "by_key")
     out = named.join(by_key, "key")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.col("component")).alias("component_id"))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("id")).when(F.col("id").isNotNull(), F.col("component")).alias("component_id"))
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -287,7 +311,8 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 SQL = r"""
-WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS words FROM documents),
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+') AS words FROM documents),
 s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) = 0 THEN []::VARCHAR[] WHEN len(words) < 5 THEN [array_to_string(words, ' ')] ELSE list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' ')) END) AS shingle FROM w),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
