@@ -207,6 +207,57 @@ def _list_schema():
 _LIST = _list_schema()
 
 
+def _ragged(column):
+    """(offsets of the lists, their members' fields)."""
+    import numpy as np
+
+    members = column.flatten()
+    offsets = np.concatenate(([0], np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))))
+    return offsets, {f.name: members.field(k).to_numpy(zero_copy_only=False) for k, f in enumerate(members.type)}
+
+
+def _pairs(batches, percent: int, at_once: int = 1_000_000):
+    """Pairs of one member of "odd" and one of "all2" that sizes, places and components leave, counted within a batch.
+
+    `place` bounds what two sets share: as many elements before the common one as the nearer has, and as many after it.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    for batch in batches:
+        long, main = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
+        (xo, x), (yo, y) = _ragged(batch.column(2)), _ragged(batch.column(3))
+        wide = np.diff(yo)
+        work = np.concatenate(([0], np.cumsum(np.diff(xo) * wide)))
+        lo = 0
+        while lo < len(long):
+            hi = max(lo + 1, int(np.searchsorted(work, work[lo] + at_once, "right")) - 1)
+            row = np.repeat(np.arange(lo, hi), np.diff(work[lo : hi + 1]))
+            at = np.arange(work[lo], work[hi]) - work[row]
+            i, j = xo[row] + at // wide[row], yo[row] + at % wide[row]
+            lo = hi
+            keep = (x["c"][i] != y["c"][j]) & ((y["c"][j] == main[row]) | (x["id"][i] < y["id"][j]))
+            keep &= np.minimum(x["n"][i], y["n"][j]) * 100 >= np.maximum(x["n"][i], y["n"][j]) * percent
+            i, j, row = i[keep], j[keep], row[keep]
+            (nx, ny), (px, py) = (d["n"].astype(np.int64)[k] for d, k in ((x, i), (y, j))), (d["place"].astype(np.int64)[k] for d, k in ((x, i), (y, j)))
+            shared = np.minimum(px, py) + np.minimum(nx - px, ny - py)
+            keep = shared * (100 + percent) >= percent * (nx + ny)
+            i, j, row, nx, ny = i[keep], j[keep], row[keep], nx[keep], ny[keep]
+            if not len(i):
+                continue
+            # sets that link share this many of their lengthened prefixes, the ones in long lists not counted
+            low, high = np.minimum(nx, ny), np.maximum(nx, ny)
+            need = np.minimum(low // 12 + 9, (high * percent + 99) // 100) - np.minimum(x["often"][i], y["often"][j])
+            a, b = np.minimum(x["id"][i], y["id"][j]), np.maximum(x["id"][i], y["id"][j])
+            order = np.lexsort((b, a))
+            a, b = a[order], b[order]
+            new = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
+            counts = np.diff(np.append(new, len(a)))
+            columns = [a[new], b[new], counts, np.maximum.reduceat(long[row][order], new), np.minimum.reduceat(need[order], new)]
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array(c).cast(t) for c, t in zip(columns, types)], ["a", "b", "met", "long", "need"])
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that link."""
     left = sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("items").alias("ia"))
@@ -238,7 +289,7 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     lists = written(ordered.mapInArrow(partial(_lists, block=block), "item long, block int, lead long, members array<struct<id:long,n:int,place:int>>"), "lists")
     long_list = (F.size("members") > common) | (F.col("block") > 0)
     member = lambda df: df.select("item", "block", "lead", F.explode("members").alias("m")).select("item", "block", "lead", "m.*")
-    short = member(lists.where(~long_list)).select("item", "block", "id", "n", "lead", F.lit(False).alias("long"))
+    short = member(lists.where(~long_list)).select("item", "block", "id", "n", "place", "lead", F.lit(False).alias("long"))
 
     # long lists: dense texts only
     in_long = member(lists.where(long_list))
@@ -252,9 +303,14 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     flagged = F.broadcast(common_items) if common_items.count() <= SENT else common_items
     marked = whole.select("id", "key", "n", F.explode("items").alias("item")).join(flagged.withColumn("last", F.lit(1)), "item", "left")
     turned = marked.groupBy("id", "key", "n").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("last", F.lit(0)).alias("last"), "item"))).alias("s"))
-    own_prefix = written(turned.select("id", "n", F.explode(F.slice("s", F.lit(1), F.col("n") - least + 1)).alias("e")).select(F.col("e.item").alias("item"), "id", "n"), "turned")
-    lead = own_prefix.groupBy("item").agg(F.min(F.struct("n", "id")).alias("f"), F.count(F.lit(1)).alias("k")).where("k > 1").select("item", F.col("f.id").alias("lead"), "k")
-    active = own_prefix.join(lead, "item").select("item", F.pmod(F.xxhash64("id"), F.ceil(F.col("k") / block)).cast("int").alias("block"), "id", "n", "lead", F.lit(True).alias("long"))
+    own_prefix = turned.select("id", "n", F.posexplode(F.slice("s", F.lit(1), F.col("n") - least + 1)).alias("place", "e"))
+    own_prefix = written(own_prefix.select(F.col("e.item").alias("item"), "id", "n", "place"), "turned")
+    # blocks hold sets of nearly one size: the k-th e-fold tenth of sizes, by parts of about `block` sets
+    band = F.floor(F.log("n") * 10).cast("int")
+    lead = own_prefix.groupBy("item").agg(F.min(F.struct("n", "id")).alias("f"), F.count(F.lit(1)).alias("k")).where("k > 1").select("item", F.col("f.id").alias("lead"))
+    in_band = own_prefix.groupBy("item", band.alias("band")).agg(F.count(F.lit(1)).alias("k")).join(lead, "item")
+    active = own_prefix.withColumn("band", band).join(in_band, ["item", "band"])
+    active = active.select("item", (F.col("band") * 1_000_000 + F.pmod(F.xxhash64("id"), F.ceil(F.col("k") / block))).cast("int").alias("block"), "id", "n", "place", "lead", F.lit(True).alias("long"))
     active = written(active, "active")
     members = short.union(active)
 
@@ -272,25 +328,18 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
 
     # what is left: pairs in one list with different components
     placed = members.join(known.withColumnRenamed("node", "id"), "id", "left").join(frequent.groupBy("id").agg(F.max("often").alias("often")), "id", "left")
-    placed = written(placed.select("item", "block", "long", "id", "n", F.coalesce("component", "id").alias("c"), F.coalesce("often", F.lit(0)).alias("often")), "placed")
+    placed = written(placed.select("item", "block", "long", "id", "n", "place", F.coalesce("component", "id").alias("c"), F.coalesce("often", F.lit(0)).alias("often")), "placed")
     # in each list the members outside its largest component against all others
     parts = placed.groupBy("item", "c").agg(F.count(F.lit(1)).alias("k")).groupBy("item").agg(F.count(F.lit(1)).alias("parts"), F.max_by("c", F.struct("k", "c")).alias("main")).where("parts > 1")
-    blocks = placed.join(parts.select("item", "main"), "item").groupBy("item", "block", "long", "main").agg(F.collect_list(F.struct("n", "id", "c", "often")).alias("all"), F.min("n").alias("lo"), F.max("n").alias("hi"))
+    blocks = placed.join(parts.select("item", "main"), "item").groupBy("item", "block", "long", "main").agg(F.collect_list(F.struct("n", "id", "c", "often", "place")).alias("all"), F.min("n").alias("lo"), F.max("n").alias("hi"))
     blocks = written(blocks.withColumn("odd", F.filter("all", lambda x: x["c"] != F.col("main"))), "blocks")
     alone = blocks.where("NOT long AND size(odd) > 0").withColumn("all2", F.col("all"))
     other = blocks.where("long").select("item", F.col("all").alias("all2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
     met = blocks.where("long AND size(odd) > 0").join(other, "item").where((F.col("lo2") * percent <= F.col("hi") * 100) & (F.col("lo") * percent <= F.col("hi2") * 100))
     met = alone.select("long", "main", "odd", "all2").union(met.select("long", "main", "odd", "all2"))
 
-    def partners(x):
-        once = lambda y: (y["c"] == F.col("main")) | (x["id"] < y["id"])
-        fits = lambda y: (x["c"] != y["c"]) & once(y) & (F.least(x["n"], y["n"]) * 100 >= F.greatest(x["n"], y["n"]) * percent)
-        # sets that link share this many of their lengthened prefixes, the ones in long lists not counted
-        low, high = (lambda y: F.least(x["n"], y["n"])), (lambda y: F.greatest(x["n"], y["n"]))
-        need = lambda y: F.least((low(y) / 12).cast("int") + 9, ((high(y) * percent + 99) / 100).cast("int")) - F.least(x["often"], y["often"])
-        return F.transform(F.filter("all2", fits), lambda y: F.struct(F.least(x["id"], y["id"]).alias("a"), F.greatest(x["id"], y["id"]).alias("b"), need(y).alias("need")))
-
-    pairs = met.select("long", F.explode(F.array_distinct(F.flatten(F.transform("odd", partners)))).alias("p")).groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("met"), F.max("long").alias("long"), F.min("p.need").alias("need"))
+    shape = "a long, b long, met long, long boolean, need int"
+    pairs = met.mapInArrow(partial(_pairs, percent=percent), shape).groupBy("a", "b").agg(F.sum("met").alias("met"), F.max("long").alias("long"), F.min("need").alias("need"))
     pairs = pairs.where(F.col("long") | (F.col("met") >= F.col("need"))).select("a", "b").join(stars, ["a", "b"], "left_anti")
     final = components(links.union(checked(written(pairs, "pairs"))))
 
