@@ -27,11 +27,15 @@ from functools import partial
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmask.llm.common import written
+from quillmask.llm import common as shared
 from quillmask.llm.graph import components
 
 WIDTH, PERCENT = 5, 75
 COMMON, BLOCK = 32, 256
+#: bytes of text that are hashed at once, rows sent to Python at once
+SLICE, ROWS = 500_000, 1_000
+#: parities kept of a dense text's set
+BITS = 512
 #: ids that are sent to all tasks at most (8 MB); beyond it they are joined
 SENT = 1_000_000
 
@@ -59,13 +63,18 @@ def shingle_sets(texts: list[str], width: int = WIDTH):
     owner_end = np.flatnonzero(raw == 10)  # one at each text's end
     if not len(word):
         return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
-    mixed = _mixed(lower)
     step = np.uint64(0x9E3779B97F4A7C15)
-    up, down = _steps(len(raw))
-    edge = np.empty(2 * len(word), np.int64)
-    edge[::2], edge[1::2] = word, stop
-    sums = np.add.reduceat(mixed * up[: len(raw)], np.minimum(edge, len(raw) - 1))[::2] * down[word]
-    each = _scramble(sums ^ (stop - word).astype(np.uint64) * step)
+    each = np.empty(len(word), np.uint64)
+    lo = 0
+    while lo < len(word):  # words of at most SLICE bytes, or a longer one, at once
+        hi = max(lo + 1, int(np.searchsorted(stop, word[lo] + SLICE, "right")))
+        start, size = word[lo], int(stop[hi - 1] - word[lo])
+        up, down = _steps(size + 1)
+        terms = np.append(_mixed(lower[start : start + size]) * up[:size], np.uint64(0))
+        edge = np.stack((word[lo:hi], stop[lo:hi]), 1).ravel() - start
+        sums = np.add.reduceat(terms, edge)[::2] * down[edge[::2]]
+        each[lo:hi] = _scramble(sums ^ (stop[lo:hi] - word[lo:hi]).astype(np.uint64) * step)
+        lo = hi
     owner = np.searchsorted(owner_end, word)
     n_words = np.bincount(owner, minlength=len(texts))
     first = np.cumsum(n_words) - n_words
@@ -120,7 +129,10 @@ def _steps(n: int):
 
 
 def _sets(batches, width: int, percent: int, part: str):
-    """id, key, n and the lengthened prefix ("prefix"), the whole set ("all") or nothing ("none") as signed hashes in order."""
+    """id, key, n and, as signed hashes in order, the lengthened prefix ("prefix"), the whole set ("all") or nothing ("none").
+
+    "parities": BITS bits, each the parity of the elements whose hash falls on it.
+    """
     import numpy as np
     import pyarrow as pa
 
@@ -128,13 +140,17 @@ def _sets(batches, width: int, percent: int, part: str):
         lo, texts = 0, [t or "" for t in batch.column(2).to_pylist()]
         while lo < len(texts):
             hi, chars = lo, 0
-            while hi < len(texts) and (hi == lo or chars + len(texts[hi]) <= 2_000_000):
+            while hi < len(texts) and (hi == lo or chars + len(texts[hi]) <= SLICE):
                 chars += len(texts[hi])
                 hi += 1
             flat, sizes = shingle_sets(texts[lo:hi], width)
             lengths = sizes
             if part == "none":
                 lengths, flat = np.zeros_like(sizes), flat[:0]
+            elif part == "parities":
+                owner = np.repeat(np.arange(hi - lo), sizes)
+                bits = np.bincount(owner * BITS + (flat & np.uint64(BITS - 1)).astype(np.int64), minlength=(hi - lo) * BITS) & 1
+                lengths, flat = np.full_like(sizes, BITS // 64), np.packbits(bits.astype(np.uint8)).view(np.uint64)
             elif part == "prefix":
                 lengths = np.where(sizes > 0, np.minimum(sizes, prefix(sizes, percent) + slack(sizes)), 0)
                 place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
@@ -213,7 +229,9 @@ def _ragged(column):
 
     members = column.flatten()
     offsets = np.concatenate(([0], np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))))
-    return offsets, {f.name: members.field(k).to_numpy(zero_copy_only=False) for k, f in enumerate(members.type)}
+    fields = {f.name: members.field(k) for k, f in enumerate(members.type)}
+    lists = {k: f.flatten().to_numpy(zero_copy_only=False).reshape(len(f), -1) for k, f in fields.items() if k == "parities" and len(f)}
+    return offsets, lists | {k: f.to_numpy(zero_copy_only=False) for k, f in fields.items() if k != "parities"}
 
 
 def _pairs(batches, percent: int, at_once: int = 1_000_000):
@@ -225,12 +243,12 @@ def _pairs(batches, percent: int, at_once: int = 1_000_000):
     import pyarrow as pa
 
     for batch in batches:
-        long, main = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
-        (xo, x), (yo, y) = _ragged(batch.column(2)), _ragged(batch.column(3))
+        main = batch.column(0).to_numpy(zero_copy_only=False)
+        (xo, x), (yo, y) = _ragged(batch.column(1)), _ragged(batch.column(2))
         wide = np.diff(yo)
         work = np.concatenate(([0], np.cumsum(np.diff(xo) * wide)))
         lo = 0
-        while lo < len(long):
+        while lo < len(main):
             hi = max(lo + 1, int(np.searchsorted(work, work[lo] + at_once, "right")) - 1)
             row = np.repeat(np.arange(lo, hi), np.diff(work[lo : hi + 1]))
             at = np.arange(work[lo], work[hi]) - work[row]
@@ -242,7 +260,7 @@ def _pairs(batches, percent: int, at_once: int = 1_000_000):
             (nx, ny), (px, py) = (d["n"].astype(np.int64)[k] for d, k in ((x, i), (y, j))), (d["place"].astype(np.int64)[k] for d, k in ((x, i), (y, j)))
             shared = np.minimum(px, py) + np.minimum(nx - px, ny - py)
             keep = shared * (100 + percent) >= percent * (nx + ny)
-            i, j, row, nx, ny = i[keep], j[keep], row[keep], nx[keep], ny[keep]
+            i, j, nx, ny = i[keep], j[keep], nx[keep], ny[keep]
             if not len(i):
                 continue
             # sets that link share this many of their lengthened prefixes, the ones in long lists not counted
@@ -253,9 +271,43 @@ def _pairs(batches, percent: int, at_once: int = 1_000_000):
             a, b = a[order], b[order]
             new = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
             counts = np.diff(np.append(new, len(a)))
-            columns = [a[new], b[new], counts, np.maximum.reduceat(long[row][order], new), np.minimum.reduceat(need[order], new)]
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(c).cast(t) for c, t in zip(columns, types)], ["a", "b", "met", "long", "need"])
+            columns = [a[new], b[new], counts, np.minimum.reduceat(need[order], new)]
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array(c).cast(t) for c, t in zip(columns, types)], ["a", "b", "met", "need"])
+
+
+def _long_pairs(batches, percent: int):
+    """Pairs of one member of "odd" and one of "all2" of which sizes, places, parities and components leave that they may link.
+
+    Two sets differ in as many elements at least as in parities.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    for batch in batches:
+        main = batch.column(0).to_numpy(zero_copy_only=False)
+        (xo, x), (yo, y) = _ragged(batch.column(1)), _ragged(batch.column(2))
+        found = [np.zeros((0, 2), np.int64)]
+        for r in range(len(main)):
+            u, v = {k: f[xo[r] : xo[r + 1]][:, None] for k, f in x.items()}, {k: f[yo[r] : yo[r + 1]][None, :] for k, f in y.items()}
+            both = u["n"].astype(np.int64) + v["n"]
+            share = -(-percent * both // (100 + percent))  # elements that sets which link share
+            keep = (u["c"] != v["c"]) & ((v["c"] == main[r]) | (u["id"] < v["id"])) & (np.minimum(u["n"], v["n"]) >= share)
+            keep &= np.minimum(u["place"], v["place"]) + np.minimum(u["n"] - u["place"], v["n"] - v["place"]) >= share
+            if not keep.any():
+                continue
+            differ = np.zeros(keep.shape, np.int64)
+            for k in range(BITS // 64):
+                differ += np.bitwise_count(u["parities"][..., k] ^ v["parities"][..., k])
+            i, j = np.nonzero(keep & (differ <= both - 2 * share))
+            a, b = x["id"][xo[r] + i], y["id"][yo[r] + j]
+            found.append(np.stack((np.minimum(a, b), np.maximum(a, b)), 1))
+        out = np.unique(np.concatenate(found), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], ["a", "b"])
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    return shared.written(df, name, ROWS)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -299,15 +351,17 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     frequent = written(frequent.select("id", "n", F.size("q").alias("often"), (~escapes).alias("dense")), "frequent")
     # dense texts among themselves: prefixes in another order, in which shingles of long lists come last
     common_items = written(in_long.select("item").distinct(), "common")
-    whole = _chosen(own, frequent.where("dense").select("id"), ["id"], "left_semi").mapInArrow(partial(_sets, width=width, percent=percent, part="all"), schema)
+    dense = _chosen(own, frequent.where("dense").select("id"), ["id"], "left_semi")
+    whole = dense.mapInArrow(partial(_sets, width=width, percent=percent, part="all"), schema)
     flagged = F.broadcast(common_items) if common_items.count() <= SENT else common_items
     marked = whole.select("id", "key", "n", F.explode("items").alias("item")).join(flagged.withColumn("last", F.lit(1)), "item", "left")
-    turned = marked.groupBy("id", "key", "n").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("last", F.lit(0)).alias("last"), "item"))).alias("s"))
-    own_prefix = turned.select("id", "n", F.posexplode(F.slice("s", F.lit(1), F.col("n") - least + 1)).alias("place", "e"))
-    own_prefix = written(own_prefix.select(F.col("e.item").alias("item"), "id", "n", "place"), "turned")
+    turned = marked.groupBy("id", "key", "n").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("last", F.lit(0)).alias("last"), "item"))).alias("s"), F.count("last").alias("commons"))
+    own_prefix = turned.select("id", "n", (F.col("commons") / F.col("n")).alias("share"), F.posexplode(F.slice("s", F.lit(1), F.col("n") - least + 1)).alias("place", "e"))
+    own_prefix = written(own_prefix.select(F.col("e.item").alias("item"), "id", "n", "place", "share"), "turned")
     # blocks hold sets of nearly one size: the k-th e-fold tenth of sizes, by parts of about `block` sets
     band = F.floor(F.log("n") * 10).cast("int")
-    lead = own_prefix.groupBy("item").agg(F.min(F.struct("n", "id")).alias("f"), F.count(F.lit(1)).alias("k")).where("k > 1").select("item", F.col("f.id").alias("lead"))
+    # a list's leader is the text with most of its shingles common, the one that others vary
+    lead = own_prefix.groupBy("item").agg(F.max_by("id", F.struct("share", -F.col("id"))).alias("lead"), F.count(F.lit(1)).alias("k")).where("k > 1").select("item", "lead")
     in_band = own_prefix.groupBy("item", band.alias("band")).agg(F.count(F.lit(1)).alias("k")).join(lead, "item")
     active = own_prefix.withColumn("band", band).join(in_band, ["item", "band"])
     active = active.select("item", (F.col("band") * 1_000_000 + F.pmod(F.xxhash64("id"), F.ceil(F.col("k") / block))).cast("int").alias("block"), "id", "n", "place", "lead", F.lit(True).alias("long"))
@@ -331,16 +385,17 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     placed = written(placed.select("item", "block", "long", "id", "n", "place", F.coalesce("component", "id").alias("c"), F.coalesce("often", F.lit(0)).alias("often")), "placed")
     # in each list the members outside its largest component against all others
     parts = placed.groupBy("item", "c").agg(F.count(F.lit(1)).alias("k")).groupBy("item").agg(F.count(F.lit(1)).alias("parts"), F.max_by("c", F.struct("k", "c")).alias("main")).where("parts > 1")
-    blocks = placed.join(parts.select("item", "main"), "item").groupBy("item", "block", "long", "main").agg(F.collect_list(F.struct("n", "id", "c", "often", "place")).alias("all"), F.min("n").alias("lo"), F.max("n").alias("hi"))
-    blocks = written(blocks.withColumn("odd", F.filter("all", lambda x: x["c"] != F.col("main"))), "blocks")
-    alone = blocks.where("NOT long AND size(odd) > 0").withColumn("all2", F.col("all"))
-    other = blocks.where("long").select("item", F.col("all").alias("all2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
-    met = blocks.where("long AND size(odd) > 0").join(other, "item").where((F.col("lo2") * percent <= F.col("hi") * 100) & (F.col("lo") * percent <= F.col("hi2") * 100))
-    met = alone.select("long", "main", "odd", "all2").union(met.select("long", "main", "odd", "all2"))
-
-    shape = "a long, b long, met long, long boolean, need int"
-    pairs = met.mapInArrow(partial(_pairs, percent=percent), shape).groupBy("a", "b").agg(F.sum("met").alias("met"), F.max("long").alias("long"), F.min("need").alias("need"))
-    pairs = pairs.where(F.col("long") | (F.col("met") >= F.col("need"))).select("a", "b").join(stars, ["a", "b"], "left_anti")
+    placed = placed.join(parts.select("item", "main"), "item")
+    odd = F.filter("all2", lambda x: x["c"] != F.col("main")).alias("odd")
+    alone = placed.where("NOT long").groupBy("item", "main").agg(F.collect_list(F.struct("n", "id", "c", "place", "often")).alias("all2")).select("main", odd, "all2")
+    pairs = alone.mapInArrow(partial(_pairs, percent=percent), "a long, b long, met long, need int").groupBy("a", "b").agg(F.sum("met").alias("met"), F.min("need").alias("need"))
+    pairs = pairs.where(F.col("met") >= F.col("need")).select("a", "b")
+    parities = dense.mapInArrow(partial(_sets, width=width, percent=percent, part="parities"), schema).select("id", "n", F.col("items").alias("parities"))
+    blocks = placed.where("long").join(parities, ["id", "n"]).groupBy("item", "block", "main").agg(F.collect_list(F.struct("n", "id", "c", "place", "parities")).alias("all2"), F.min("n").alias("lo"), F.max("n").alias("hi"))
+    blocks = written(blocks.select("item", "block", "main", odd, "all2", "lo", "hi"), "blocks")
+    other = blocks.select("item", "all2", F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+    met = blocks.where("size(odd) > 0").drop("all2").join(other, "item").where((F.col("lo2") * percent <= F.col("hi") * 100) & (F.col("lo") * percent <= F.col("hi2") * 100))
+    pairs = pairs.union(met.select("main", "odd", "all2").mapInArrow(partial(_long_pairs, percent=percent), "a long, b long")).distinct().join(stars, ["a", "b"], "left_anti")
     final = components(links.union(checked(written(pairs, "pairs"))))
 
     # back to all rows
