@@ -230,7 +230,7 @@ def _ragged(column):
     members = column.flatten()
     offsets = np.concatenate(([0], np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))))
     fields = {f.name: members.field(k) for k, f in enumerate(members.type)}
-    lists = {k: f.flatten().to_numpy(zero_copy_only=False).reshape(len(f), -1) for k, f in fields.items() if k == "parities" and len(f)}
+    lists = {k: f.flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(f), -1) for k, f in fields.items() if k == "parities" and len(f)}
     return offsets, lists | {k: f.to_numpy(zero_copy_only=False) for k, f in fields.items() if k != "parities"}
 
 

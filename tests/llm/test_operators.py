@@ -230,6 +230,43 @@ def test_jaccard(spark, docs, empty):
     assert jaccard_join.keep_first(docs).columns == docs.columns
 
 
+def test_shingles_do_not_depend_on_slices(monkeypatch):
+    texts = ["Some wörds here, AND more of them again\tand again", "", "one", "x" * 300 + " tail of a long word"] * 3
+    want = [part.tolist() for part in jaccard_join.shingle_sets(texts)]
+    for size in (1, 7, 40):
+        monkeypatch.setattr(jaccard_join, "SLICE", size)
+        assert [part.tolist() for part in jaccard_join.shingle_sets(texts)] == want
+
+
+def test_jaccard_of_one_text_varied_often(spark):
+    """A large group around one text: many link with it, many only with some or none, all share its shingles."""
+    rng = random.Random(9)
+    base = [f"b{k}" for k in range(90)]
+    texts = [" ".join(base)]
+    for _ in range(300):
+        words = list(base)
+        for at in rng.sample(range(90), rng.choice([1, 2, 3, 4])):
+            words[at] = f"v{rng.randrange(10**6)}"
+        texts.append(" ".join(words))
+    order = rng.sample(range(301), 301)
+    sets = [sets_of(texts[k]) for k in order]
+    label = list(range(301))
+    changed = True
+    while changed:
+        changed = False
+        for i in range(301):
+            for j in range(i):
+                both = len(sets[i] & sets[j])
+                if label[i] != label[j] and 100 * both >= 75 * len(sets[i] | sets[j]):
+                    label[i] = label[j] = min(label[i], label[j])
+                    changed = True
+    df = spark.createDataFrame([(k, texts[at]) for k, at in enumerate(order)], "doc_id long, text string")
+    for options in ({}, {"common": 4, "block": 16}):
+        got = {r.doc_id: r.component_id for r in jaccard_join.similar(df, **options).collect()}
+        assert got == dict(enumerate(label)), options
+    assert len(set(label)) > 3
+
+
 def test_transform_and_prefixes():
     rng = np.random.default_rng(5)
     for _ in range(40):
