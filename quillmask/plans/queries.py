@@ -66,11 +66,17 @@ def detect_email(spark, sf_dir):
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '\(?[0-9]{3}\)?[ \t\n\f\r.-][0-9]{3}[ \t\n\f\r.-][0-9]{4}') AS l FROM documents)
 SELECT doc_id, len(l)::BIGINT AS n, coalesce(list_sum(list_transform(l, lambda m: CASE WHEN length(regexp_replace(m, '[^0-9]', '', 'g')) = 10 THEN 1 ELSE 0 END)), 0)::BIGINT AS n_ten FROM d""")
 def detect_phone(spark, sf_dir):
+    """Only numbers of the last pattern, which the SQL can follow; detect_phone_all runs the recognizer."""
     found = locate(_docs(spark, sf_dir), F.coalesce("text", F.lit("")), {"p": fixed.PHONES[4]}, "found")
     ten = F.size(F.filter(F.col("found")["p"], lambda m: F.length(checks.digits(m["value"])) == 10))
     return found.select("doc_id", F.size(F.col("found")["p"]).cast("long").alias("n"), ten.cast("long").alias("n_ten"))
 
 
+@query("detect_phone_all")
+def detect_phone_all(spark, sf_dir):
+    return _count(det.detect(_docs(spark, sf_dir), only=("phone",)), "PHONE")
+
+
 _LUHN = "list_sum(list_transform(range(1, length(d) + 1), lambda i: CASE WHEN (length(d) - i) % 2 = 1 THEN (d[i]::INT * 2) // 10 + (d[i]::INT * 2) % 10 ELSE d[i]::INT END)) % 10 = 0"
 
 
