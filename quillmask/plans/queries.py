@@ -106,10 +106,16 @@ _planted("detect_pem", "private_key", "PRIVATE_KEY", "IF(doc_id % 2 = 0, concat(
 @query("detect_secret_entropy", """
 SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text || ' api_key=Zx8qLm3vT9sKe2RwY7uBa1 ', 'api_key=Zx8qLm3vT9sKe2RwY7uBa1')) AS m FROM documents) GROUP BY doc_id""")
 def detect_secret_entropy(spark, sf_dir):
+    """Only the secret put into each text, which the SQL can follow; detect_secret_entropy_all gives those of the data."""
     found = det.rows(det.detect(_docs(spark, sf_dir, "' api_key=Zx8qLm3vT9sKe2RwY7uBa1 '"), only=("secret_entropy",)), ["doc_id"], "raw_entities")
     return found.where((F.col("value") == "Zx8qLm3vT9sKe2RwY7uBa1") & (F.col("confidence") >= 0.6)).groupBy("doc_id").agg(F.countDistinct("start", "end").alias("n"))
 
 
+@query("detect_secret_entropy_all")
+def detect_secret_entropy_all(spark, sf_dir):
+    return _count(det.detect(_docs(spark, sf_dir), only=("secret_entropy",)), "SECRET")
+
+
 @query("luhn_check", f"SELECT o_orderkey, {_LUHN} AS ok FROM (SELECT o_orderkey, (1000 + o_orderkey * 7919)::VARCHAR AS d FROM orders)")
 def luhn_check(spark, sf_dir):
     return _t(spark, sf_dir, "orders").select("o_orderkey", checks.luhn_ok((F.lit(1000) + F.col("o_orderkey") * 7919).cast("string")).alias("ok"))

@@ -1,3 +1,4 @@
+import math
 import re
 
 from quillmask.functions import fixed
@@ -36,3 +37,36 @@ def test_phone_query_runs_every_pattern(spark, tmp_path):
     want = {i: phone_model(t or "") for i, t in enumerate(texts)}
     assert got == want
     assert all(want[i][0] for i in range(7))
+
+
+def entropy_model(text):
+    if not re.search("|".join(fixed.KEYWORDS), text.lower()):
+        return 0, 0.0, 0
+
+    def bits(v):
+        counts = [v.count(c) for c in sorted(set(v))]
+        return 0.0 if len(counts) == 1 else sum(-k / len(v) * math.log2(k * 256 // len(v) / 256) for k in counts if k * 256 // len(v))
+
+    layers = (
+        (fixed.BASE64, 0, lambda h: 0.80 if h >= 4.5 else 0.70 if h >= 3.5 else 0),
+        (fixed.HEX, 0, lambda h: 0.65 if h >= 3.0 else 0),
+        (fixed.BEARER.replace("(?i:bearer)", "[bB][eE][aA][rR][eE][rR]"), 1, lambda h: 0.50),
+        (fixed.PAIR, 1, lambda h: 0.60 if h >= 3.5 else 0),
+    )
+    spans = {}
+    for pattern, group, score in layers:
+        for m in re.finditer(pattern, text):
+            if (s := 0 if re.search(fixed.NEVER, m[group]) else score(bits(m[group]))) > 0:
+                spans.setdefault(m.span(group), s)
+    return len(spans), round(sum(spans.values()), 4), sum(b - a for a, b in spans)
+
+
+def test_secret_query_returns_what_the_texts_hold(spark, tmp_path):
+    texts = [
+        "secret: q7Rt2LmZ9xKc4VbN8pWsD1fG6hJ0", "token " + "0a1b2c3d4e5f6789" * 3, "token; Bearer ab.cd-ef_gh.ij-kl_mn.op9", "password = Tr0ub4dor-3xyz", 'token = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"',
+        "api_key=Zx8qLm3vT9sKe2RwY7uBa1 and secret=Zx8qLm3vT9sKe2RwY7uBa1", "q7Rt2LmZ9xKc4VbN8pWsD1fG6hJ0 alone", "secret nothing here", "", None,
+    ]
+    got = {r.doc_id: (r.n, r.score, r.n_bytes) for r in QUERIES["detect_secret_entropy_all"](spark, tables(spark, tmp_path, documents=documents(texts))).collect()}
+    want = {i: entropy_model(t or "") for i, t in enumerate(texts)}
+    assert got == want
+    assert [want[i][0] > 0 for i in range(10)] == [True, True, True, True, False, True, False, False, False, False]
