@@ -177,24 +177,40 @@ def audit_records(spark, sf_dir):
 WITH d AS (SELECT doc_id, len(list_filter(regexp_extract_all(coalesce(text, ''), '{_MAIL}'), lambda m: {_GOOD})) AS n FROM documents)
 SELECT CASE WHEN n > 0 THEN 'pii_found' ELSE 'clean' END AS result, count(*) AS docs, sum(n)::BIGINT AS entities FROM d GROUP BY ALL""")
 def doc_result_label(spark, sf_dir):
+    """Of addresses only, which the SQL can follow; doc_result_label_all labels by entities of all kinds."""
     scanned = det.detect(_docs(spark, sf_dir), only=("email",))
+    return _labels(scanned)
+
+
+def _labels(scanned: DataFrame) -> DataFrame:
     return scanned.groupBy(audit.label(F.col("entities")).alias("result")).agg(F.count(F.lit(1)).alias("docs"), F.sum(F.size("entities")).cast("long").alias("entities"))
 
 
+@query("doc_result_label_all")
+def doc_result_label_all(spark, sf_dir):
+    return _labels(det.detect(_docs(spark, sf_dir)))
+
+
 @query("entity_grouping_sets", f"""
 WITH d AS (SELECT lang, source, unnest(list_filter(regexp_extract_all(coalesce(text, ''), '{_MAIL}'), lambda m: {_GOOD})) AS m FROM documents) SELECT lang, source, count(*) AS n FROM d GROUP BY ROLLUP (lang, source)""")
 def entity_grouping_sets(spark, sf_dir):
+    """Of addresses only, which the SQL can follow; entity_grouping_sets_all counts entities of all kinds."""
     found = det.rows(det.detect(_docs(spark, sf_dir), only=("email",)), ["lang", "source"])
     return audit.rollup(found, "lang", "source")
 
 
+@query("entity_grouping_sets_all")
+def entity_grouping_sets_all(spark, sf_dir):
+    return audit.rollup(det.rows(det.detect(_docs(spark, sf_dir)), ["lang", "source"]), "lang", "source")
+
+
 # ---- tokens --------------------------------------------------------------------------------------------------------
 _SAID = "concat(coalesce(text, ''), ' mail user', cast(turn % 3 as string), '@example.org or user', cast(conv_id % 2 as string), '@example.org')"
 
 
 def _chats(spark, sf_dir) -> DataFrame:
     chats = _t(spark, sf_dir, "conversations").select("conv_id", "turn", F.expr(_SAID).alias("text"))
-    return det.detect(chats, only=("email",), with_names=False)
+    return det.detect(chats)
 
 
 @query("token_assign", """

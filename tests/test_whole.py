@@ -1,3 +1,4 @@
+import hashlib
 import math
 import re
 
@@ -70,3 +71,22 @@ def test_secret_query_returns_what_the_texts_hold(spark, tmp_path):
     want = {i: entropy_model(t or "") for i, t in enumerate(texts)}
     assert got == want
     assert [want[i][0] > 0 for i in range(10)] == [True, True, True, True, False, True, False, False, False, False]
+
+
+KINDS = ["a@example.com", "+1 (212) 555-0187", "4111 1111 1111 1111", "DE89370400440532013000", "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxIn0.abcDEF", "ghp_" + "aB3x" * 9, "nothing here"]
+
+
+def test_labels_and_rollup_go_by_all_kinds(spark, tmp_path):
+    path = tables(spark, tmp_path, documents=documents(KINDS))
+    assert {r.result: (r.docs, r.entities) for r in QUERIES["doc_result_label_all"](spark, path).collect()} == {"pii_found": (6, 6), "clean": (1, 0)}
+    assert {(r.lang, r.source): r.n for r in QUERIES["entity_grouping_sets_all"](spark, path).collect()} == {("en", "web"): 6, ("en", None): 6, (None, None): 6}
+
+
+def test_token_queries_mask_all_kinds(spark, tmp_path):
+    path = tables(spark, tmp_path, conversations=("conv_id long, turn long, role string, text string", [(1, i, "user", f"said {t}") for i, t in enumerate(KINDS)]))
+    mapping = {r.value: r.token for r in QUERIES["token_assign"](spark, path).collect()}
+    assert set(KINDS[:6]) < set(mapping)
+    want = {i: f"said {mapping.get(t, t)} mail {mapping[f'user{i % 3}@example.org']} or {mapping['user1@example.org']}" for i, t in enumerate(KINDS)}
+    assert {r.turn: r.tokenized for r in QUERIES["tokenize_conversations"](spark, path).collect()} == {i: hashlib.md5(t.encode()).hexdigest() for i, t in want.items()}
+    assert all(r.same and r.changed for r in QUERIES["rehydrate_roundtrip"](spark, path).collect())
+    assert QUERIES["stream_totals"](spark, path).first().entity_count == 6 + 2 * len(KINDS)
