@@ -15,13 +15,14 @@ def summary(entities: Column) -> Column:
     return F.when(F.size(entities) > 0, F.map_from_entries(counts))
 
 
-def label(entities: Column) -> Column:
-    return F.when(F.size(entities) > 0, "pii_found").otherwise("clean")
+def label(entities: Column, status: Column) -> Column:
+    """Label of a scanned text; one that was not scanned is "unscanned", never clean."""
+    return F.when(F.size(entities) > 0, "pii_found").when(status.isin("ok", "empty"), "clean").otherwise("unscanned")
 
 
 def records(df: DataFrame, text_col: str = "text", pii_logging: bool = True, **constants: str) -> DataFrame:
     """df (scanned by detect) with result, bytes_analyzed, entity_count and entity_summary; values never appear."""
-    out = df.withColumn("result", label(F.col("entities"))).withColumn("bytes_analyzed", F.coalesce(F.octet_length(f"`{text_col}`"), F.lit(0))).withColumn("entity_count", F.size("entities"))
+    out = df.withColumn("result", label(F.col("entities"), F.col("status"))).withColumn("bytes_analyzed", F.coalesce(F.octet_length(f"`{text_col}`"), F.lit(0))).withColumn("entity_count", F.size("entities"))
     out = out.withColumn("entity_summary", summary(F.col("entities")) if pii_logging else F.lit(None).cast("map<string,int>"))
     for name, value in constants.items():
         out = out.withColumn(name, F.lit(value))

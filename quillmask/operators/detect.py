@@ -1,7 +1,7 @@
 """Detection of personal data and credentials: recognizers, and the engine that runs them over a text column.
 
 All recognizers are column expressions over positioned matches, so a scan is one narrow pass without UDFs.  Texts
-beyond the size limit are not scanned (status "oversize"); null texts have no entities.
+beyond the size limit are not scanned (status "oversize"), nor those that a gate holds back ("skipped"); null texts have no entities.
 """
 
 from __future__ import annotations
@@ -16,6 +16,9 @@ from quillmask.functions import checks, fixed
 from quillmask.functions.spans import ENTITY, empty, entity, free_name, hold, locate, resolve_overlaps
 
 
+WHOLE = (1 << 31) - 1  # a limit that no text exceeds
+
+
 @dataclass(frozen=True)
 class Recognizer:
     """patterns: what to locate; build(found, text): array<ENTITY> from the located matches; gates: cheap tests first."""
@@ -175,7 +178,7 @@ def detect(df: DataFrame, text_col: str = "text", only: tuple[str, ...] | None =
     limit = limit if limit > 0 else fixed.LARGEST_TEXT
     chosen = [RECOGNIZERS[n] for n in (only or tuple(RECOGNIZERS))]
     text, size = F.col(f"`{text_col}`"), F.octet_length(F.col(f"`{text_col}`"))
-    skip = (size > limit) if gate is None else (size > limit) | ~gate
+    skip = (size > limit) if gate is None else (size > limit) | ~F.coalesce(gate, F.lit(False))
     names_, df = [free_name(df, f"_scan{k}") for k in range(4)], df
     df = hold(df, names_[0], text=F.when(~skip, text).otherwise(F.lit("")))
     scanned = F.coalesce(F.col(names_[0])["text"], F.lit(""))
@@ -188,7 +191,10 @@ def detect(df: DataFrame, text_col: str = "text", only: tuple[str, ...] | None =
     df = hold(df, names_[3], raw=F.filter(F.concat(every, inferred), lambda e: e["confidence"] >= min_confidence))
     raw = F.col(names_[3])["raw"]
     resolved = F.when(F.size(raw) > 0, resolve_overlaps(raw, fixed.TYPES)).otherwise(empty(ENTITY))
-    status = F.when(text.isNull(), "empty").when(size > limit, "oversize").otherwise("ok")
+    status = F.when(text.isNull(), "empty").when(size > limit, "oversize")
+    if gate is not None:
+        status = status.when(~F.coalesce(gate, F.lit(False)), "skipped")
+    status = status.otherwise("ok")
     return df.withColumn("raw_entities", raw).withColumn("entities", resolved).withColumn("status", status).withColumn("received_bytes", size).drop(*names_)
 
 

@@ -39,12 +39,15 @@ def assign(found: DataFrame, scope: list[str], order: list[str]) -> DataFrame:
     return first.withColumn("n", n).withColumn("token", format_token(F.col("type"), F.col("n"))).drop("_first")
 
 
-def tokenize(df: DataFrame, scope: list[str], order: list[str], text_col: str = "text", known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def tokenize(df: DataFrame, scope: list[str], order: list[str], text_col: str = "text", known: DataFrame | None = None, on_oversize: str = "null") -> tuple[DataFrame, DataFrame]:
     """(df with the column tokenized, MAPPING) for a frame that detect() has scanned.
 
     known: a mapping from before (scope, value, type, n, token) whose tokens stay; new values count on from there.
+    on_oversize: what a text beyond detect()'s limit becomes, "null" or itself ("passthrough").
     Each row is found again by scope and order, which must tell rows apart.
     """
+    if on_oversize not in ("null", "passthrough"):
+        raise ValueError(f"on_oversize: {on_oversize}")
     keys = list(dict.fromkeys([*scope, *order]))
     text = F.col(f"`{text_col}`")
     spans = df.select(*keys, F.explode(valid(F.col("entities"), text)).alias("_e")).select(*keys, "_e.*")
@@ -59,7 +62,10 @@ def tokenize(df: DataFrame, scope: list[str], order: list[str], text_col: str =
     joined = df.join(tokens, keys, "left")
     held = free_name(joined, "_spans")
     joined = hold(joined, held, all=F.coalesce(F.col("_tokens"), F.array().cast("array<struct<start:int,end:int,token:string>>")))
-    return joined.withColumn("tokenized", substitute(text, F.col(held)["all"], lambda s: s["token"])).drop("_tokens", held), mapping
+    masked = substitute(text, F.col(held)["all"], lambda s: s["token"])
+    if on_oversize == "null":
+        masked = F.when(F.col("status") != "oversize", masked)
+    return joined.withColumn("tokenized", masked).drop("_tokens", held), mapping
 
 
 def rehydrate(df: DataFrame, mapping: DataFrame, scope: list[str], text_col: str = "tokenized", out: str = "rehydrated") -> DataFrame:

@@ -40,6 +40,11 @@ def _docs(spark, sf_dir, suffix: str | None = None) -> DataFrame:
     return docs if suffix is None else docs.withColumn("text", F.concat(F.coalesce("text", F.lit("")), F.expr(suffix)))
 
 
+def _scan(df: DataFrame, only: tuple[str, ...] | None = None) -> DataFrame:
+    """Registered queries scan texts of any size."""
+    return det.detect(df, only=only, limit=det.WHOLE)
+
+
 def _count(scanned: DataFrame, kind: str) -> DataFrame:
     own = F.filter("raw_entities", lambda e: e["type"] == kind)
     score = F.round(F.aggregate(own, F.lit(0.0), lambda a, e: a + e["confidence"]), 4)
@@ -59,7 +64,7 @@ WITH d AS (SELECT doc_id, list_filter(regexp_extract_all(coalesce(text, ''), '{_
 SELECT doc_id, len(l)::BIGINT AS n, round(coalesce(list_sum(list_transform(l, lambda m: CASE WHEN lower(regexp_extract(m, '[a-zA-Z]+$')) IN ({_TLD}) THEN 0.95 ELSE 0.9 END)), 0)::DOUBLE, 4) AS score,
 coalesce(list_sum(list_transform(l, lambda m: strlen(m))), 0)::BIGINT AS n_bytes FROM d""")
 def detect_email(spark, sf_dir):
-    return _count(det.detect(_docs(spark, sf_dir), only=("email",)), "EMAIL")
+    return _count(_scan(_docs(spark, sf_dir), only=("email",)), "EMAIL")
 
 
 @query("detect_phone", r"""
@@ -74,7 +79,7 @@ def detect_phone(spark, sf_dir):
 
 @query("detect_phone_all")
 def detect_phone_all(spark, sf_dir):
-    return _count(det.detect(_docs(spark, sf_dir), only=("phone",)), "PHONE")
+    return _count(_scan(_docs(spark, sf_dir), only=("phone",)), "PHONE")
 
 
 _LUHN = "list_sum(list_transform(range(1, length(d) + 1), lambda i: CASE WHEN (length(d) - i) % 2 = 1 THEN (d[i]::INT * 2) // 10 + (d[i]::INT * 2) % 10 ELSE d[i]::INT END)) % 10 = 0"
@@ -85,7 +90,7 @@ WITH m AS (SELECT doc_id, regexp_replace(unnest(regexp_extract_all(coalesce(text
 g AS (SELECT doc_id, d FROM m WHERE {' OR '.join(f"(length(d) BETWEEN {a} AND {b} AND regexp_matches(d, '^(?:{p})'))" for p, a, b in fixed.ISSUERS)})
 SELECT doc_id, d AS number, CASE WHEN {_LUHN} THEN 0.95 ELSE 0.85 END::DOUBLE AS confidence, count(*) AS n FROM g GROUP BY ALL""")
 def detect_card(spark, sf_dir):
-    found = det.rows(det.detect(_docs(spark, sf_dir), only=("card",)), ["doc_id"], "raw_entities")
+    found = det.rows(_scan(_docs(spark, sf_dir), only=("card",)), ["doc_id"], "raw_entities")
     return found.groupBy("doc_id", checks.digits(F.col("value")).alias("number"), "confidence").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -94,7 +99,7 @@ def _planted(name: str, only: str, kind: str, suffix: str, score: float, size: s
 
     @query(name, sql)
     def run(spark, sf_dir):
-        return _count(det.detect(_docs(spark, sf_dir, suffix), only=(only,)), kind)
+        return _count(_scan(_docs(spark, sf_dir, suffix), only=(only,)), kind)
 
 
 _planted("detect_iban", "iban", "IBAN", "IF(doc_id % 3 = 0, ' GB29NWBK60161331926819 ', IF(doc_id % 3 = 1, ' GB30NWBK60161331926819 ', ' '))", 0.95, "22", "doc_id % 3 = 0")
@@ -107,13 +112,13 @@ _planted("detect_pem", "private_key", "PRIVATE_KEY", "IF(doc_id % 2 = 0, concat(
 SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text || ' api_key=Zx8qLm3vT9sKe2RwY7uBa1 ', 'api_key=Zx8qLm3vT9sKe2RwY7uBa1')) AS m FROM documents) GROUP BY doc_id""")
 def detect_secret_entropy(spark, sf_dir):
     """Only the secret put into each text, which the SQL can follow; detect_secret_entropy_all gives those of the data."""
-    found = det.rows(det.detect(_docs(spark, sf_dir, "' api_key=Zx8qLm3vT9sKe2RwY7uBa1 '"), only=("secret_entropy",)), ["doc_id"], "raw_entities")
+    found = det.rows(_scan(_docs(spark, sf_dir, "' api_key=Zx8qLm3vT9sKe2RwY7uBa1 '"), only=("secret_entropy",)), ["doc_id"], "raw_entities")
     return found.where((F.col("value") == "Zx8qLm3vT9sKe2RwY7uBa1") & (F.col("confidence") >= 0.6)).groupBy("doc_id").agg(F.countDistinct("start", "end").alias("n"))
 
 
 @query("detect_secret_entropy_all")
 def detect_secret_entropy_all(spark, sf_dir):
-    return _count(det.detect(_docs(spark, sf_dir), only=("secret_entropy",)), "SECRET")
+    return _count(_scan(_docs(spark, sf_dir), only=("secret_entropy",)), "SECRET")
 
 
 @query("luhn_check", f"SELECT o_orderkey, {_LUHN} AS ok FROM (SELECT o_orderkey, (1000 + o_orderkey * 7919)::VARCHAR AS d FROM orders)")
@@ -163,13 +168,13 @@ def overlap_resolve(spark, sf_dir):
 @query("entity_rollup")
 def entity_rollup(spark, sf_dir):
     """All recognizers over all documents: entities and their mean score by source and type."""
-    found = det.rows(det.detect(_docs(spark, sf_dir)), ["source"])
+    found = det.rows(_scan(_docs(spark, sf_dir)), ["source"])
     return found.groupBy("source", "type").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("confidence"), 4).alias("confidence"))
 
 
 @query("audit_records")
 def audit_records(spark, sf_dir):
-    out = audit.records(det.detect(_docs(spark, sf_dir)), direction="request")
+    out = audit.records(_scan(_docs(spark, sf_dir)), direction="request")
     return out.select("doc_id", "status", "result", "bytes_analyzed", "entity_count", F.to_json("entity_summary").alias("entity_summary"), "direction")
 
 
@@ -178,30 +183,30 @@ WITH d AS (SELECT doc_id, len(list_filter(regexp_extract_all(coalesce(text, ''),
 SELECT CASE WHEN n > 0 THEN 'pii_found' ELSE 'clean' END AS result, count(*) AS docs, sum(n)::BIGINT AS entities FROM d GROUP BY ALL""")
 def doc_result_label(spark, sf_dir):
     """Of addresses only, which the SQL can follow; doc_result_label_all labels by entities of all kinds."""
-    scanned = det.detect(_docs(spark, sf_dir), only=("email",))
+    scanned = _scan(_docs(spark, sf_dir), only=("email",))
     return _labels(scanned)
 
 
 def _labels(scanned: DataFrame) -> DataFrame:
-    return scanned.groupBy(audit.label(F.col("entities")).alias("result")).agg(F.count(F.lit(1)).alias("docs"), F.sum(F.size("entities")).cast("long").alias("entities"))
+    return scanned.groupBy(audit.label(F.col("entities"), F.col("status")).alias("result")).agg(F.count(F.lit(1)).alias("docs"), F.sum(F.size("entities")).cast("long").alias("entities"))
 
 
 @query("doc_result_label_all")
 def doc_result_label_all(spark, sf_dir):
-    return _labels(det.detect(_docs(spark, sf_dir)))
+    return _labels(_scan(_docs(spark, sf_dir)))
 
 
 @query("entity_grouping_sets", f"""
 WITH d AS (SELECT lang, source, unnest(list_filter(regexp_extract_all(coalesce(text, ''), '{_MAIL}'), lambda m: {_GOOD})) AS m FROM documents) SELECT lang, source, count(*) AS n FROM d GROUP BY ROLLUP (lang, source)""")
 def entity_grouping_sets(spark, sf_dir):
     """Of addresses only, which the SQL can follow; entity_grouping_sets_all counts entities of all kinds."""
-    found = det.rows(det.detect(_docs(spark, sf_dir), only=("email",)), ["lang", "source"])
+    found = det.rows(_scan(_docs(spark, sf_dir), only=("email",)), ["lang", "source"])
     return audit.rollup(found, "lang", "source")
 
 
 @query("entity_grouping_sets_all")
 def entity_grouping_sets_all(spark, sf_dir):
-    return audit.rollup(det.rows(det.detect(_docs(spark, sf_dir)), ["lang", "source"]), "lang", "source")
+    return audit.rollup(det.rows(_scan(_docs(spark, sf_dir)), ["lang", "source"]), "lang", "source")
 
 
 # ---- tokens --------------------------------------------------------------------------------------------------------
@@ -210,7 +215,7 @@ _SAID = "concat(coalesce(text, ''), ' mail user', cast(turn % 3 as string), '@ex
 
 def _chats(spark, sf_dir) -> DataFrame:
     chats = _t(spark, sf_dir, "conversations").select("conv_id", "turn", F.expr(_SAID).alias("text"))
-    return det.detect(chats)
+    return _scan(chats)
 
 
 @query("token_assign", """

@@ -2,7 +2,11 @@ import hashlib
 import math
 import re
 
+from pyspark.sql import functions as F
+
 from quillmask.functions import fixed
+from quillmask.operators import audit, tokens
+from quillmask.operators import detect as det
 from quillmask.plans.queries import QUERIES
 
 
@@ -90,3 +94,20 @@ def test_token_queries_mask_all_kinds(spark, tmp_path):
     assert {r.turn: r.tokenized for r in QUERIES["tokenize_conversations"](spark, path).collect()} == {i: hashlib.md5(t.encode()).hexdigest() for i, t in want.items()}
     assert all(r.same and r.changed for r in QUERIES["rehydrate_roundtrip"](spark, path).collect())
     assert QUERIES["stream_totals"](spark, path).first().entity_count == 6 + 2 * len(KINDS)
+
+
+def test_queries_scan_long_texts(spark, tmp_path):
+    path = tables(spark, tmp_path, documents=documents(["lorem ipsum " * 100_000 + "a@example.com", "short"]))
+    assert {r.doc_id: r.n for r in QUERIES["detect_email"](spark, path).collect()} == {0: 1, 1: 0}
+    assert {r.result: r.docs for r in QUERIES["doc_result_label"](spark, path).collect()} == {"pii_found": 1, "clean": 1}
+    assert {r.doc_id: (r.status, r.result, r.entity_count) for r in QUERIES["audit_records"](spark, path).collect()} == {0: ("ok", "pii_found", 1), 1: ("ok", "clean", 0)}
+
+
+def test_unscanned_texts_are_not_clean_and_not_passed_on(spark):
+    df = spark.createDataFrame([(1, 0, "a@example.com"), (1, 1, "b@example.com " * 50), (1, 2, None)], "conv int, turn int, text string")
+    scanned = det.detect(df, only=("email",), limit=100)
+    assert [r.result for r in audit.records(scanned).orderBy("turn").collect()] == ["pii_found", "unscanned", "clean"]
+    assert [r.tokenized for r in tokens.tokenize(scanned, ["conv"], ["turn"])[0].orderBy("turn").collect()] == ["<<EMAIL_1>>", None, None]
+    assert [r.tokenized for r in tokens.tokenize(scanned, ["conv"], ["turn"], on_oversize="passthrough")[0].orderBy("turn").collect()] == ["<<EMAIL_1>>", "b@example.com " * 50, None]
+    gated = det.detect(df, only=("email",), gate=F.col("turn") > 5)
+    assert [r.result for r in audit.records(gated).orderBy("turn").collect()] == ["unscanned", "unscanned", "clean"]
