@@ -26,6 +26,15 @@ def split_frames(buffer: str) -> tuple[list[str], str]:
     return whole, rest
 
 
+def take_frames(buffer: str, skipping: bool, chunk: str, limit: int) -> tuple[list[str | None], str, bool]:
+    """(complete frames, what is left, whether that belongs to a frame being skipped).  A skipped frame is None at its end."""
+    whole, rest = split_frames(buffer + chunk)
+    if skipping and whole:
+        whole[0], skipping = None, False
+    skipping = skipping or len(rest) > limit
+    return whole, rest[-2:] if skipping else rest, skipping  # two characters may begin the blank line
+
+
 def hold_back(text: str, most: int = fixed.SLIDING) -> tuple[str, str]:
     """(what can go out, the start of a token that may go on); a start beyond the limit goes out."""
     at = text.rfind("<<")
@@ -35,32 +44,31 @@ def hold_back(text: str, most: int = fixed.SLIDING) -> tuple[str, str]:
 
 
 def frame_stream(chunks: DataFrame, limit: int = 256 * 1024) -> DataFrame:
-    """(stream_id, frame_no, frame) of a stream of (stream_id, seq, chunk).  A remainder beyond the limit is dropped and counted from the next boundary."""
+    """(stream_id, frame_no, frame) of a stream of (stream_id, seq, chunk).  A frame whose remainder grows beyond the limit is skipped up to its blank line and counts as one row with a null frame."""
     from pyspark.sql.streaming.state import GroupStateTimeout
 
     def run(key, parts: Iterator, state):
         import pandas as pd
 
-        buffer, number, expect = state.get if state.exists else ("", 0, 0)
+        buffer, number, expect, skipping = state.get if state.exists else ("", 0, 0, False)
         rows = sorted((r for pdf in parts for r in pdf[["seq", "chunk"]].itertuples(index=False)), key=lambda r: r.seq)
         out, ended = [], False
         for r in rows:
             if r.seq != expect:
                 raise ValueError(f"stream {key[0]}: chunk {expect} is missing")
             expect += 1
-            whole, buffer = split_frames(buffer + (r.chunk or ""))
-            buffer = "" if len(buffer) > limit else buffer
+            whole, buffer, skipping = take_frames(buffer, skipping, r.chunk or "", limit)
             for frame in whole:
                 number += 1
                 out.append((key[0], number, frame))
-                ended |= frame.strip() == f"data: {DONE}"
+                ended |= frame is not None and frame.strip() == f"data: {DONE}"
         if ended:
             state.remove()
         else:
-            state.update((buffer, number, expect))
+            state.update((buffer, number, expect, skipping))
         yield pd.DataFrame(out, columns=["stream_id", "frame_no", "frame"])
 
-    return chunks.groupBy("stream_id").applyInPandasWithState(run, "stream_id string, frame_no long, frame string", "buffer string, number long, expect long", "append", GroupStateTimeout.NoTimeout)
+    return chunks.groupBy("stream_id").applyInPandasWithState(run, "stream_id string, frame_no long, frame string", "buffer string, number long, expect long, skipping boolean", "append", GroupStateTimeout.NoTimeout)
 
 
 def rehydrate_stream(pieces: DataFrame, mapping: dict[str, str]) -> DataFrame:

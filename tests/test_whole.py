@@ -8,6 +8,7 @@ from quillmask.functions import fixed
 from quillmask.operators import audit, tokens
 from quillmask.operators import detect as det
 from quillmask.plans.queries import QUERIES
+from quillmask.streaming.streams import frame_stream, take_frames
 
 
 def tables(spark, path, **rows):
@@ -111,3 +112,21 @@ def test_unscanned_texts_are_not_clean_and_not_passed_on(spark):
     assert [r.tokenized for r in tokens.tokenize(scanned, ["conv"], ["turn"], on_oversize="passthrough")[0].orderBy("turn").collect()] == ["<<EMAIL_1>>", "b@example.com " * 50, None]
     gated = det.detect(df, only=("email",), gate=F.col("turn") > 5)
     assert [r.result for r in audit.records(gated).orderBy("turn").collect()] == ["unscanned", "unscanned", "clean"]
+
+
+def test_skipped_frames_end_at_their_blank_line():
+    out, buffer, skipping = [], "", False
+    for chunk in ["data: 1\n\ndata: " + "x" * 20, "yyy", "y\r\n\r", "\ndata: 2\n\nda", "ta: 3\n\n"]:
+        frames, buffer, skipping = take_frames(buffer, skipping, chunk, 16)
+        out += frames
+    assert (out, buffer, skipping) == (["data: 1", None, "data: 2", "data: 3"], "", False)
+
+
+def test_frame_stream_counts_skipped_frames(spark, tmp_path):
+    schema = "stream_id string, seq long, chunk string"
+    for k, chunk in enumerate(["data: 1\n\ndata: " + "x" * 20, "yy\n\ndata: 2\n\n"]):
+        spark.createDataFrame([("a", k, chunk)], schema).coalesce(1).write.mode("append").json(f"{tmp_path}/in")
+    chunks = spark.readStream.schema(schema).json(f"{tmp_path}/in")
+    run = frame_stream(chunks, limit=16).writeStream.format("memory").queryName("skipped").outputMode("append").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+    assert run.awaitTermination(60)
+    assert [(r.frame_no, r.frame) for r in spark.table("skipped").orderBy("frame_no").collect()] == [(1, "data: 1"), (2, None), (3, "data: 2")]
