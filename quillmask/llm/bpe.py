@@ -20,6 +20,8 @@ from functools import lru_cache
 
 import numpy as np
 
+from quillmask.llm import pieces
+
 # ---- character classes ---------------------------------------------------------------------------------------
 #: (MARK and REST: the first and the other characters of a special string)
 END, LETTER, SHORT, C_R, C_V, C_E, C_L, NUMBER, SPACE, BLANK, OTHER, QUOTE, MARK, REST = range(14)
@@ -189,7 +191,7 @@ class Splitter:
     def groups(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """(different pre-tokens, index of each pre-token in them, number of pre-tokens by text).
 
-        Equal pre-tokens are found by 64-bit hashes of a batch's pieces.
+        Equal pre-tokens of a batch are found by hash and compared byte by byte.
         """
         joined = "\0".join(texts) + "\0"
         points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
@@ -204,40 +206,20 @@ class Splitter:
         begin = starts(kinds)
         begin[ends] = True
         edge = np.flatnonzero(begin)  # each text's end is an edge too
-        sums = _piece_hashes(points, edge)
         own = np.ones(len(edge), bool)
         last = np.searchsorted(edge, ends)
         own[last] = False
         counts = np.diff(np.concatenate(([-1], last))) - 1
-        first = edge[own]
-        stop = np.append(edge[1:], len(points))[own]
-        _, index, inverse = np.unique(sums[own], return_index=True, return_inverse=True)
+        first, stop = edge[own], np.append(edge[1:], len(points))[own]
+        data = pieces.buffer(joined.encode("utf-8"))
+        if len(data) == len(points) + pieces.SPARE:  # ASCII: places of characters are those of bytes
+            index, inverse = pieces.distinct(data, first, stop - first)
+        else:
+            at = np.concatenate(([0], np.cumsum(1 + (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000))))
+            index, inverse = pieces.distinct(data, at[first], at[stop] - at[first])
         return [joined[a:b] for a, b in zip(first[index].tolist(), stop[index].tolist())], inverse, counts
 
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-
-
-@lru_cache(maxsize=2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64."""
-    up, down = np.full(n, _BASE, np.uint64), np.full(n, pow(_BASE, -1, 1 << 64), np.uint64)
-    up[:1] = down[:1] = 1
-    return np.multiply.accumulate(up), np.multiply.accumulate(down)
-
-
-def _piece_hashes(points: np.ndarray, edge: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of what stands from each edge to the next."""
-    n = 1 << max(16, int(len(points)).bit_length())
-    up, down = _powers(n)
-    value = (points.astype(np.uint64) + np.uint64(0x2545F4914F6CDD1D)) * np.uint64(0xD6E8FEB86659FD93)
-    value ^= value >> np.uint64(32)
-    value *= up[: len(points)]
-    part = np.add.reduceat(value, edge) * down[edge]
-    part ^= np.diff(np.append(edge, len(points))).astype(np.uint64) * np.uint64(0xA0761D6478BD642F)
-    return part
-
-
 def byte_alphabet() -> dict[str, int]:
     """The printable stand-in of each byte in byte-level vocabularies: printable Latin-1 stands for itself, the others follow from 256 on."""
     keep = [*range(33, 127), *range(161, 173), *range(174, 256)]

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmask.llm import common as shared
+from quillmask.llm import pieces
 from quillmask.llm.graph import components
 
 WIDTH, PERCENT = 5, 75
@@ -64,17 +65,7 @@ def shingle_sets(texts: list[str], width: int = WIDTH):
     if not len(word):
         return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
     step = np.uint64(0x9E3779B97F4A7C15)
-    each = np.empty(len(word), np.uint64)
-    lo = 0
-    while lo < len(word):  # words of at most SLICE bytes, or a longer one, at once
-        hi = max(lo + 1, int(np.searchsorted(stop, word[lo] + SLICE, "right")))
-        start, size = word[lo], int(stop[hi - 1] - word[lo])
-        up, down = _steps(size + 1)
-        terms = np.append(_mixed(lower[start : start + size]) * up[:size], np.uint64(0))
-        edge = np.stack((word[lo:hi], stop[lo:hi]), 1).ravel() - start
-        sums = np.add.reduceat(terms, edge)[::2] * down[edge[::2]]
-        each[lo:hi] = _scramble(sums ^ (stop[lo:hi] - word[lo:hi]).astype(np.uint64) * step)
-        lo = hi
+    each = pieces.hashes(np.append(lower, np.zeros(pieces.SPARE, np.uint8)), word, stop - word)
     owner = np.searchsorted(owner_end, word)
     n_words = np.bincount(owner, minlength=len(texts))
     first = np.cumsum(n_words) - n_words
@@ -83,13 +74,13 @@ def shingle_sets(texts: list[str], width: int = WIDTH):
         at = np.arange(len(each)) + k
         inside = at < (first + n_words)[owner]
         part = np.where(inside, each[np.minimum(at, len(each) - 1)], 0)
-        out = _scramble(out * step + part + np.uint64(k + 1))
+        out = pieces.scramble(out * step + part + np.uint64(k + 1))
     place = np.arange(len(each)) - first[owner]
     full = (place + width <= n_words[owner]) | (place == 0)
     short = n_words < width
     if (short & (n_words > 0)).any():  # the whole sequence as one: told apart from longer ones by its length
         at = first[short & (n_words > 0)]
-        out[at] = _scramble(out[at] + n_words[short & (n_words > 0)].astype(np.uint64))
+        out[at] = pieces.scramble(out[at] + n_words[short & (n_words > 0)].astype(np.uint64))
     owner, out = owner[full], out[full]
     order = np.lexsort((out, owner))
     owner, out = owner[order], out[order]
@@ -98,36 +89,6 @@ def shingle_sets(texts: list[str], width: int = WIDTH):
     return out[new], np.bincount(owner[new], minlength=len(texts))
 
 
-def _scramble(x):
-    import numpy as np
-
-    x = x ^ (x >> np.uint64(31))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(29))
-
-
-def _mixed(raw):
-    import numpy as np
-
-    return (_scramble((np.arange(256, dtype=np.uint64) + np.uint64(11)) * np.uint64(0x94D049BB133111EB)))[raw]
-
-
-_POWERS: dict = {}
-
-
-def _steps(n: int):
-    """Powers of an odd base and of its inverse modulo 2**64, kept between batches."""
-    import numpy as np
-
-    size = 1 << max(16, n.bit_length())
-    if _POWERS.get("n", 0) < size:
-        base = 0xD1342543DE82EF95
-        up, down = np.full(size, base, np.uint64), np.full(size, pow(base, -1, 1 << 64), np.uint64)
-        up[0] = down[0] = 1
-        _POWERS.update(n=size, up=np.multiply.accumulate(up), down=np.multiply.accumulate(down))
-    return _POWERS["up"], _POWERS["down"]
-
-
 def _sets(batches, width: int, percent: int, part: str):
     """id, key, n and, as signed hashes in order, the lengthened prefix ("prefix"), the whole set ("all") or nothing ("none").
 

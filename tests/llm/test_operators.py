@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from quillmask.llm import bpe, chat_format, embedding_dedup, graph, jaccard_join, media, mixing, packing, secrets, suffix_dedup, token_counts, toxicity
+from quillmask.llm import bpe, chat_format, embedding_dedup, graph, jaccard_join, media, mixing, packing, pieces, secrets, suffix_dedup, token_counts, toxicity
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 SCHEMA = "doc_id long, text string, id string, n long, key string, _mix string, bucket string, lang string, source string"
@@ -51,6 +51,34 @@ def test_machines_equal_the_library():
     assert all(transducer.ids(w) == library().encode(w, add_special_tokens=False).ids for w in ["abc", " Überraschung", "antidisestablishment"])
 
 
+def thue_morse(n):
+    return "".join("ab"[bin(k).count("1") & 1] for k in range(n))
+
+
+@pytest.mark.parametrize("n", [1024, 2048])
+def test_strings_whose_power_sums_are_equal(spark, n):
+    """A Thue-Morse string and its complement collide under every polynomial hash modulo 2**64."""
+    text = thue_morse(n)
+    texts = [text, text.translate({97: 98, 98: 97}), text]
+    want = [e.ids for e in library().encode_batch(texts, add_special_tokens=False)]
+    splitter, transducer = bpe.compiled(PATH, bpe.class_table(PATH))
+    assert transducer.counts(splitter.groups(texts)).tolist() == list(map(len, want))
+    flat, sizes = bpe.encoder(PATH, bpe.class_table(PATH)).ids(texts)
+    assert [x.tolist() for x in np.split(flat, np.cumsum(sizes)[:-1])] == want
+    flat, _ = jaccard_join.shingle_sets(texts)
+    assert flat[0] == flat[2] != flat[1]
+
+
+def test_equal_ranges_rest_on_no_hash():
+    random.seed(1)
+    words = [bytes(random.choices(b"ab", k=random.choice([0, 1, 3, 8, 9, 16, 17, 30, 600]))) for _ in range(3000)]
+    data, size = pieces.buffer(b"".join(words)), np.array([len(w) for w in words])
+    start = np.cumsum(size) - size
+    for keys in (None, np.zeros(len(words), np.uint64), (size % 7).astype(np.uint64)):
+        index, which = pieces.distinct(data, start, size, keys)
+        assert [words[k] for k in index[which]] == words and len(set(words)) == len(index)
+
+
 def test_chunk_maps_compose():
     kinds = np.random.default_rng(1).integers(0, 14, 5000).astype(np.uint8)
     before = bpe.CHUNK
