@@ -3,16 +3,19 @@
 1. Equal texts form classes (hash of the text); one row of each class goes on.
 2. A text's set is cut to its prefix, its smallest shingle hashes: sets that link share a prefix shingle.  The prefix is
    lengthened by a few, `slack`, so that common shingles need not be looked up (step 4).
-3. Inverted lists are kept in blocks in order of set size.
+3. Inverted lists are kept in blocks in order of set size and position.
 4. Lists longer than `common` are looked up only for dense texts, those whose prefix is full of common shingles: sets
    that link share l shingles of their prefixes lengthened by l - 1, so a text with fewer than l common ones in it
-   finds every partner in a short list.  Dense texts are looked up among themselves by prefixes in another order, common
-   shingles last, so that they meet in long lists only where most of their shingles are common.
-5. Answers of similar sets: first sets are compared with the first set of their lists, the smallest, if they meet in
-   several.  Sets that link with it have its component as their answer; sets of one component are not compared again.
-   What is left are pairs in one list whose components differ; blocks whose sizes cannot link are skipped, pairs that
-   share too few prefix shingles too, and the others are compared.  Every link between different texts is thus checked
-   or implied by links that were.
+   finds every partner in a short list.  Dense texts are looked up among themselves by whole sets: shingles that more
+   than `common` of them hold come last in their order, so a prefix leads from what is a text's own to what many share.
+5. Answers of similar sets: sets are compared with the leader of their lists, the text with most of its shingles common,
+   if they meet in several.  A set that links with its leader has the leader's component as its answer.  What it links
+   with beyond that follows from the difference of the two: partners that share one of its own shingles stand in that
+   one's short list, and partners that share none share at most its common shingles.
+6. So a text stands in long lists only if its common shingles alone could make three quarters of it.  Lists are kept in
+   blocks by size and by position of the shingle in the set; two blocks are skipped if sizes, positions or common
+   shingles of their members cannot make a link.  Of the others, pairs whose components differ are compared, first by
+   the parities of their sets.  Every link between different texts is thus checked or implied by links that were.
 
 Lower-casing is A-Z only; words are runs of other characters than ASCII white space; a text with fewer than `width`
 words is one shingle; a text without words, or null, has none and links with nothing.  Shingles are 64-bit hashes.
@@ -37,6 +40,8 @@ COMMON, BLOCK = 32, 256
 SLICE, ROWS = 500_000, 1_000
 #: parities kept of a dense text's set
 BITS = 512
+#: tells lists of turned prefixes from others; a number beyond all list lengths
+TURNED, MANY = 0x5851F42D4C957F2D, 1 << 30
 #: ids that are sent to all tasks at most (8 MB); beyond it they are joined
 SENT = 1_000_000
 
@@ -254,6 +259,7 @@ def _long_pairs(batches, percent: int):
             both = u["n"].astype(np.int64) + v["n"]
             share = -(-percent * both // (100 + percent))  # elements that sets which link share
             keep = (u["c"] != v["c"]) & ((v["c"] == main[r]) | (u["id"] < v["id"])) & (np.minimum(u["n"], v["n"]) >= share)
+            keep &= np.minimum(u["commons"], v["commons"]) >= share
             keep &= np.minimum(u["place"], v["place"]) + np.minimum(u["n"] - u["place"], v["n"] - v["place"]) >= share
             if not keep.any():
                 continue
@@ -290,7 +296,7 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.md5(text.cast("binary")).alias("key"), text.alias("text"))
     named = rows.select("id", "key")
     classes = written(named.groupBy("key").agg(F.min("id").alias("rep")), "classes")
-    copies = written(named.where("id IS NOT NULL").join(classes, "key").where("id <> rep").select("id", "key").distinct(), "copies")
+    copies = written(named.where("id IS NOT NULL").join(classes, "key").where("id <> rep").select("id", "key"), "copies")
     own = _chosen(rows, copies, ["id", "key"], "left_anti")
 
     # inverted lists over lengthened prefixes
@@ -302,32 +308,35 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     lists = written(ordered.mapInArrow(partial(_lists, block=block), "item long, block int, lead long, members array<struct<id:long,n:int,place:int>>"), "lists")
     long_list = (F.size("members") > common) | (F.col("block") > 0)
     member = lambda df: df.select("item", "block", "lead", F.explode("members").alias("m")).select("item", "block", "lead", "m.*")
-    short = member(lists.where(~long_list)).select("item", "block", "id", "n", "place", "lead", F.lit(False).alias("long"))
+    short = member(lists.where(~long_list)).select("item", F.col("block").cast("long").alias("block"), "id", "n", "place", "lead", F.lit(False).alias("long"))
 
-    # long lists: dense texts only
+    # dense texts: most of their prefix stands in long lists
     in_long = member(lists.where(long_list))
     least = F.expr(f"CAST((n * {percent} + 99) DIV 100 AS INT)")  # elements that partners share
     escapes = F.exists(F.sequence(F.lit(1), F.least(F.expr("CAST(n DIV 12 AS INT) + 9"), least)), lambda k: (k > F.size("q")) | (F.get("q", k - 1) >= F.col("n") - least + k))
     frequent = in_long.groupBy("id", "n").agg(F.sort_array(F.collect_list("place")).alias("q"))
     frequent = written(frequent.select("id", "n", F.size("q").alias("often"), (~escapes).alias("dense")), "frequent")
-    # dense texts among themselves: prefixes in another order, in which shingles of long lists come last
-    common_items = written(in_long.select("item").distinct(), "common")
+    # dense texts among themselves, by whole sets: prefixes in another order, common shingles last
     dense = _chosen(own, frequent.where("dense").select("id"), ["id"], "left_semi")
-    whole = dense.mapInArrow(partial(_sets, width=width, percent=percent, part="all"), schema)
+    whole = dense.mapInArrow(partial(_sets, width=width, percent=percent, part="all"), schema).select("id", "n", F.explode("items").alias("item"))
+    common_items = written(whole.groupBy("item").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > common).select("item"), "common")
     flagged = F.broadcast(common_items) if common_items.count() <= SENT else common_items
-    marked = whole.select("id", "key", "n", F.explode("items").alias("item")).join(flagged.withColumn("last", F.lit(1)), "item", "left")
-    turned = marked.groupBy("id", "key", "n").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("last", F.lit(0)).alias("last"), "item"))).alias("s"), F.count("last").alias("commons"))
-    own_prefix = turned.select("id", "n", (F.col("commons") / F.col("n")).alias("share"), F.posexplode(F.slice("s", F.lit(1), F.col("n") - least + 1)).alias("place", "e"))
-    own_prefix = written(own_prefix.select(F.col("e.item").alias("item"), "id", "n", "place", "share"), "turned")
-    # blocks hold sets of nearly one size: the k-th e-fold tenth of sizes, by parts of about `block` sets
-    band = F.floor(F.log("n") * 10).cast("int")
+    marked = whole.join(flagged.withColumn("last", F.lit(1)), "item", "left")
+    turned = marked.groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("last", F.lit(0)).alias("last"), "item"))).alias("s"), F.count("last").cast("int").alias("commons"))
+    own_prefix = turned.select("id", "n", "commons", F.posexplode(F.slice("s", F.lit(1), F.col("n") - least + 1)).alias("place", "e"))
+    own_prefix = written(own_prefix.select(F.expr(f"e.item ^ {TURNED}").alias("item"), (F.col("e.last") == 1).alias("long"), "id", "n", "place", "commons"), "turned")
     # a list's leader is the text with most of its shingles common, the one that others vary
-    lead = own_prefix.groupBy("item").agg(F.max_by("id", F.struct("share", -F.col("id"))).alias("lead"), F.count(F.lit(1)).alias("k")).where("k > 1").select("item", "lead")
-    in_band = own_prefix.groupBy("item", band.alias("band")).agg(F.count(F.lit(1)).alias("k")).join(lead, "item")
-    active = own_prefix.withColumn("band", band).join(in_band, ["item", "band"])
-    active = active.select("item", (F.col("band") * 1_000_000 + F.pmod(F.xxhash64("id"), F.ceil(F.col("k") / block))).cast("int").alias("block"), "id", "n", "place", "lead", F.lit(True).alias("long"))
-    active = written(active, "active")
-    members = short.union(active)
+    share = F.struct(F.col("commons") / F.col("n"), -F.col("id"))
+    lead = written(own_prefix.groupBy("item").agg(F.max_by("id", share).alias("lead"), F.count(F.lit(1)).alias("k")).where("k > 1"), "leads")
+    active = own_prefix.join(lead, "item")
+    # members of a long list that share no other than common shingles share `commons` at most: too few of them, no look-up
+    active = active.where((~F.col("long")) | (F.col("commons") >= least))
+    # blocks by size (the k-th e-fold tenth) and by position, of about `block` members
+    band, spot = F.floor(F.log("n") * 10), F.floor(F.col("place") * 32 / F.col("n"))
+    part = F.pmod(F.xxhash64("id"), F.ceil(F.col("k") / block))
+    number = F.when(F.col("long"), ((band * 40 + spot) * 100_000 + F.least(part, F.lit(99_999))).cast("long"))
+    active = written(active.select("item", F.coalesce(number, F.lit(0)).alias("block"), "id", "n", "place", "lead", "long", "commons"), "active")
+    members = short.withColumn("commons", F.lit(None).cast("int")).unionByName(active)
 
     def checked(pairs: DataFrame) -> DataFrame:
         """The pairs that link; whole sets are made for their texts only."""
@@ -343,7 +352,8 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
 
     # what is left: pairs in one list with different components
     placed = members.join(known.withColumnRenamed("node", "id"), "id", "left").join(frequent.groupBy("id").agg(F.max("often").alias("often")), "id", "left")
-    placed = written(placed.select("item", "block", "long", "id", "n", "place", F.coalesce("component", "id").alias("c"), F.coalesce("often", F.lit(0)).alias("often")), "placed")
+    often = F.when(F.col("commons").isNull(), F.coalesce("often", F.lit(0))).otherwise(MANY)  # one shared shingle of a turned prefix is enough
+    placed = written(placed.select("item", "block", "long", "id", "n", "place", "commons", F.coalesce("component", "id").alias("c"), often.alias("often")), "placed")
     # in each list the members outside its largest component against all others
     parts = placed.groupBy("item", "c").agg(F.count(F.lit(1)).alias("k")).groupBy("item").agg(F.count(F.lit(1)).alias("parts"), F.max_by("c", F.struct("k", "c")).alias("main")).where("parts > 1")
     placed = placed.join(parts.select("item", "main"), "item")
@@ -352,10 +362,14 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     pairs = alone.mapInArrow(partial(_pairs, percent=percent), "a long, b long, met long, need int").groupBy("a", "b").agg(F.sum("met").alias("met"), F.min("need").alias("need"))
     pairs = pairs.where(F.col("met") >= F.col("need")).select("a", "b")
     parities = dense.mapInArrow(partial(_sets, width=width, percent=percent, part="parities"), schema).select("id", "n", F.col("items").alias("parities"))
-    blocks = placed.where("long").join(parities, ["id", "n"]).groupBy("item", "block", "main").agg(F.collect_list(F.struct("n", "id", "c", "place", "parities")).alias("all2"), F.min("n").alias("lo"), F.max("n").alias("hi"))
-    blocks = written(blocks.select("item", "block", "main", odd, "all2", "lo", "hi"), "blocks")
-    other = blocks.select("item", "all2", F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
-    met = blocks.where("size(odd) > 0").drop("all2").join(other, "item").where((F.col("lo2") * percent <= F.col("hi") * 100) & (F.col("lo") * percent <= F.col("hi2") * 100))
+    # most that members of two blocks can share, by what is common and by their positions, against what the smallest must
+    bounds = {"n": F.min("n"), "size": F.max("n"), "commons": F.max("commons"), "before": F.max("place"), "after": F.max(F.col("n") - F.col("place"))}
+    blocks = placed.where("long").join(parities, ["id", "n"]).groupBy("item", "block", "main").agg(F.collect_list(F.struct("n", "id", "c", "place", "commons", "parities")).alias("all2"), *(f.alias(k) for k, f in bounds.items()))
+    blocks = written(blocks.select("item", "main", odd, "all2", *bounds), "blocks")
+    other = blocks.select("item", "all2", *(F.col(k).alias(f"{k}2") for k in bounds))
+    need = F.expr(f"({percent} * (n + n2) + {99 + percent}) DIV {100 + percent}")
+    fits = (F.col("n2") * percent <= F.col("size") * 100) & (F.col("n") * percent <= F.col("size2") * 100) & (F.least("commons", "commons2") >= need) & (F.least("before", "before2") + F.least("after", "after2") >= need)
+    met = blocks.where("size(odd) > 0").drop("all2").join(other, "item").where(fits)
     pairs = pairs.union(met.select("main", "odd", "all2").mapInArrow(partial(_long_pairs, percent=percent), "a long, b long")).distinct().join(stars, ["a", "b"], "left_anti")
     final = components(links.union(checked(written(pairs, "pairs"))))
 
