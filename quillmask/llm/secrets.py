@@ -8,7 +8,12 @@ scope, that is in the same text with at most `scope` code points between them:
 * an identifier, if a secret (assignment, hex run or weak secret) stands in its scope;
 * an endpoint, if both an identifier and a secret do.
 
-The parts of a text are lists of disjoint intervals in order, so their interval join is a binary search for each
+Parts that overlap are one part and no partners of each other: the value of `client_id=...` is not its own secret, nor is
+a token inside a URL that URL's.  What is left out: texts without an identifier or access key have no linked parts at all;
+partners stand at most `scope` code points apart; a weak secret has 20 characters or more, with capital and small letters
+and digits among them.
+
+The parts of a text are lists of disjoint intervals in order, so their interval join is two binary searches for each
 candidate: n log n in the number of parts, without a shuffle and without pairs.
 
 Positions are code points, ends exclusive.  Null and empty texts have no findings; repeated rows are scanned row by
@@ -41,32 +46,39 @@ def _cut(text: Column, pattern: str, gate: Column | None = None) -> Column:
     return F.when(text.rlike(pattern) if gate is None else gate, cut).otherwise(F.struct(none.alias("gaps"), none.alias("hits")))
 
 
+#: a part in code points, and in bytes
+_PART = "struct<start:int,end:int,value:string,first:int,last:int>"
+
+
 def _places(cut: Column) -> Column:
-    """array<struct<start, end, value>> of a cut.  Sums are carried in steps, so time stays near linear in the matches."""
-    parts = F.arrays_zip(F.transform(F.slice(cut["gaps"], 1, F.size(cut["hits"])), lambda g: F.length(g)).alias("gap"), cut["hits"].alias("hit"))
-    parts = F.transform(parts, lambda p: F.struct(p["gap"].alias("gap"), F.length(p["hit"]).alias("size"), p["hit"].alias("value")))
-    return parts
+    """Lengths of each match and of the gap before it, in code points and in bytes."""
+    parts = F.arrays_zip(F.slice(cut["gaps"], 1, F.size(cut["hits"])).alias("gap"), cut["hits"].alias("hit"))
+    return F.transform(parts, lambda p: F.struct(F.length(p["gap"]).alias("gap"), F.length(p["hit"]).alias("size"), F.octet_length(p["gap"]).alias("skip"), F.octet_length(p["hit"]).alias("wide"), p["hit"].alias("value")))
 
 
-def _offsets(parts: Column, sums: Column) -> Column:
-    steps = F.when(F.size(parts) > 0, F.sequence(F.lit(0), ((F.size(parts) - 1) / _STEP).cast("int"))).otherwise(F.array().cast("array<int>"))
+def _steps(parts: Column) -> Column:
+    return F.when(F.size(parts) > 0, F.sequence(F.lit(0), ((F.size(parts) - 1) / _STEP).cast("int"))).otherwise(F.array().cast("array<int>"))
+
+
+def _offsets(parts: Column, sums: Column, wide: Column) -> Column:
+    """array<_PART>.  Sums are carried in steps, so time stays near linear in the matches."""
 
     def block(k):
-        base = F.aggregate(F.slice(sums, F.lit(1), k), F.lit(0).cast("int"), lambda a, s: a + s)
-        start = F.struct(base.alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out"))
+        base, first = (F.aggregate(F.slice(s, F.lit(1), k), F.lit(0).cast("int"), lambda a, v: a + v) for s in (sums, wide))
+        start = F.struct(base.alias("at"), first.alias("byte"), F.array().cast(f"array<{_PART}>").alias("out"))
 
         def add(a, p):
-            at = a["at"] + p["gap"]
-            return F.struct((at + p["size"]).alias("at"), F.concat(a["out"], F.array(F.struct(at.alias("start"), (at + p["size"]).alias("end"), p["value"].alias("value")))).alias("out"))
+            at, byte = a["at"] + p["gap"], a["byte"] + p["skip"]
+            own = F.struct(at.alias("start"), (at + p["size"]).alias("end"), p["value"].alias("value"), byte.alias("first"), (byte + p["wide"]).alias("last"))
+            return F.struct((at + p["size"]).alias("at"), (byte + p["wide"]).alias("byte"), F.concat(a["out"], F.array(own)).alias("out"))
 
         return F.aggregate(F.slice(parts, k * _STEP + 1, F.lit(_STEP)), start, add, lambda a: a["out"])
 
-    return F.flatten(F.transform(steps, block))
+    return F.flatten(F.transform(_steps(parts), block))
 
 
-def _sums(parts: Column) -> Column:
-    steps = F.when(F.size(parts) > 0, F.sequence(F.lit(0), ((F.size(parts) - 1) / _STEP).cast("int"))).otherwise(F.array().cast("array<int>"))
-    return F.transform(steps, lambda k: F.aggregate(F.slice(parts, k * _STEP + 1, F.lit(_STEP)), F.lit(0).cast("int"), lambda a, p: a + p["gap"] + p["size"]))
+def _sums(parts: Column, gap: str, size: str) -> Column:
+    return F.transform(_steps(parts), lambda k: F.aggregate(F.slice(parts, k * _STEP + 1, F.lit(_STEP)), F.lit(0).cast("int"), lambda a, p: a + p[gap] + p[size]))
 
 
 def _held(df: DataFrame, name: str, **columns: Column) -> DataFrame:
@@ -74,22 +86,27 @@ def _held(df: DataFrame, name: str, **columns: Column) -> DataFrame:
     return df.withColumn(name, F.explode(F.array(F.struct(*(c.alias(k) for k, c in columns.items())))))
 
 
-def _in_scope(part: Column, others: Column, scope: int) -> Column:
-    """Whether one of the others (disjoint, in order) stands within scope of a part: binary search for the first that does not end too early."""
+def _first(others: Column, late) -> Column:
+    """Place of the first of the others (disjoint, in order) for which late holds, by binary search."""
     n = F.size(others)
     rounds = F.sequence(F.lit(0), F.ceil(F.log2(n + F.lit(1))).cast("int"))
 
     def halve(a, _):
         mid = ((a["lo"] + a["hi"]) / 2).cast("int")
-        early = F.get(others, mid)["end"] < part["start"] - scope
-        return F.when(a["lo"] >= a["hi"], a).when(early, F.struct((mid + 1).alias("lo"), a["hi"].alias("hi"))).otherwise(F.struct(a["lo"].alias("lo"), mid.alias("hi")))
+        return F.when(a["lo"] >= a["hi"], a).when(late(F.get(others, mid)), F.struct(a["lo"].alias("lo"), mid.alias("hi"))).otherwise(F.struct((mid + 1).alias("lo"), a["hi"].alias("hi")))
 
-    first = F.aggregate(rounds, F.struct(F.lit(0).alias("lo"), n.alias("hi")), halve, lambda a: a["lo"])
-    return F.coalesce(F.get(others, first)["start"] <= part["end"] + scope, F.lit(False))
+    return F.aggregate(rounds, F.struct(F.lit(0).alias("lo"), n.alias("hi")), halve, lambda a: a["lo"])
+
+
+def _in_scope(part: Column, others: Column, scope: int) -> Column:
+    """Whether one of the others that does not overlap the part stands within scope of it: the last before it or the first after it."""
+    before = F.get(others, _first(others, lambda o: o["end"] > part["start"]) - 1)
+    after = F.get(others, _first(others, lambda o: o["start"] >= part["end"]))
+    return F.coalesce(before["end"] >= part["start"] - scope, F.lit(False)) | F.coalesce(after["start"] <= part["end"] + scope, F.lit(False))
 
 
 def find(docs: DataFrame, text_col: str = "text", out: str = "spans", scope: int = SCOPE) -> DataFrame:
-    """docs and a column: array<struct<start, rank, end, kind>>, in order of start, then kind as in KINDS."""
+    """docs and a column: array<struct<start, rank, end, kind, first, last>>, in order of start, then kind as in KINDS; first and last in bytes."""
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     work = [fresh(docs, f"_secrets{k}") for k in range(6)]
     patterns = {"assign": ASSIGN, "access": ACCESS, "hex": HEX, "ids": IDENTIFIER, "weak": WEAK, "ends": ENDPOINT}
@@ -98,8 +115,8 @@ def find(docs: DataFrame, text_col: str = "text", out: str = "spans", scope: int
     gates = {"access": key, "ids": named, "weak": named, "ends": named & text.contains("://")}  # no identifier, nothing to link
     df = _held(df, work[0], **{k: _cut(text, p, gates.get(k)) for k, p in patterns.items()})
     df = _held(df, work[1], **{k: _places(F.col(work[0])[k]) for k in patterns})
-    df = _held(df, work[2], **{k: F.struct(F.col(work[1])[k].alias("parts"), _sums(F.col(work[1])[k]).alias("sums")) for k in patterns})
-    df = _held(df, work[3], **{k: _offsets(F.col(work[2])[k]["parts"], F.col(work[2])[k]["sums"]) for k in patterns})
+    df = _held(df, work[2], **{k: F.struct(F.col(work[1])[k].alias("parts"), _sums(F.col(work[1])[k], "gap", "size").alias("sums"), _sums(F.col(work[1])[k], "skip", "wide").alias("wide")) for k in patterns})
+    df = _held(df, work[3], **{k: _offsets(*(F.col(work[2])[k][f] for f in ("parts", "sums", "wide"))) for k in patterns})
     at = F.col(work[3])
     assign = F.filter(at["assign"], lambda p: F.length(F.regexp_extract(p["value"], ASSIGN, 2)) >= 8)
     access = F.filter(at["access"], lambda p: p["end"] - p["start"] >= 16)
@@ -109,7 +126,7 @@ def find(docs: DataFrame, text_col: str = "text", out: str = "spans", scope: int
     near = lambda p, *kinds: _any(*(_in_scope(p, got[k], scope) for k in kinds))
     base = F.exists(got["assign"], lambda _: F.lit(True)) | (F.size(got["access"]) + F.size(got["hex"]) > 0)
     some_id, some_secret = F.size(got["ids"]) + F.size(got["access"]) > 0, base | (F.size(got["weak"]) > 0)
-    none = F.array().cast("array<struct<start:int,end:int,value:string>>")
+    none = F.array().cast(f"array<{_PART}>")
     linked_secret = F.when(some_id, F.filter(got["weak"], lambda p: near(p, "ids", "access"))).otherwise(none)
     linked_id = F.when(some_secret, F.filter(got["ids"], lambda p: near(p, "assign", "hex", "weak"))).otherwise(none)
     linked_end = F.when(some_id & some_secret, F.filter(got["ends"], lambda p: near(p, "ids", "access") & near(p, "assign", "hex", "weak"))).otherwise(none)
@@ -119,7 +136,7 @@ def find(docs: DataFrame, text_col: str = "text", out: str = "spans", scope: int
 
 
 def _as_span(rank: int):
-    return lambda p: F.struct(p["start"].alias("start"), F.lit(rank).alias("rank"), p["end"].alias("end"), F.lit(KINDS[rank]).alias("kind"))
+    return lambda p: F.struct(p["start"].alias("start"), F.lit(rank).alias("rank"), p["end"].alias("end"), F.lit(KINDS[rank]).alias("kind"), p["first"].alias("first"), p["last"].alias("last"))
 
 
 def _any(*tests: Column) -> Column:
@@ -144,18 +161,32 @@ def redact(docs: DataFrame, text_col: str = "text", mask: str = "[SECRET]") -> D
     """docs with every found span but endpoints replaced by the mask; overlapping spans become one.  Null texts stay null."""
     spans = fresh(docs, "_spans")
     df = find(docs, text_col, spans)
-    ranges = F.filter(F.col(spans), lambda s: s["rank"] < 5)
-
-    def merge(a, s):
-        last = F.try_element_at(a, F.lit(-1))
-        grown = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))
-        own = F.struct(s["start"].alias("start"), s["end"].alias("end"))
-        return F.when(last["end"] >= s["start"], F.concat(F.slice(a, F.lit(1), F.size(a) - 1), F.array(grown))).otherwise(F.concat(a, F.array(own)))
-
     hold = fresh(df, "_ranges")
-    df = _held(df, hold, all=F.aggregate(ranges, F.array().cast("array<struct<start:int,end:int>>"), merge))
-    merged, text = F.col(hold)["all"], F.col(f"`{text_col}`")
-    gaps = F.transform(merged, lambda s, i: F.concat(text.substr(F.when(i == 0, 0).otherwise(F.get(merged, i - 1)["end"]) + 1, s["start"] - F.when(i == 0, 0).otherwise(F.get(merged, i - 1)["end"])), F.lit(mask)))
-    rest = text.substr(F.try_element_at(merged, F.lit(-1))["end"] + 1, F.length(text))
+    df = _held(df, hold, all=F.filter(F.col(spans), lambda s: s["rank"] < 5))
+    ranges, kind = F.col(hold)["all"], "struct<first:int,last:int>"
+
+    def step(a, s):
+        last = a["last"]
+        own = F.struct(s["first"].alias("first"), s["last"].alias("last"))
+        grown = F.struct(last["first"].alias("first"), F.greatest(last["last"], s["last"]).alias("last"))
+        joins = last.isNotNull() & (last["last"] >= s["first"])
+        out = F.when(last.isNull() | joins, a["out"]).otherwise(F.concat(a["out"], F.array(last)))
+        return F.struct(F.when(joins, grown).otherwise(own).alias("last"), out.alias("out"))
+
+    none = F.array().cast(f"array<{kind}>")
+
+    def block(a, k):  # a list of those merged is copied once a block
+        start = F.struct(a["last"].alias("last"), none.alias("out"))
+        return F.aggregate(F.slice(ranges, k * _STEP + 1, F.lit(_STEP)), start, step, lambda b: F.struct(b["last"].alias("last"), F.concat(a["out"], b["out"]).alias("out")))
+
+    start = F.struct(F.lit(None).cast(kind).alias("last"), none.alias("out"))
+    merged = F.aggregate(_steps(ranges), start, block, lambda a: F.when(a["last"].isNull(), a["out"]).otherwise(F.concat(a["out"], F.array(a["last"]))))
+    held = fresh(df, "_merged")
+    df = _held(df, held, all=merged)
+    merged, text = F.col(held)["all"], F.col(f"`{text_col}`")
+    raw = text.cast("binary")
+    piece = lambda lo, hi: F.substring(raw, lo + 1, hi - lo).cast("string")
+    gaps = F.transform(merged, lambda s, i: F.concat(piece(F.when(i == 0, 0).otherwise(F.get(merged, i - 1)["last"]), s["first"]), F.lit(mask)))
+    rest = piece(F.try_element_at(merged, F.lit(-1))["last"], F.octet_length(text))
     clean = F.when(F.size(merged) > 0, F.concat(F.array_join(gaps, ""), rest)).otherwise(text)
-    return df.withColumn(text_col, clean).drop(spans, hold)
+    return df.withColumn(text_col, clean).drop(spans, hold, held)
