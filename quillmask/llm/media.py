@@ -10,12 +10,15 @@ import hashlib
 import json
 import struct
 import zlib
+from itertools import islice, repeat
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: boxes that hold boxes
 NESTING = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf", b"edts", b"udta", b"moof", b"traf", b"mvex"}
+#: levels that a path keeps
+DEEP = 16
 UNIT, RATE = 192, 8000
 #: samples a chunk has at most, and after how many chunks a keyframe is listed
 CHUNK, KEY_EVERY = 4096, 4
@@ -80,23 +83,30 @@ def write(payload: bytes) -> bytes:
     return brand + moov + (struct.pack(">I4sQ", 1, b"mdat", size) if wide else struct.pack(">I4s", size, b"mdat")) + payload
 
 
-def walk(data: bytes, lo: int = 0, hi: int | None = None, path: tuple[bytes, ...] = ()):
-    """Yields (path, first byte of the body, end) of every box, depth first.  A box that does not fit ends its level."""
-    hi = len(data) if hi is None else hi
-    while lo + 8 <= hi:
+def walk(data: bytes, lo: int = 0, hi: int | None = None):
+    """Yields (path, first byte of the body, end) of every box, depth first.  A box that does not fit ends its level.
+
+    Levels are kept on a list, so boxes may nest to any depth; a path names the DEEP innermost kinds at most.
+    """
+    open_levels: list[tuple[int, int, tuple[bytes, ...]]] = [(lo, len(data) if hi is None else hi, ())]
+    while open_levels:
+        lo, hi, path = open_levels.pop()
+        if lo + 8 > hi:
+            continue
         size, kind = struct.unpack_from(">I4s", data, lo)
         body = lo + 8
         if size == 1:
             if lo + 16 > hi:
-                return
+                continue
             size, body = struct.unpack_from(">Q", data, body)[0], lo + 16
         end = hi if size == 0 else lo + size
         if end > hi or end < body:
-            return
-        yield (*path, kind), body, end
+            continue
+        here = (*path[-DEEP + 1 :], kind)
+        yield here, body, end
+        open_levels.append((end, hi, path))
         if kind in NESTING:
-            yield from walk(data, body, end, (*path, kind))
-        lo = end
+            open_levels.append((body, end, here))
 
 
 def tracks(data: bytes) -> list[dict]:
@@ -127,21 +137,20 @@ def _track(data: bytes, box: dict) -> dict | None:
     codec = data[lo + 12 : lo + 16].decode("latin-1")
     lo, hi = box[b"stsz"]
     fixed, count = struct.unpack_from(">II", data, lo + 4)
-    sizes = [fixed] * count if fixed else [s for (s,) in _numbers(data, lo + 8, hi, 1)]
+    sizes = repeat(fixed, min(count, len(data) // fixed)) if fixed else iter([s for (s,) in _numbers(data, lo + 8, hi, 1)])  # a file holds no more
     wide = b"co64" in box
     lo, hi = box[b"co64" if wide else b"stco"]
     places = [p for (p,) in _numbers(data, lo + 4, hi, 1, "Q" if wide else "I")]
     lo, hi = box[b"stsc"]
     runs = _numbers(data, lo + 4, hi, 3)
-    ranges, chunks, sample = [], [], 0
+    ranges, chunks = [], []
     for k, (first, per, _) in enumerate(runs):
         stop = runs[k + 1][0] if k + 1 < len(runs) else len(places) + 1
         for c in range(first, min(stop, len(places) + 1)):
             at = began = places[c - 1]
-            for size in sizes[sample : sample + per]:
+            for size in islice(sizes, per):
                 ranges.append((at, at + size))
                 at += size
-            sample += per
             chunks.append((began, at))
     if b"stss" in box:
         lo, hi = box[b"stss"]
@@ -193,7 +202,10 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def container_columns(files: DataFrame, id_col: str, data_col: str) -> DataFrame:
-    """Columns of stored containers (binary): id, description.  Null or broken data gives an empty list."""
+    """Columns of stored containers (binary): id, description.  Null or broken data gives an empty list.
+
+    Tables are read as far as their boxes go, whatever counts they claim, and sample sizes as far as the file could hold them.
+    """
     id_type = files.schema[id_col].dataType.simpleString()
 
     def run(batches):
