@@ -292,6 +292,7 @@ def _chosen(rows: DataFrame, ids: DataFrame, on: list[str], how: str) -> DataFra
 
 def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT, common: int = COMMON, block: int = BLOCK) -> DataFrame:
     """One row per input row: id, n_shingles, component_id (smallest id that links lead to; null for a null id)."""
+    since = shared.mark()
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.md5(text.cast("binary")).alias("key"), text.alias("text"))
     named = rows.select("id", "key")
@@ -377,14 +378,17 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     sizes = own.mapInArrow(partial(_sets, width=width, percent=percent, part="none"), schema).select("key", F.col("n").cast("long").alias("n")).distinct()
     by_key = classes.join(sizes, "key").join(final, F.col("rep") == F.col("node"), "left")
     by_key = written(by_key.select("key", "n", F.coalesce("component", "rep").alias("component")), "by_key")
+    shared.tidy(docs.sparkSession, since, "by_key")
     out = named.join(by_key, "key")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("id")).when(F.col("id").isNotNull(), F.col("component")).alias("component_id"))
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs without the rows that link to a smaller id; of rows with one id and one component all stay or go."""
+    since = shared.mark()
     found = similar(docs, id_col, text_col, **options)
     drop = written(found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_drop")).distinct(), "drop")
+    shared.tidy(docs.sparkSession, since, "drop")
     drop = F.broadcast(drop) if drop.count() <= SENT else drop
     return docs.join(drop, docs[id_col] == F.col("_drop"), "left_anti")
 

@@ -1,15 +1,15 @@
 """Order-preserving packing of documents into fixed windows by dynamic programming.
 
 The documents of an input partition form one stream in their stored order.  Window cuts are chosen among document
-ends, sentence ends and, where a sentence is too long or padding would cost more, any other place, so that the sum
-of padding and of penalties for cutting documents is smallest:
+ends, sentence ends and, where a sentence is too long or padding would cost more, every `grid`-th other place, so that
+the sum of padding and of penalties for cutting documents is smallest among such cuts of a block of `block` tokens:
 
     cost(j) = penalty(j) + min over i, 0 < j - i <= size, of cost(i) + padding(j - i)
 
 padding(n) = 0 if n is a power of two, else size - n.  Since size - (j - i) splits into a part of i and a part of j,
 the minimum over the sliding window is kept in a monotone queue, and the powers of two add one look-up each.
 
-Cuts at places that are neither document nor sentence ends are offered every `grid` tokens.
+The sum is smallest within a block; a block's last windows are planned again with the next one.
 Null and empty texts are documents of the end id alone.  Repeated rows are packed one by one.  A text of any length is
 streamed through blocks of `block` tokens, whose last windows are carried into the next block, so memory does not
 grow with the partition.  An empty table gives no rows; other columns are not looked at.

@@ -26,7 +26,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmask.llm.common import fresh, written
+from quillmask.llm.common import fresh, mark, tidy, written
 
 #: lengths of word beginnings that are features beside whole words
 GRAMS = (4, 5, 6)
@@ -107,6 +107,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     share = min(1.0, fit_rows / max(1, n))
     sample = kept.where(F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1 << 20)) < int(share * (1 << 20)) + (share == 1.0))
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")).join(F.broadcast(sample), "id").select("label", "text")
+    since = mark()
     rows, sizes = written(rows, "labelled"), [0, 0]
     for r in rows.groupBy("label").count().collect():
         sizes[r.label] = r["count"]
@@ -143,6 +144,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_pylist(out, pa.schema([("label", pa.int32()), ("x", pa.list_(pa.int32())), ("y", pa.list_(pa.int32()))]))
 
     got = rows.mapInArrow(extract, "label int, x array<int>, y array<int>").toPandas()
+    tidy(docs.sparkSession, since)
     width = len(names) * len(LEVELS)
     real = got[got.label >= 0]
     order = np.lexsort((real.x.map(len).to_numpy(), real.label.to_numpy()))  # the same sums however rows came
