@@ -166,6 +166,18 @@ def starts(kinds: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(out.T).ravel()[:n]
 
 
+def parts(column, size: int = 1_000_000):
+    """(first row, texts) of parts of an Arrow column of about so many bytes; nulls are empty.  Only one part is held as strings."""
+    import pyarrow.compute as pc
+
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    lo = 0
+    while lo < len(column):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + size, "right")))
+        yield lo, [t or "" for t in column.slice(lo, hi - lo).to_pylist()]
+        lo = hi
+
+
 class Splitter:
     """Cuts texts into pre-tokens; special strings are pieces of their own."""
 
@@ -176,7 +188,7 @@ class Splitter:
         if any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in spec.get("added_tokens", [])) or len(self.special) > 1:
             raise ValueError(f"{path}: only one plain special string is compiled")
 
-    def batches(self, texts: list[str], chars: int = 1_000_000):
+    def batches(self, texts, chars: int = 1_000_000):
         """Yields (index of the first text, groups()) of about so many characters."""
         at, size, part = 0, 0, []
         for text in texts:
@@ -230,7 +242,7 @@ def byte_alphabet() -> dict[str, int]:
 class CountTransducer:
     """tokens(piece): how many tokens byte-pair merging makes of a pre-token, in time linear in its bytes."""
 
-    def __init__(self, path: str, max_states: int = 20_000, max_words: int = 1_000_000):
+    def __init__(self, path: str, max_states: int = 20_000, max_words: int = 240_000):
         spec = _load(path)
         stand_in = byte_alphabet()
         special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
@@ -383,7 +395,7 @@ class CountTransducer:
         return out[::-1]
 
     def counts(self, groups: tuple[list[str], np.ndarray, np.ndarray]) -> np.ndarray:
-        """Tokens by text; counts of pieces seen before are kept, up to max_words."""
+        """Tokens by text; counts of pieces seen lately are kept, up to max_words."""
         pieces, index, by_text = groups
         each = np.fromiter(map(self.words.__getitem__, pieces), np.int64, len(pieces))
         total = np.concatenate(([0], np.cumsum(each[index])))
@@ -392,16 +404,19 @@ class CountTransducer:
 
 
 class _Words(dict):
-    """Values of short pieces seen before; emptied at a fixed size."""
+    """Values of short pieces seen lately: `most` at most, of which the older half goes when the newer one is full."""
 
     def __init__(self, make, most: int):
         super().__init__()
-        self.make, self.most = make, most
+        self.make, self.most, self.older = make, most, {}
 
     def __missing__(self, piece: str):
-        value = self.make(piece)
+        value = self.older.get(piece)
+        if value is None:
+            value = self.make(piece)
         if len(piece) <= 64:
-            if len(self) >= self.most:
+            if len(self) >= self.most // 2:
+                self.older = dict(self)
                 self.clear()
             self[piece] = value
         return value
@@ -417,10 +432,10 @@ class Encoder:
     """Ids of texts as the library gives them, special strings included.
 
     Each pre-token is merged by tiktoken from the same file's vocabulary (its ranks are the merge order, which is
-    checked); ids of pieces seen before are kept, up to max_words.
+    checked); ids of pieces seen lately are kept, up to max_words.
     """
 
-    def __init__(self, path: str, packed: bytes, max_words: int = 600_000):
+    def __init__(self, path: str, packed: bytes, max_words: int = 240_000):
         import tiktoken
 
         spec = _load(path)

@@ -160,25 +160,18 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
         for batch in batches:
             id_arrow = batch.schema.field(0).type
             names = batch.column(0).to_pylist()
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            lo = 0
-            while lo < len(texts):
-                hi, chars = lo, 0
-                while hi < len(texts) and (hi == lo or chars + len(texts[hi]) <= 1_000_000):
-                    chars += len(texts[hi])
-                    hi += 1
-                flat, sizes = encoder.ids(texts[lo:hi])
+            for lo, texts in bpe.parts(batch.column(1)):
+                flat, sizes = encoder.ids(texts)
                 bounds = np.concatenate(([0], np.cumsum(sizes)))
-                for k in range(lo, hi):
-                    ids = np.append(flat[bounds[k - lo] : bounds[k - lo + 1]], np.uint32(end_id)).astype("<u4")
+                for k in range(len(texts)):
+                    ids = np.append(flat[bounds[k] : bounds[k + 1]], np.uint32(end_id)).astype("<u4")
                     ends = np.flatnonzero(stops[np.minimum(ids[:-1], len(stops) - 1)]) + 1
                     for cut in range(0, len(ids), block):  # a document longer than a block comes in parts
                         piece = ids[cut : cut + block]
                         own = ends[(ends > cut) & (ends <= cut + len(piece))] - cut
-                        stream.add(names[k], piece, own, len(ids), cut)
+                        stream.add(names[lo + k], piece, own, len(ids), cut)
                         if stream.length >= block:
                             yield from rows(False)
-                lo = hi
         yield from rows(True)
 
     read = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))

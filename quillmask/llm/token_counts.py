@@ -26,8 +26,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
 
         splitter, transducer = bpe.compiled(tokenizer, packed)
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            counts = [transducer.counts(g) for _, g in splitter.batches(texts)]
+            counts = [transducer.counts(splitter.groups(texts)) for _, texts in bpe.parts(batch.column(1))]
             n = np.concatenate(counts) if counts else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64())], ["id", "n_bytes", "n_tokens"])
 

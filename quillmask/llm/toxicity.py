@@ -68,7 +68,7 @@ class Model:
             known = memo.get(word)
             if known is None:
                 known = tuple(k for g in grams(word) if (k := self.vocabulary.get(g)) is not None)
-                if len(memo) > 300_000:
+                if len(memo) > 100_000:
                     memo.clear()
                 if len(word) <= 40:
                     memo[word] = known
@@ -196,7 +196,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "sco
 
         memo: dict = {}
         for batch in batches:
-            scores = [model.score(words(t or ""), memo) for t in batch.column(at).to_pylist()]
+            scores = [model.score(words(t.as_py() or ""), memo) for t in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [f"c{k}" for k in range(batch.num_columns + 1)])
 
     plain = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))
