@@ -22,15 +22,49 @@ PHONES = (
     rf"\+1{_GAP}?\([0-9]{{3}}\){_GAP}?[0-9]{{3}}{_GAP}?[0-9]{{4}}",
     rf"\(?[0-9]{{3}}\)?{_GAP}[0-9]{{3}}{_GAP}[0-9]{{4}}",
 )
-CARD = r"\b[0-9][0-9 .-]{11,}[0-9]\b"
+CARD = r"(?<![0-9A-Za-z_])[0-9][0-9 .-]{11,}[0-9](?![0-9A-Za-z_])"
 JWT = r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"
 JWT_LONGEST = 8192
 TOKEN = r"<<(EMAIL|PHONE|IBAN|CREDIT_CARD|JWT|NAME|SECRET|PRIVATE_KEY)_([0-9]+)>>"
 
-# IBAN shapes by country; d a digit, L a letter, X either, with repeat counts.
-IBANS = """DE d20; FR d12 X11 d2; GB d2 L4 d14; ES d22; IT d2 L1 d10 X12; NL d2 L4 d10; BE d14; CH d7 X12; AT d18; PT d23;
-IE d2 L4 d14; LU d5 X13; GR d9 X16; FI d16; DK d16; SE d22; NO d13; PL d26; CZ d22; HU d26; RO d2 L4 X16; BG d2 L4 d6 X8;
-HR d19; SK d22; SI d17; LT d18; LV d2 L4 X13; EE d18; IS d24; MT d2 L4 d5 X18; CY d26; LI d19; MC d25; SM d2 L1 d10 X12; AD d22"""
+# IBAN patterns by country.
+IBANS = (
+    r"DE[0-9]{20}",
+    r"FR[0-9]{12}[A-Z0-9]{11}[0-9]{2}",
+    r"GB[0-9]{2}[A-Z]{4}[0-9]{14}",
+    r"ES[0-9]{22}",
+    r"IT[0-9]{2}[A-Z]{1}[0-9]{10}[A-Z0-9]{12}",
+    r"NL[0-9]{2}[A-Z]{4}[0-9]{10}",
+    r"BE[0-9]{14}",
+    r"CH[0-9]{7}[A-Z0-9]{12}",
+    r"AT[0-9]{18}",
+    r"PT[0-9]{23}",
+    r"IE[0-9]{2}[A-Z]{4}[0-9]{14}",
+    r"LU[0-9]{5}[A-Z0-9]{13}",
+    r"GR[0-9]{9}[A-Z0-9]{16}",
+    r"FI[0-9]{16}",
+    r"DK[0-9]{16}",
+    r"SE[0-9]{22}",
+    r"NO[0-9]{13}",
+    r"PL[0-9]{26}",
+    r"CZ[0-9]{22}",
+    r"HU[0-9]{26}",
+    r"RO[0-9]{2}[A-Z]{4}[A-Z0-9]{16}",
+    r"BG[0-9]{2}[A-Z]{4}[0-9]{6}[A-Z0-9]{8}",
+    r"HR[0-9]{19}",
+    r"SK[0-9]{22}",
+    r"SI[0-9]{17}",
+    r"LT[0-9]{18}",
+    r"LV[0-9]{2}[A-Z]{4}[A-Z0-9]{13}",
+    r"EE[0-9]{18}",
+    r"IS[0-9]{24}",
+    r"MT[0-9]{2}[A-Z]{4}[0-9]{5}[A-Z0-9]{18}",
+    r"CY[0-9]{26}",
+    r"LI[0-9]{19}",
+    r"MC[0-9]{25}",
+    r"SM[0-9]{2}[A-Z]{1}[0-9]{10}[A-Z0-9]{12}",
+    r"AD[0-9]{22}",
+)
 
 # Card issuers: prefixes and lengths.
 ISSUERS = (
@@ -73,7 +107,18 @@ BASE64 = r"[A-Za-z0-9+/]{20,256}={0,2}"
 HEX = r"[0-9a-fA-F]{32,256}"
 BEARER = r"(?i:bearer)[ \t\n\f\r]+([A-Za-z0-9_.+/=-]{20,256})"
 PAIR = r"""(?i:access|auth|api|credential|creds|key|passw(?:or)?d|secret|token)[ \tA-Za-z0-9_.-]{0,20}[ \t\n\f\r'"]{0,3}(?:\|\||:{1,3}=|=>|\?=|=|>|:|,)[`'" \t\n\f\r=]{0,5}([A-Za-z0-9_.=-]{10,150})"""
-NEVER = r"^(?:[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}|[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{64}|[0-9a-fA-F]{128}|true|false|null|undefined|example|test|demo|sample|[a-zA-Z_.-]+|[A-Z_]{3,30})$"
+NEVER = (
+    r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}",  # UUID
+    r"[0-9a-fA-F]{32}",  # digests of the usual lengths
+    r"[0-9a-fA-F]{40}",
+    r"[0-9a-fA-F]{64}",
+    r"[0-9a-fA-F]{128}",
+    r"true|false|null|undefined",  # literals
+    r"example|test|demo|sample",  # placeholders
+    r"[a-zA-Z_.-]+",  # dotted identifiers
+    r"[A-Z_]{3,30}",  # identifiers in capitals
+)
+IN_URL = r"https?://[^?]*[?]"  # in what stands before a value, without a gap: the value is in a URL's query
 
 # Guards and defaults.
 SCAN_PATHS = ("/conversation", "/v1/messages", "/chat/completions", "generatecontent", "/chat/")
@@ -83,8 +128,8 @@ LARGEST_TEXT = 1 << 20
 RING, RING_BODY, LOG_PATH, SLIDING = 50, 64 * 1024, 512, 4096
 TYPES = ("EMAIL", "PHONE", "IBAN", "CREDIT_CARD", "JWT", "NAME", "SECRET", "PRIVATE_KEY")
 
-
-def iban_patterns() -> list[str]:
-    kinds = {"d": "[0-9]", "L": "[A-Z]", "X": "[A-Z0-9]"}
-    shapes = [s.split() for s in IBANS.replace("\n", " ").split(";")]
-    return [c + "".join(f"{kinds[p[0]]}{{{p[1:]}}}" for p in parts) for c, *parts in shapes]
+# Event streams: end marker, limits of a stream's document, types without text of the user's.
+DONE = "[DONE]"
+MOST_NODES, MOST_TEXT, MOST_PATH, MOST_SEGMENT, MOST_DEPTH = 10_000, 1 << 20, 512, 256, 32
+SILENT = ("title_generation", "message_marker", "server_ste_metadata")
+FRAME, STALL_SECONDS, IDLE_MINUTES, EVENT_TYPE = 256 * 1024, 30, 30, 128

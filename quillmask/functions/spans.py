@@ -17,11 +17,64 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def match(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """A join on keys in which nulls equal nulls; the keys of the left side stay."""
+    names = []
+    for k in keys:
+        names.append(free_name(left, f"_right_{k}"))
+        right = right.withColumnRenamed(k, names[-1])
+    on = F.lit(True)
+    for k, n in zip(keys, names):
+        on = on & F.col(f"`{k}`").eqNullSafe(F.col(f"`{n}`"))
+    return left.join(right, on, how).drop(*names)
+
+
 def hold(df: DataFrame, name: str, **columns: Column) -> DataFrame:
     """Adds a struct that is computed once a row: behind a generator the optimiser cannot copy it into lambdas."""
     return df.withColumn(name, F.explode(F.array(F.struct(*(c.alias(k) for k, c in columns.items())))))
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with the value computed once: it is a lambda's variable there."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def search(others: Column, late) -> Column:
+    """Place of the first of the others for which late holds, where those for which it does come last: binary search."""
+    rounds = F.sequence(F.lit(0), F.ceil(F.log2(F.size(others) + F.lit(1))).cast("int"))
+
+    def halve(a, _):
+        mid = ((a["lo"] + a["hi"]) / 2).cast("int")
+        return F.when(a["lo"] >= a["hi"], a).when(late(F.get(others, mid)), F.struct(a["lo"].alias("lo"), mid.alias("hi"))).otherwise(F.struct((mid + 1).alias("lo"), a["hi"].alias("hi")))
+
+    return F.aggregate(rounds, F.struct(F.lit(0).alias("lo"), F.size(others).alias("hi")), halve, lambda a: a["lo"])
+
+
+def unique_spans(matches: Column) -> Column:
+    """Of matches with one span the first, in order of start and end."""
+
+    def unique(every):
+        keyed = F.array_sort(F.transform(every, lambda m, i: F.struct(m["start"].alias("start"), m["end"].alias("end"), i.alias("at"))))
+        new = lambda keys: F.filter(keys, lambda k, i: (i == 0) | (F.get(keys, i - 1)["start"] != k["start"]) | (F.get(keys, i - 1)["end"] != k["end"]))
+        return F.when(F.size(every) > 1, F.transform(let(keyed, new), lambda k: F.get(every, k["at"]))).otherwise(every)
+
+    return let(matches, unique)
+
+
+def clear_spans(ordered: Column) -> Column:
+    """Spans, in order of start, that begin where no earlier one goes on; earlier ends are looked up by blocks."""
+
+    def clear(every, tops):
+        def free(s, i):
+            k = (i / _STEP).cast("int")
+            return ~F.coalesce(F.array_max(F.slice(tops, F.lit(1), k)) > s["start"], F.lit(False)) & ~F.exists(F.slice(every, k * _STEP + 1, i - k * _STEP), lambda o: o["end"] > s["start"])
+
+        return F.filter(every, free)
+
+    tops = lambda every: F.transform(_steps(every), lambda k: F.array_max(F.transform(F.slice(every, k * _STEP + 1, F.lit(_STEP)), lambda o: o["end"])))
+    return let(ordered, lambda every: let(tops(every), lambda t: clear(every, t)))
+
+
 def empty(kind: str) -> Column:
     return F.array().cast(f"array<{kind}>")
 
@@ -93,12 +146,21 @@ def resolve_overlaps(entities: Column, types: tuple[str, ...]) -> Column:
         F.when(a["start"] != b["start"], F.when(a["start"] < b["start"], -1).otherwise(1)).when(a["end"] != b["end"], F.when(a["end"] > b["end"], -1).otherwise(1)).otherwise(a["ord"] - b["ord"])
     )
 
-    def fold(kept, e):
-        last = F.try_element_at(kept, F.lit(-1))
+    def step(a, e):
+        last = a["last"]
         clear = last.isNull() | (last["end"] <= e["start"])
-        return F.when(clear, F.concat(kept, F.array(e))).when(_wins(last, e, rank), kept).otherwise(F.concat(F.slice(kept, F.lit(1), F.size(kept) - 1), F.array(e)))
+        out = F.when(clear & last.isNotNull(), F.concat(a["out"], F.array(last))).otherwise(a["out"])
+        return F.struct(F.when(clear, e).when(_wins(last, e, rank), last).otherwise(e).alias("last"), out.alias("out"))
+
+    def fold(every):  # block by block, so that a long list of those kept is copied once a block
+        def block(a, k):
+            start = F.struct(a["last"].alias("last"), empty(ENTITY).alias("out"))
+            return F.aggregate(F.slice(every, k * _STEP + 1, F.lit(_STEP)), start, step, lambda b: F.struct(b["last"].alias("last"), F.concat(a["out"], b["out"]).alias("out")))
+
+        start = F.struct(F.lit(None).cast(ENTITY).alias("last"), empty(ENTITY).alias("out"))
+        return F.aggregate(_steps(every), start, block, lambda a: F.when(a["last"].isNull(), a["out"]).otherwise(F.concat(a["out"], F.array(a["last"]))))
 
-    return F.aggregate(F.array_sort(entities, before), empty(ENTITY), fold)
+    return let(F.array_sort(entities, before), fold)
 
 
 def substitute(text: Column, spans: Column, new) -> Column:

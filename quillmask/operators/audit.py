@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmask.functions import fixed
+from quillmask.sources.sse import until_done
 
 
 def summary(entities: Column) -> Column:
@@ -29,13 +30,28 @@ def records(df: DataFrame, text_col: str = "text", pii_logging: bool = True, **c
     return out.drop("entities", "raw_entities")
 
 
+def sink(records_: DataFrame, path: str, kind: str = "json") -> None:
+    """Appends audit records as JSON lines (or another file format), by day where they have a ts."""
+    out = records_.write.mode("append")
+    if "ts" in records_.columns:
+        out = records_.withColumn("day", F.to_date("ts")).write.mode("append").partitionBy("day")
+    out.format(kind).save(path)
+
+
+def changed_segments(before: Column, after: Column) -> Column:
+    """How many of two arrays' texts differ at their place."""
+    return F.size(F.filter(F.arrays_zip(before.alias("a"), after.alias("b")), lambda p: ~p["a"].eqNullSafe(p["b"]))).cast("long")
+
+
 def rollup(entities: DataFrame, *by: str) -> DataFrame:
     """Counts by every level of the given columns and in total."""
     return entities.rollup(*by).agg(F.count(F.lit(1)).alias("n"))
 
 
 def stream_totals(frames: DataFrame, key: str = "stream_id") -> DataFrame:
-    """One aggregate per stream of scanned frames (entities, data): frames, entity_count, bytes."""
+    """One aggregate per stream of scanned frames (frame_no, entities, data) before its end marker: frames, entity_count, bytes."""
+    if "frame_no" in frames.columns:
+        frames = until_done(frames, key)
     return frames.groupBy(key).agg(F.count(F.lit(1)).alias("frames"), F.sum(F.size("entities")).cast("long").alias("entity_count"), F.sum(F.octet_length("data")).cast("long").alias("bytes"))
 
 

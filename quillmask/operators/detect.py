@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmask.functions import checks, fixed
-from quillmask.functions.spans import ENTITY, empty, entity, free_name, hold, locate, resolve_overlaps
+from quillmask.functions.spans import ENTITY, empty, entity, free_name, hold, let, locate, resolve_overlaps, search, unique_spans
 
 
 WHOLE = (1 << 31) - 1  # a limit that no text exceeds
@@ -21,12 +21,16 @@ WHOLE = (1 << 31) - 1  # a limit that no text exceeds
 
 @dataclass(frozen=True)
 class Recognizer:
-    """patterns: what to locate; build(found, text): array<ENTITY> from the located matches; gates: cheap tests first."""
+    """patterns: what to locate; build(found, text, order): array<ENTITY> from the located matches; gates: cheap tests first.
+
+    follows: another recognizer, whose entities (overlaps and all) build gets in place of matches; such ones run last.
+    """
 
     name: str
     patterns: dict[str, str]
     build: Callable[[Column, Column, int], Column]
     gates: Callable[[Column], dict[str, Column]] = field(default=lambda text: {})
+    follows: str | None = None
 
 
 def _email(found: Column, text: Column, order: int) -> Column:
@@ -44,16 +48,12 @@ def _email(found: Column, text: Column, order: int) -> Column:
 
 def _phone(found: Column, text: Column, order: int) -> Column:
     every = F.concat(*(found[f"phone{k}"] for k in range(len(fixed.PHONES))))
-
-    def fresh(m, i):  # the first pattern that gives a span keeps it
-        return ~F.exists(F.slice(every, F.lit(1), i), lambda o: (o["start"] == m["start"]) & (o["end"] == m["end"]))
-
-    kept = F.filter(every, fresh)
+    kept = unique_spans(every)  # the first pattern that gives a span keeps it
     return F.filter(F.transform(kept, lambda m: entity("PHONE", "regex", checks.phone_score(m["value"]), m, order)), lambda e: e["confidence"] >= 0.55)
 
 
 def _iban(found: Column, text: Column, order: int) -> Column:
-    every = F.concat(*(found[f"iban{k}"] for k in range(len(fixed.iban_patterns()))))
+    every = F.concat(*(found[f"iban{k}"] for k in range(len(fixed.IBANS))))
     return F.transform(F.filter(every, lambda m: checks.mod97_ok(m["value"])), lambda m: entity("IBAN", "mod97", F.lit(0.95), m, order))
 
 
@@ -80,16 +80,23 @@ def _secret_prefix(found: Column, text: Column, order: int) -> Column:
     return F.transform(F.filter(found["prefix"], own), lambda m: entity("SECRET", "prefix", score(m), m, order))
 
 
+_NEVER = "^(?:" + "|".join(fixed.NEVER) + ")$"
+
+
 def _secret_entropy(found: Column, text: Column, order: int) -> Column:
     def scored(name: str, value, score) -> Column:
         def build(m):
             v = value(m["value"])
             cut = F.octet_length(m["value"]) - F.octet_length(v)
             own = F.struct((m["start"] + cut).alias("start"), m["end"].alias("end"), v.alias("value"))
-            return entity("SECRET", "entropy", F.when(v.rlike(fixed.NEVER), 0.0).otherwise(score(checks.entropy(v))), own, order)
+            return entity("SECRET", "entropy", F.when(v.rlike(_NEVER) | in_query(m["start"] + cut), 0.0).otherwise(score(checks.entropy(v))), own, order)
 
         return F.transform(found[name], build)
 
+    def in_query(at):  # of a URL that began within the 2000 bytes before, without a gap
+        before = F.substring(text.cast("binary"), F.greatest(at - 2000, F.lit(0)) + 1, F.least(at, F.lit(2000))).cast("string")
+        return F.try_element_at(F.split(before, "[ \\t\\n\\f\\r]"), F.lit(-1)).rlike(fixed.IN_URL)
+
     same = lambda v: v
     every = F.concat(
         scored("base64", same, lambda h: F.when(h >= 4.5, 0.80).when(h >= 3.5, 0.70).otherwise(0.0)),
@@ -97,32 +104,35 @@ def _secret_entropy(found: Column, text: Column, order: int) -> Column:
         scored("bearer", lambda v: F.regexp_extract(v, fixed.BEARER, 1), lambda h: F.lit(0.50)),
         scored("pair", lambda v: F.regexp_extract(v, fixed.PAIR, 1), lambda h: F.when(h >= 3.5, 0.60).otherwise(0.0)),
     )
-    kept = F.filter(every, lambda e: e["confidence"] > 0)
-    return F.filter(kept, lambda e, i: ~F.exists(F.slice(kept, F.lit(1), i), lambda o: (o["start"] == e["start"]) & (o["end"] == e["end"])))
+    return unique_spans(F.filter(every, lambda e: e["confidence"] > 0))
 
 
 _ARMOUR = "|".join(sorted(fixed.ARMOUR, key=len, reverse=True))
-_BEGIN = f"-----BEGIN ({_ARMOUR})-----"
+_BEGIN, _END = f"-----BEGIN ({_ARMOUR})-----", f"-----END ({_ARMOUR})-----"
 
 
 def _private_key(found: Column, text: Column, order: int) -> Column:
-    """Each header with the first footer of its label after it.  Blocks of one label share footers as they stand."""
+    """Each header with the first footer of its label after it, by binary search.  Blocks of one label share footers as they stand."""
     raw = text.cast("binary")
+    label = lambda m: F.regexp_extract(m["value"], _BEGIN, 1)
 
-    def footer(m):
-        label = F.regexp_extract(m["value"], _BEGIN, 1)
-        same = F.filter(found["pem_end"], lambda e: (e["start"] >= m["end"]) & (e["value"] == F.concat(F.lit("-----END "), label, F.lit("-----"))))
-        return F.try_element_at(same, F.lit(1))
-
-    def build(m):
-        end, label = footer(m), F.regexp_extract(m["value"], _BEGIN, 1)
+    def build(p):
+        m, end = p["m"], p["end"]
         body = F.regexp_replace(F.substring(raw, m["end"] + 1, end["start"] - m["end"]).cast("string"), "[ \\t\\r\\n]", "")
-        sure = F.when(label.isin([k for k, v in fixed.ARMOUR.items() if v == 0.95]), 0.95).otherwise(0.90)
+        sure = F.when(p["label"].isin([k for k, v in fixed.ARMOUR.items() if v == 0.95]), 0.95).otherwise(0.90)
         score = F.when((F.length(body) < 40) | ~body.rlike("^[A-Za-z0-9+/]+={0,2}$"), 0.70).otherwise(sure)
         whole = F.struct(m["start"].alias("start"), end["end"].alias("end"), F.substring(raw, m["start"] + 1, end["end"] - m["start"]).cast("string").alias("value"))
         return entity("PRIVATE_KEY", "pem_armor", score, whole, order)
 
-    return F.transform(F.filter(found["pem_begin"], lambda m: footer(m).isNotNull()), build)
+    def paired(ends):
+        def pair(m):
+            end = F.get(ends, search(ends, lambda e: (e["label"] > label(m)) | ((e["label"] == label(m)) & (e["start"] >= m["end"]))))
+            return F.struct(m.alias("m"), label(m).alias("label"), F.when(end["label"] == label(m), end).alias("end"))
+
+        return F.filter(F.transform(found["pem_begin"], pair), lambda p: p["end"].isNotNull())
+
+    ends = F.transform(found["pem_end"], lambda e: F.struct(F.regexp_extract(e["value"], _END, 1).alias("label"), e["start"].alias("start"), e["end"].alias("end")))
+    return F.when(F.size(found["pem_begin"]) > 0, F.transform(let(F.array_sort(ends), paired), build)).otherwise(empty(ENTITY))
 
 
 def infer_name(email: Column) -> Column:
@@ -135,7 +145,7 @@ def infer_name(email: Column) -> Column:
     return F.when(parts.isNotNull() & ~F.lower(local).isin(fixed.ROLES) & ~F.exists(parts, bad), F.struct(name.alias("name"), score.alias("confidence")))
 
 
-def names(emails: Column, order: int) -> Column:
+def names(emails: Column, text: Column, order: int) -> Column:
     """NAME entities of EMAIL entities; their spans are the addresses'."""
     known = F.filter(emails, lambda e: infer_name(e["value"]).isNotNull())
     return F.transform(known, lambda e: entity("NAME", "email_inference", infer_name(e["value"])["confidence"], e, order, infer_name(e["value"])["name"]))
@@ -150,7 +160,7 @@ def _keyword_gate(text: Column) -> dict[str, Column]:
 
 def _iban_gate(text: Column) -> dict[str, Column]:
     some = text.rlike("[A-Z]{2}[0-9]{2}")
-    return {f"iban{k}": some & text.contains(p[:2]) for k, p in enumerate(fixed.iban_patterns())}
+    return {f"iban{k}": some & text.contains(p[:2]) for k, p in enumerate(fixed.IBANS)}
 
 
 RECOGNIZERS: dict[str, Recognizer] = {
@@ -158,12 +168,13 @@ RECOGNIZERS: dict[str, Recognizer] = {
     for r in (
         Recognizer("email", {"email": fixed.EMAIL}, _email, lambda t: {"email": t.contains("@")}),
         Recognizer("phone", {f"phone{k}": p for k, p in enumerate(fixed.PHONES)}, _phone, lambda t: {f"phone{k}": t.rlike("[0-9]{2}") & t.rlike(p) for k, p in enumerate(fixed.PHONES)}),
-        Recognizer("iban", {f"iban{k}": p for k, p in enumerate(fixed.iban_patterns())}, _iban, _iban_gate),
+        Recognizer("iban", {f"iban{k}": p for k, p in enumerate(fixed.IBANS)}, _iban, _iban_gate),
         Recognizer("card", {"card": fixed.CARD}, _card, lambda t: {"card": t.rlike("[0-9][0-9 .-]{11}") & t.rlike(fixed.CARD)}),
         Recognizer("jwt", {"jwt": fixed.JWT}, _jwt, lambda t: {"jwt": t.rlike("[A-Za-z0-9_-]\\.[A-Za-z0-9_-]+\\.[A-Za-z0-9_-]")}),
         Recognizer("secret_prefix", {"prefix": _SECRET}, _secret_prefix, lambda t: {"prefix": t.rlike("[A-Za-z0-9_-]{20}|://|T[0-9]{8}") & t.rlike(_SECRET)}),
         Recognizer("secret_entropy", {"base64": fixed.BASE64, "hex": fixed.HEX, "bearer": fixed.BEARER, "pair": fixed.PAIR}, _secret_entropy, _keyword_gate),
-        Recognizer("private_key", {"pem_begin": _BEGIN, "pem_end": f"-----END (?:{_ARMOUR})-----"}, _private_key, lambda t: {k: t.contains("-----END ") for k in ("pem_begin", "pem_end")}),
+        Recognizer("private_key", {"pem_begin": _BEGIN, "pem_end": _END}, _private_key, lambda t: {k: t.contains("-----END ") for k in ("pem_begin", "pem_end")}),
+        Recognizer("name", {}, names, follows="email"),
     )
 }
 
@@ -174,9 +185,14 @@ def register(recognizer: Recognizer) -> None:
 
 
 def detect(df: DataFrame, text_col: str = "text", only: tuple[str, ...] | None = None, limit: int = fixed.LARGEST_TEXT, min_confidence: float = 0.0, with_names: bool = True, gate: Column | None = None) -> DataFrame:
-    """df with raw_entities (all, names included), entities (overlaps resolved), status and received_bytes."""
+    """df with raw_entities (all, names included), entities (overlaps resolved), status and received_bytes.
+
+    only: recognizers to run; with_names: also those that follow one of them.
+    """
     limit = limit if limit > 0 else fixed.LARGEST_TEXT
     chosen = [RECOGNIZERS[n] for n in (only or tuple(RECOGNIZERS))]
+    later = [r for r in RECOGNIZERS.values() if with_names and r.follows in {c.name for c in chosen}]
+    chosen = [r for r in chosen if r.follows is None]
     text, size = F.col(f"`{text_col}`"), F.octet_length(F.col(f"`{text_col}`"))
     skip = (size > limit) if gate is None else (size > limit) | ~F.coalesce(gate, F.lit(False))
     names_, df = [free_name(df, f"_scan{k}") for k in range(4)], df
@@ -187,8 +203,8 @@ def detect(df: DataFrame, text_col: str = "text", only: tuple[str, ...] | None =
     df = locate(df, scanned, patterns, names_[1], gates)
     df = hold(df, names_[2], **{r.name: r.build(F.col(names_[1]), scanned, k) for k, r in enumerate(chosen)})
     every = F.concat(*(F.col(names_[2])[r.name] for r in chosen)) if chosen else empty(ENTITY)
-    inferred = names(F.col(names_[2])["email"], len(chosen)) if with_names and any(r.name == "email" for r in chosen) else empty(ENTITY)
-    df = hold(df, names_[3], raw=F.filter(F.concat(every, inferred), lambda e: e["confidence"] >= min_confidence))
+    derived = [r.build(F.col(names_[2])[r.follows], scanned, len(chosen) + k) for k, r in enumerate(later)]
+    df = hold(df, names_[3], raw=F.filter(F.concat(every, *derived), lambda e: e["confidence"] >= min_confidence))
     raw = F.col(names_[3])["raw"]
     resolved = F.when(F.size(raw) > 0, resolve_overlaps(raw, fixed.TYPES)).otherwise(empty(ENTITY))
     status = F.when(text.isNull(), "empty").when(size > limit, "oversize")

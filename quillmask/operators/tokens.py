@@ -6,11 +6,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmask.functions import fixed
-from quillmask.functions.spans import free_name, hold, substitute
+from quillmask.functions.spans import clear_spans, free_name, hold, let, match, substitute
 
 SHAPE = "^<<[A-Z_]+_[0-9]+>>$"
 
 
+def looks_like_token(text: Column) -> Column:
+    """Whether a whole string has a token's shape, of any type name."""
+    return text.rlike(SHAPE)
+
+
 def valid(entities: Column, text: Column) -> Column:
     """Entities with proper bounds and a known type."""
     ok = lambda e: (e["start"] >= 0) & (e["end"] > e["start"]) & (e["end"] <= F.octet_length(text)) & e["type"].isin(*fixed.TYPES)
@@ -44,7 +49,7 @@ def tokenize(df: DataFrame, scope: list[str], order: list[str], text_col: str =
 
     known: a mapping from before (scope, value, type, n, token) whose tokens stay; new values count on from there.
     on_oversize: what a text beyond detect()'s limit becomes, "null" or itself ("passthrough").
-    Each row is found again by scope and order, which must tell rows apart.
+    Each row is found again by scope and order, which must tell rows apart; nulls in them equal nulls.
     """
     if on_oversize not in ("null", "passthrough"):
         raise ValueError(f"on_oversize: {on_oversize}")
@@ -54,12 +59,12 @@ def tokenize(df: DataFrame, scope: list[str], order: list[str], text_col: str =
     if known is None:
         mapping = assign(spans, scope, order)
     else:
-        fresh = spans.join(known.select(*scope, "value"), [*scope, "value"], "left_anti")
+        fresh = match(spans, known.select(*scope, "value"), [*scope, "value"], "left_anti")
         most = known.groupBy(*scope, "type").agg(F.max("n").alias("_most"))
-        added = assign(fresh, scope, order).join(most, [*scope, "type"], "left").withColumn("n", F.col("n") + F.coalesce("_most", F.lit(0)))
+        added = match(assign(fresh, scope, order), most, [*scope, "type"], "left").withColumn("n", F.col("n") + F.coalesce("_most", F.lit(0)))
         mapping = known.select(*scope, "value", "type", "n", "token").unionByName(added.withColumn("token", format_token(F.col("type"), F.col("n"))).drop("_most"))
-    tokens = spans.join(mapping.select(*scope, "value", "token"), [*scope, "value"]).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("start", "end", "token"))).alias("_tokens"))
-    joined = df.join(tokens, keys, "left")
+    tokens = match(spans, mapping.select(*scope, "value", "token"), [*scope, "value"], "inner").groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("start", "end", "token"))).alias("_tokens"))
+    joined = match(df, tokens, keys, "left")
     held = free_name(joined, "_spans")
     joined = hold(joined, held, all=F.coalesce(F.col("_tokens"), F.array().cast("array<struct<start:int,end:int,token:string>>")))
     masked = substitute(text, F.col(held)["all"], lambda s: s["token"])
@@ -68,21 +73,27 @@ def tokenize(df: DataFrame, scope: list[str], order: list[str], text_col: str =
     return joined.withColumn("tokenized", masked).drop("_tokens", held), mapping
 
 
-def rehydrate(df: DataFrame, mapping: DataFrame, scope: list[str], text_col: str = "tokenized", out: str = "rehydrated") -> DataFrame:
+def restore(text: Column, values: Column) -> Column:
+    """Text with the tokens that are keys of a map replaced by their values; values are not searched again."""
+    gaps, hits = F.split(text, fixed.TOKEN, -1), F.regexp_extract_all(text, F.lit(fixed.TOKEN), F.lit(0))
+    filled = lambda cut: F.transform(cut["hits"], lambda t, i: F.concat(F.get(cut["gaps"], i), F.coalesce(F.try_element_at(cut["values"], t), t)))
+    whole = lambda cut: F.concat(F.array_join(filled(cut), ""), F.try_element_at(cut["gaps"], F.lit(-1)))
+    return F.when(text.rlike(fixed.TOKEN), let(F.struct(gaps.alias("gaps"), hits.alias("hits"), F.coalesce(values, F.expr("cast(map() as map<string,string>)")).alias("values")), whole)).otherwise(text)
+
+
+def rehydrate(df: DataFrame, mapping: DataFrame, scope: list[str], order: list[str], text_col: str = "tokenized", out: str = "rehydrated") -> DataFrame:
     """df with tokens replaced by their values; unknown ones stay, and values are not searched again.
 
-    Tokens are joined with the mapping as rows, so a mapping of any size will do.
+    Tokens are joined with the mapping as rows, so a mapping of any size will do.  As in tokenize, scope and order tell
+    rows apart, so a task that runs again finds the same rows.
     """
-    text, row = F.col(f"`{text_col}`"), free_name(df, "_row")
-    df = df.withColumn(row, F.monotonically_increasing_id())
-    used = df.select(row, *scope, F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(fixed.TOKEN), F.lit(0)))).alias("token"))
-    values = used.join(mapping.select(*scope, "token", "value"), [*scope, "token"]).groupBy(row).agg(F.map_from_entries(F.collect_list(F.struct("token", "value"))).alias("_values"))
-    joined, held = df.join(values, row, "left"), free_name(df, "_cut")
-    joined = hold(joined, held, gaps=F.split(text, fixed.TOKEN, -1), hits=F.regexp_extract_all(text, F.lit(fixed.TOKEN), F.lit(0)), values=F.coalesce(F.col("_values"), F.expr("cast(map() as map<string,string>)")))
-    cut = F.col(held)
-    filled = F.transform(cut["hits"], lambda t, i: F.concat(F.get(cut["gaps"], i), F.coalesce(F.try_element_at(cut["values"], t), t)))
-    restored = F.concat(F.array_join(filled, ""), F.try_element_at(cut["gaps"], F.lit(-1)))
-    return joined.withColumn(out, F.when(F.size(cut["hits"]) > 0, restored).otherwise(text)).drop(row, "_values", held)
+    keys = list(dict.fromkeys([*scope, *order]))
+    used = df.select(*keys, F.explode(F.array_distinct(F.regexp_extract_all(F.col(f"`{text_col}`"), F.lit(fixed.TOKEN), F.lit(0)))).alias("token")).distinct()
+    held = free_name(df, "_values")
+    first = mapping.groupBy(*scope, "token").agg(F.min("value").alias("value"))
+    values = match(used, first, [*scope, "token"], "inner").groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("token", "value"))).alias(held))
+    joined = match(df, values, keys, "left")
+    return joined.withColumn(out, restore(F.col(f"`{text_col}`"), F.col(held))).drop(held)
 
 
 def count_tokens(text: Column) -> Column:
@@ -100,6 +111,4 @@ def max_counters(df: DataFrame, keys: list[str], text_col: str) -> DataFrame:
 def replace_segments(body: Column, segments: Column) -> Column:
     """body with array<struct<start,end,text>> (bytes) put in place, out-of-bounds, overlapping and empty-range ones left out."""
     ok = F.filter(segments, lambda s: (s["start"] >= 0) & (s["end"] > s["start"]) & (s["end"] <= F.octet_length(body)))
-    ordered = F.sort_array(ok)
-    clear = F.filter(ordered, lambda s, i: ~F.exists(F.slice(ordered, F.lit(1), i), lambda o: o["end"] > s["start"]))
-    return substitute(body, clear, lambda s: s["text"])
+    return let(clear_spans(F.sort_array(ok)), lambda clear: substitute(body, clear, lambda s: s["text"]))

@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-DONE = "[DONE]"
-MOST_NODES, MOST_TEXT, MOST_PATH, MOST_SEGMENT, MOST_DEPTH = 10_000, 1 << 20, 512, 256, 32
-#: event types that carry no text of the user's
-SILENT = ("title_generation", "message_marker", "server_ste_metadata")
+from quillmask.functions import fixed
+from quillmask.functions.fixed import DONE, MOST_DEPTH, MOST_NODES, MOST_PATH, MOST_SEGMENT, MOST_TEXT, SILENT
 
 
 def frames(chunks: DataFrame, key: str = "stream_id", seq: str = "seq", chunk: str = "chunk") -> DataFrame:
@@ -38,10 +37,91 @@ def event(frame: Column) -> Column:
     return F.coalesce(F.try_element_at(_lines(frame, "event"), F.lit(-1)), F.lit(""))
 
 
+def fields(frame: Column) -> Column:
+    """struct(event, data, id, retry, comments) of a frame; retry is null unless it is a number."""
+    last = lambda name: F.try_element_at(_lines(frame, name), F.lit(-1))
+    notes = F.transform(F.filter(F.split(frame, "\n", -1), lambda x: x.startswith(":")), lambda x: F.trim(x.substr(F.lit(2), F.length(x))))
+    return F.struct(event(frame).alias("event"), data(frame).alias("data"), last("id").alias("id"), last("retry").try_cast("long").alias("retry"), notes.alias("comments"))
+
+
 def is_done(text: Column) -> Column:
     return F.trim(text) == DONE
 
 
+def until_done(events: DataFrame, key: str = "stream_id", seq: str = "frame_no") -> DataFrame:
+    """Events before their stream's end marker; all where it has none."""
+    ends = events.where(is_done(F.col("data"))).groupBy(key).agg(F.min(seq).alias("_end"))
+    return events.join(ends, key, "left").where(F.col("_end").isNull() | (F.col(seq) < F.col("_end"))).drop("_end")
+
+
+def open_token(data: str) -> int:
+    """Where a token that may go on after this text begins; the text's length if there is none."""
+    at = data.rfind("<<")
+    if at >= 0 and ">>" not in data[at:]:
+        return at if len(data) - at <= fixed.SLIDING else len(data)
+    return len(data) - data.endswith("<")
+
+
+class Rewriter:
+    """Puts values in place of tokens in a stream's data lines.  A token split over frames goes out with the later one."""
+
+    def __init__(self, values: dict[str, str], held: str = ""):
+        self.values, self.held, self.count = values, held, 0
+
+    def data(self, text: str) -> str:
+        text = self.held + text
+        at = open_token(text)
+        text, self.held = text[:at], text[at:]
+
+        def put(m):
+            self.count += m[0] in self.values
+            return self.values.get(m[0], m[0])
+
+        return re.sub(fixed.TOKEN, put, text)
+
+    def close(self) -> str:
+        """What is still held back at the end, as a frame of its own."""
+        held, self.held = self.held, ""
+        return f"data: {held}\n\n" if held else ""
+
+    def frame(self, raw: str) -> str:
+        """A frame with its data lines rewritten, line ends as LF, blank lines dropped and its separator put back."""
+        out = []
+        for line in raw.replace("\r\n", "\n").split("\n"):
+            bare = line.strip()
+            if bare.startswith("data:"):
+                out.append("data: " + self.data(bare[5:].strip()))
+            elif bare:
+                out.append(line)
+        return "\n".join([*out, "", ""]) if out else "\n"
+
+
+def rewrite_streams(chunks: DataFrame, mapping: DataFrame, key: str = "stream_id", seq: str = "seq", chunk: str = "chunk") -> DataFrame:
+    """One row per stream: key, body (frames rewritten, what follows the last one as it is), restored (tokens put back).
+
+    mapping: key, token, value.  A stream's chunks and tokens meet in one task, no others do.
+    """
+    kind = dict(chunks.dtypes)[key]
+
+    def run(left, right):
+        import pandas as pd
+
+        text = "".join(c or "" for c in left.sort_values(seq)[chunk])
+        rewriter = Rewriter(dict(zip(right["token"], right["value"])))
+        whole, rest = cut_frames(text)
+        body = "".join(rewriter.frame(f) for f in whole) + rewriter.close() + rest
+        return pd.DataFrame([(left[key].iloc[0], body, rewriter.count)], columns=[key, "body", "restored"]) if len(left) else pd.DataFrame(columns=[key, "body", "restored"])
+
+    own = mapping.select(key, "token", "value")
+    return chunks.select(key, seq, chunk).groupBy(key).cogroup(own.groupBy(key)).applyInPandas(run, f"`{key}` {kind}, body string, restored long")
+
+
+def cut_frames(text: str) -> tuple[list[str], str]:
+    """(complete frames without their separators, what is left)."""
+    *whole, rest = text.replace("\r\n", "\n").split("\n\n")
+    return whole, rest
+
+
 def parse_path(path: str) -> list[str] | None:
     """Segments of a JSON pointer within limits, else None."""
     if len(path.encode()) > MOST_PATH or not path.startswith("/") or path[1:2] in ("$", "@") or ".." in path:
@@ -107,6 +187,25 @@ def event_text(document: Document, kind: str, text: str) -> str:
     return "" if kind in SILENT else "\n".join(strings(body))
 
 
+class Session:
+    """A stream's reader: text by event_text; if that fails, the raw data of this event and all later ones."""
+
+    def __init__(self):
+        self.document, self.failed = Document(), False
+
+    def text(self, kind: str, data: str) -> str:
+        if not self.failed:
+            try:
+                return event_text(self.document, kind, data)
+            except Exception:
+                self.failed = True
+        return data
+
+    @property
+    def degraded(self) -> bool:
+        return self.failed or self.document.degraded
+
+
 def patch_text(events: DataFrame, key: str = "stream_id", seq: str = "frame_no") -> DataFrame:
     """One row per event (key, seq, event, data): key, seq, text, degraded.  Events of a stream are folded in order."""
     kinds = dict(events.dtypes)
@@ -114,11 +213,11 @@ def patch_text(events: DataFrame, key: str = "stream_id", seq: str = "frame_no")
     def run(pdf):
         import pandas as pd
 
-        document, out = Document(), []
+        session, out = Session(), []
         for r in pdf.sort_values(seq).to_dict("records"):
             if (r["data"] or "").strip() == DONE:
                 break
-            out.append((r[key], r[seq], event_text(document, r["event"] or "", r["data"] or ""), document.degraded))
+            out.append((r[key], r[seq], session.text(r["event"] or "", r["data"] or ""), session.degraded))
         return pd.DataFrame(out, columns=[key, seq, "text", "degraded"])
 
     return events.groupBy(key).applyInPandas(run, f"`{key}` {kinds[key]}, `{seq}` {kinds[seq]}, text string, degraded boolean")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmask.plans.policy import expired
@@ -60,22 +60,89 @@ def active(meta: DataFrame, now: Column, ttl_hours: int) -> DataFrame:
     return meta.where(~expired(F.col("created_at"), now, ttl_hours))
 
 
-def conversation(store: DataFrame, key: bytes, provider: str, conversation_id: str, now: Column, ttl_hours: int) -> DataFrame:
-    """token, type, value of one scope; nothing if it has expired, and no entries that do not decrypt."""
-    own = store.where((F.col("provider") == provider) & (F.col("conversation_id") == conversation_id))
-    return own.where(~expired(F.col("created_at"), now, ttl_hours)).select("token", "type", unseal(F.col("value"), key).alias("value")).where("value IS NOT NULL")
+def conversation(store: DataFrame, meta: DataFrame, key: bytes, provider: str, conversation_id: str, now: Column, ttl_hours: int) -> DataFrame:
+    """token, type, value of one scope; nothing if the conversation is unknown or has expired as a whole, and no entries that do not decrypt."""
+    own = lambda df: df.where((F.col("provider") == provider) & (F.col("conversation_id") == conversation_id))
+    known = own(active(meta, now, ttl_hours)).select(*SCOPE)
+    return own(store).join(known, list(SCOPE), "left_semi").select("token", "type", unseal(F.col("value"), key).alias("value")).where("value IS NOT NULL")
 
 
 def purge(store: DataFrame, meta: DataFrame, now: Column, ttl_hours: int) -> DataFrame:
-    """Entries whose conversations have not expired."""
+    """Entries, or metadata, of conversations that have not expired."""
     gone = meta.where(expired(F.col("created_at"), now, ttl_hours)).select(*SCOPE)
     return store.join(gone, list(SCOPE), "left_anti")
 
 
+def purge_all(store: DataFrame) -> DataFrame:
+    """An empty store of the same shape, which takes new entries."""
+    return store.limit(0)
+
+
 def delete(store: DataFrame, provider: str, conversation_id: str) -> DataFrame:
+    """Entries, or metadata, of all other conversations."""
     return store.where(~((F.col("provider") == provider) & (F.col("conversation_id") == conversation_id)))
 
 
+def merge_metadata(old: DataFrame, writes: DataFrame) -> DataFrame:
+    """Metadata after more writes: counts add up, types are joined, created_at stays, updated_at moves on; labels and status stay."""
+    fresh = metadata(writes).withColumn("label", F.lit(None).cast("string")).withColumn("status", F.lit(None).cast("string"))
+    both = with_labels(old).unionByName(fresh)
+    return both.groupBy(*SCOPE).agg(
+        F.sum("pii_count").alias("pii_count"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("pii_types")))).alias("pii_types"),
+        F.min("created_at").alias("created_at"), F.max("updated_at").alias("updated_at"), F.max("label").alias("label"), F.max("status").alias("status"),
+    )
+
+
+def with_labels(meta: DataFrame) -> DataFrame:
+    """Metadata with the columns label and status, null where it had none."""
+    for name in ("label", "status"):
+        if name not in meta.columns:
+            meta = meta.withColumn(name, F.lit(None).cast("string"))
+    return meta
+
+
+def update_metadata(meta: DataFrame, changes: DataFrame) -> DataFrame:
+    """Metadata replaced whole for the scopes in changes (all columns of meta); new scopes are added."""
+    changes = with_labels(changes)
+    return with_labels(meta).join(changes.select(*SCOPE), list(SCOPE), "left_anti").unionByName(changes)
+
+
+def put(store: DataFrame, meta: DataFrame, mapping: DataFrame, key: bytes, created: Column) -> tuple[DataFrame, DataFrame]:
+    """(store, metadata) after writing a mapping: both follow from the same sealed entries."""
+    new = entries(mapping, key, created)
+    return upsert(store, new), merge_metadata(meta, new)
+
+
+def append(batch: DataFrame, path: str, number: int) -> None:
+    """Writes a batch of entries beside earlier ones; the same batch written again replaces itself."""
+    batch.write.mode("overwrite").partitionBy("provider").parquet(f"{path}/batch={number}")
+
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """Entries of all appended batches, a scope's token with its newest value (later batches win ties)."""
+    every = spark.read.option("basePath", path).parquet(f"{path}/batch=*")
+    newest = F.max_by(F.struct("type", "value", "created_at"), F.struct("created_at", "batch")).alias("_e")
+    return every.groupBy(*SCOPE, "token").agg(newest).select(*SCOPE, "token", "_e.*")
+
+
+def sweep(spark: SparkSession, path: str, now: Column, ttl_hours: int, number: int) -> int:
+    """Rewrites appended batches as one without expired conversations, numbered after them; returns how many went.
+
+    The new batch is written before the old ones are dropped, so a sweep that is cut short loses nothing.
+    """
+    store = read(spark, path)
+    meta = metadata(store)
+    gone = meta.where(expired(F.col("created_at"), now, ttl_hours)).count()
+    append(purge(store, meta, now, ttl_hours), path, number)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    for found in files.listStatus(folder):
+        name = found.getPath().getName()
+        if name.startswith("batch=") and name != f"batch={number}":
+            files.delete(found.getPath(), True)
+    return gone
+
+
 def write(store: DataFrame, path: str) -> None:
     """Partitioned by provider; a write replaces the partitions it holds."""
     store.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("provider").parquet(path)

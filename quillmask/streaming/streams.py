@@ -1,98 +1,140 @@
-"""Structured Streaming forms: frames from chunks, restoring tokens across chunks, detection and vault sinks.
+"""Structured Streaming forms: frames from chunks, sessions, restoring tokens across chunks, detection and vault sinks.
 
-State is kept per stream and cleared at its end; chunks must come in order of seq, and a gap fails the query rather than
-reordering silently.
+State is kept per stream.  Chunks must come in order of seq, and a gap fails the query rather than reordering silently.
+A stream that has ended, or from which nothing has come for `idle` minutes, gives up its state: what it still held is
+dropped (frames) or given out (text), once.
 """
 
 from __future__ import annotations
 
-import re
+import pickle
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from quillmask.functions import fixed
-from quillmask.operators import audit
+from quillmask.operators import audit, tokens
 from quillmask.operators.detect import detect
-from quillmask.sources.sse import DONE
+from quillmask.sources import vault
+from quillmask.sources.sse import DONE, Session, cut_frames, data, event, open_token
 
-_TOKEN = re.compile(fixed.TOKEN)
-
-
-def split_frames(buffer: str) -> tuple[list[str], str]:
-    """(complete frames, what is left)."""
-    *whole, rest = buffer.replace("\r\n", "\n").split("\n\n")
-    return whole, rest
+MINUTE = 60_000
 
 
 def take_frames(buffer: str, skipping: bool, chunk: str, limit: int) -> tuple[list[str | None], str, bool]:
     """(complete frames, what is left, whether that belongs to a frame being skipped).  A skipped frame is None at its end."""
-    whole, rest = split_frames(buffer + chunk)
+    whole, rest = cut_frames(buffer + chunk)
     if skipping and whole:
         whole[0], skipping = None, False
-    skipping = skipping or len(rest) > limit
+    skipping = skipping or len(rest.encode("utf-8", "replace")) > limit
     return whole, rest[-2:] if skipping else rest, skipping  # two characters may begin the blank line
 
 
-def hold_back(text: str, most: int = fixed.SLIDING) -> tuple[str, str]:
+def hold_back(text: str) -> tuple[str, str]:
     """(what can go out, the start of a token that may go on); a start beyond the limit goes out."""
-    at = text.rfind("<<")
-    if at >= 0 and ">>" not in text[at:] and len(text) - at <= most:
-        return text[:at], text[at:]
-    return (text[:-1], "<") if text.endswith("<") else (text, "")
+    at = open_token(text)
+    return text[:at], text[at:]
+
 
+def _in_order(parts: Iterator, *columns: str) -> list:
+    return sorted((r for pdf in parts for r in pdf[list(columns)].itertuples(index=False, name=None)), key=lambda r: r[0])
 
-def frame_stream(chunks: DataFrame, limit: int = 256 * 1024) -> DataFrame:
-    """(stream_id, frame_no, frame) of a stream of (stream_id, seq, chunk).  A frame whose remainder grows beyond the limit is skipped up to its blank line and counts as one row with a null frame."""
-    from pyspark.sql.streaming.state import GroupStateTimeout
+
+def frame_stream(chunks: DataFrame, limit: int = fixed.FRAME, idle: float = fixed.IDLE_MINUTES) -> DataFrame:
+    """(stream_id, frame_no, frame) of a stream of (stream_id, seq, chunk).
+
+    A frame whose remainder grows beyond the limit (bytes) is skipped up to its blank line and counts as one row with a
+    null frame.  What comes after the end marker is left out, until the idle state goes.
+    """
 
     def run(key, parts: Iterator, state):
         import pandas as pd
 
-        buffer, number, expect, skipping = state.get if state.exists else ("", 0, 0, False)
-        rows = sorted((r for pdf in parts for r in pdf[["seq", "chunk"]].itertuples(index=False)), key=lambda r: r.seq)
-        out, ended = [], False
-        for r in rows:
-            if r.seq != expect:
-                raise ValueError(f"stream {key[0]}: chunk {expect} is missing")
-            expect += 1
-            whole, buffer, skipping = take_frames(buffer, skipping, r.chunk or "", limit)
-            for frame in whole:
-                number += 1
-                out.append((key[0], number, frame))
-                ended |= frame is not None and frame.strip() == f"data: {DONE}"
-        if ended:
+        out: list = []
+        if state.hasTimedOut:
             state.remove()
         else:
-            state.update((buffer, number, expect, skipping))
+            buffer, number, expect, skipping, ended = state.get if state.exists else ("", 0, 0, False, False)
+            for seq, chunk in _in_order(parts, "seq", "chunk"):
+                if ended:
+                    break
+                if seq != expect:
+                    raise ValueError(f"stream {key[0]}: chunk {expect} is missing")
+                expect += 1
+                whole, buffer, skipping = take_frames(buffer, skipping, chunk or "", limit)
+                for frame in whole:
+                    if not ended:
+                        number += 1
+                        out.append((key[0], number, frame))
+                        ended = frame is not None and frame.strip() == f"data: {DONE}"
+            state.update(("" if ended else buffer, number, expect, skipping, ended))
+            state.setTimeoutDuration(int(idle * MINUTE))
         yield pd.DataFrame(out, columns=["stream_id", "frame_no", "frame"])
 
-    return chunks.groupBy("stream_id").applyInPandasWithState(run, "stream_id string, frame_no long, frame string", "buffer string, number long, expect long, skipping boolean", "append", GroupStateTimeout.NoTimeout)
+    return chunks.groupBy("stream_id").applyInPandasWithState(run, "stream_id string, frame_no long, frame string", "buffer string, number long, expect long, skipping boolean, ended boolean", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def session_stream(frames: DataFrame, idle: float = fixed.IDLE_MINUTES) -> DataFrame:
+    """(stream_id, frame_no, text, degraded) of a stream of (stream_id, frame_no, frame): what each event brings to its stream's document.
+
+    A session that fails goes on with the raw data of its later frames.
+    """
+
+    def run(key, parts: Iterator, state):
+        import pandas as pd
+
+        out: list = []
+        if state.hasTimedOut:
+            state.remove()
+        else:
+            session = pickle.loads(state.get[0]) if state.exists else Session()
+            for number, kind, text in _in_order(parts, "frame_no", "event", "data"):
+                if text.strip() == DONE:
+                    session = Session()
+                elif text:
+                    out.append((key[0], number, session.text(kind, text), session.degraded))
+            state.update((pickle.dumps(session),))
+            state.setTimeoutDuration(int(idle * MINUTE))
+        yield pd.DataFrame(out, columns=["stream_id", "frame_no", "text", "degraded"])
+
+    events = frames.where("frame IS NOT NULL").select("stream_id", "frame_no", event(F.col("frame")).alias("event"), data(F.col("frame")).alias("data"))
+    return events.groupBy("stream_id").applyInPandasWithState(run, "stream_id string, frame_no long, text string, degraded boolean", "session binary", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def rehydrate_stream(pieces: DataFrame, mapping: dict[str, str]) -> DataFrame:
-    """(stream_id, seq, text) with tokens restored, also those split over pieces; a null text ends a stream and flushes."""
-    from pyspark.sql.streaming.state import GroupStateTimeout
+def whole_tokens(pieces: DataFrame, idle: float = fixed.IDLE_MINUTES) -> DataFrame:
+    """(stream_id, seq, text) cut anew so that no token is split over two rows; a null text ends a stream and flushes, as does the time-out."""
 
     def run(key, parts: Iterator, state):
         import pandas as pd
 
-        held = state.get[0] if state.exists else ""
-        rows = sorted((r for pdf in parts for r in pdf[["seq", "text"]].itertuples(index=False)), key=lambda r: r.seq)
-        out = []
-        for r in rows:
-            last = r.text is None
-            go, held = (held, "") if last else hold_back(held + r.text)
-            out.append((key[0], r.seq, _TOKEN.sub(lambda m: mapping.get(m[0], m[0]), go)))
-        if rows and rows[-1].text is None:
-            if state.exists:
-                state.remove()
+        held, last = state.get if state.exists else ("", -1)
+        out: list = []
+        if state.hasTimedOut:
+            out = [(key[0], last, held)] if held else []
+            state.remove()
         else:
-            state.update((held,))
+            for last, text in _in_order(parts, "seq", "text"):
+                go, held = (held, "") if text is None else hold_back(held + text)
+                out.append((key[0], last, go))
+            state.update((held, int(last)))
+            state.setTimeoutDuration(int(idle * MINUTE))
         yield pd.DataFrame(out, columns=["stream_id", "seq", "text"])
 
-    return pieces.groupBy("stream_id").applyInPandasWithState(run, "stream_id string, seq long, text string", "held string", "append", GroupStateTimeout.NoTimeout)
+    return pieces.groupBy("stream_id").applyInPandasWithState(run, "stream_id string, seq long, text string", "held string, last long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def rehydrate_stream(pieces: DataFrame, mapping: DataFrame, idle: float = fixed.IDLE_MINUTES) -> DataFrame:
+    """(stream_id, seq, text) with each stream's own tokens restored, also those split over pieces.
+
+    mapping: a table (stream_id, token, value).  It is joined to the stream by stream_id, so a number that two streams
+    share stands for each one's own value, and no task holds the tokens of other streams.
+    """
+    own = mapping.groupBy("stream_id", "token").agg(F.min("value").alias("value")).groupBy(F.col("stream_id").alias("_of")).agg(F.map_from_entries(F.collect_list(F.struct("token", "value"))).alias("_values"))
+    cut = whole_tokens(pieces, idle).withColumn("text", F.coalesce("text", F.lit("")))  # a projection: rows straight from Python can't be shuffled
+    joined = cut.join(own, F.col("stream_id") == F.col("_of"), "left")
+    return joined.select("stream_id", "seq", tokens.restore(F.col("text"), F.col("_values")).alias("text"))
 
 
 def scan_stream(rows: DataFrame, text_col: str = "text") -> DataFrame:
@@ -100,13 +142,23 @@ def scan_stream(rows: DataFrame, text_col: str = "text") -> DataFrame:
     return audit.records(detect(rows, text_col), text_col)
 
 
-def persist_stream(mapping: DataFrame, path: str, checkpoint: str):
-    """Writes a stream of vault entries; a batch written again replaces itself, nothing is dropped under load."""
+def scan_frames(chunks: DataFrame, limit: int = fixed.FRAME) -> DataFrame:
+    """Audit records of the data of each complete frame; skipped frames, end markers and frames without data have none."""
+    frames = frame_stream(chunks, limit).where("frame IS NOT NULL").select("stream_id", "frame_no", data(F.col("frame")).alias("text"))
+    return scan_stream(frames.where((F.col("text") != "") & (F.trim("text") != DONE)))
+
+
+def persist_stream(entries: DataFrame, path: str, checkpoint: str):
+    """Writes a stream of vault entries; vault.read gives each token's newest value over all batches.
+
+    A batch written again replaces itself, nothing is dropped under load.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.dropDuplicates(["provider", "conversation_id", "token"]).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        newest = F.max_by(F.struct("type", "value", "created_at"), F.col("created_at")).alias("_e")
+        vault.append(batch.groupBy(*vault.SCOPE, "token").agg(newest).select(*vault.SCOPE, "token", "_e.*"), path, number)
 
-    return mapping.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).start()
+    return entries.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).start()
 
 
 def windowed_counts(events: DataFrame, ts: str = "ts", kind: str = "event_type", size: str = "1 hour", late: str = "2 hours") -> DataFrame:
