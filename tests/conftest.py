@@ -12,7 +12,8 @@ def spark(tmp_path_factory):
 
     session = (
         SparkSession.builder.master("local[4]").appName("tests").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false")
-        .config("spark.sql.session.timeZone", "UTC").config("spark.checkpoint.dir", f"file:{tmp_path_factory.mktemp('shared')}").config("spark.driver.memory", "4g").getOrCreate()
+        .config("spark.sql.session.timeZone", "UTC").config("spark.checkpoint.dir", f"file:{tmp_path_factory.mktemp('shared')}").config("spark.driver.memory", "4g")
+        .config("spark.sql.streaming.noDataMicroBatches.enabled", "false").getOrCreate()  # else streams with time-outs run on for ever
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session

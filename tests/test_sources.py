@@ -1,17 +1,22 @@
 import datetime
+import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from quillmask.plans import policy
 from quillmask.sources import extract, sse, vault
-from quillmask.streaming.streams import hold_back, split_frames
+from quillmask.streaming.streams import hold_back
 
 
 def test_parts_and_rewrite(spark):
     bodies = ['{"model":"m","messages":[{"content":{"parts":["a","b"]}},{"content":{"parts":["c"]}}]}', '{"messages":[{"content":{"parts":[1]}}]}', "nonsense", None]
     df = spark.createDataFrame([(i, b) for i, b in enumerate(bodies)], "id int, body string")
     got = {r.id: r.p for r in df.select("id", extract.request_parts(F.col("body")).alias("p")).collect()}
-    assert got[0] == ["a", "b", "c"] and got[2] == [] and got[3] == []
+    assert got[0] == ["a", "b", "c"] and got[1] == got[2] == got[3] == []
+    odd = ['{"messages":[{"content":{"parts":[1,"a",{"x":2}]}}]}', '{"messages":[{"content":{"parts":["a"]}},{"content":{"parts":7}}]}', '{"messages":null}', "[]", '{"messages":[null,{"content":{"parts":["b",null]}}]}']
+    rows = spark.createDataFrame([(b,) for b in odd], "body string").select(extract.request_parts(F.col("body")).alias("p"), extract.response_parts(F.lit('{"message":{"content":{"parts":["r"]}}}')).alias("r")).collect()
+    assert [r.p for r in rows] == [[], [], [], [], ["b", ""]] and rows[0].r == ["r"]
     mapped = df.withColumn("m", F.create_map(F.lit("a"), F.lit('x"\n')))
     out = {r.id: r.rewritten for r in extract.rewrite(mapped, "body", "m").collect()}
     assert out[0] == '{"model":"m","messages":[{"content":{"parts":["x\\"\\n","b"]}},{"content":{"parts":["c"]}}]}' and out[2] == "nonsense" and out[3] is None
@@ -35,7 +40,7 @@ def test_document_limits():
 
 
 def test_stream_helpers():
-    assert split_frames("a\r\n\r\nb\n\nc") == (["a", "b"], "c")
+    assert sse.cut_frames("a\r\n\r\nb\n\nc") == (["a", "b"], "c")
     assert hold_back("x <<EMA") == ("x ", "<<EMA") and hold_back("x <<EMAIL_1>> y") == ("x <<EMAIL_1>> y", "") and hold_back("x <") == ("x ", "<")
     assert hold_back("<<" + "a" * 5000)[1] == ""
 
@@ -46,11 +51,37 @@ def test_vault(spark):
     rows = [("p", "c1", "<<EMAIL_1>>", "EMAIL", "a@example.com", day), ("p", "c2", "<<EMAIL_1>>", "EMAIL", "b@example.com", datetime.datetime(2024, 1, 1)), ("p/q", "c3", "<<EMAIL_1>>", "EMAIL", "c", day)]
     mapping = spark.createDataFrame(rows, "provider string, conversation_id string, token string, type string, value string, at timestamp")
     store = vault.entries(mapping, key, F.col("at"))
-    assert store.count() == 2
-    assert [r.value for r in vault.conversation(store, key, "p", "c1", now, 168).collect()] == ["a@example.com"]
-    assert vault.conversation(store, key, "p", "c2", now, 168).count() == 0 and vault.conversation(store, key, "p", "c2", now, 0).count() == 1
-    assert vault.conversation(store, bytes(32), "p", "c1", now, 0).count() == 0
-    assert vault.purge(store, vault.metadata(store), now, 168).count() == 1
+    meta = vault.metadata(store)
+    read = lambda c, hours, k=key, m=meta: [r.value for r in vault.conversation(store, m, k, "p", c, now, hours).collect()]
+    assert store.count() == 2 and read("c1", 168) == ["a@example.com"] and read("c2", 168) == [] and read("c2", 0) == ["b@example.com"]
+    assert read("c1", 0, bytes(32)) == [] and read("nobody", 0) == []
+    # an entry that is young does not keep a conversation that is old
+    young = vault.entries(spark.createDataFrame([("p", "c2", "<<EMAIL_2>>", "EMAIL", "new@example.com", day)], mapping.schema), key, F.col("at"))
+    later = vault.upsert(store, young)
+    assert vault.conversation(later, vault.merge_metadata(meta, young), key, "p", "c2", now, 168).count() == 0
+    assert {r.conversation_id for r in vault.purge(later, vault.merge_metadata(meta, young), now, 168).collect()} == {"c1"}
+    grown = {r.conversation_id: r for r in vault.merge_metadata(vault.with_labels(meta).withColumn("label", F.lit("x")), young).collect()}
+    assert grown["c2"].pii_count == 2 and grown["c2"].created_at == datetime.datetime(2024, 1, 1) and grown["c2"].updated_at == day and grown["c2"].label == "x"
+    assert vault.purge_all(store).count() == 0 and vault.delete(store, "p", "c1").count() == 1
+
+
+def test_vault_files(spark, tmp_path):
+    key, path = bytes(range(32)), str(tmp_path / "vault")
+    row = lambda c, value, day: [("p", c, "<<EMAIL_1>>", "EMAIL", value, datetime.datetime(2024, 1, day))]
+    sealed = lambda rows: vault.entries(spark.createDataFrame(rows, "provider string, conversation_id string, token string, type string, value string, at timestamp"), key, F.col("at"))
+    vault.append(sealed(row("a", "old", 1) + row("b", "b", 1)), path, 0)
+    vault.append(sealed(row("a", "new", 20)), path, 1)
+    vault.append(sealed(row("a", "new", 20)), path, 1)  # the same batch again
+    values = lambda: {r.conversation_id: r.v for r in vault.read(spark, path).select("conversation_id", vault.unseal(F.col("value"), key).alias("v")).collect()}
+    assert values() == {"a": "new", "b": "b"}
+    assert vault.sweep(spark, path, F.expr("TIMESTAMP '2024-01-21 00:00:00'"), 168, 2) == 1 and values() == {"a": "new"}
+    made = vault.load_key(str(tmp_path / "key"))
+    assert len(made) == 32 and vault.load_key(str(tmp_path / "key")) == made
+    (tmp_path / "open").write_bytes(made)
+    with pytest.raises(ValueError):
+        vault.load_key(str(tmp_path / "open"))
+    vault.write(sealed(row("a", "x", 1)), str(tmp_path / "whole"))
+    assert spark.read.parquet(str(tmp_path / "whole")).count() == 1
 
 
 def test_policy(spark):
@@ -58,9 +89,10 @@ def test_policy(spark):
     table = spark.createDataFrame([("example.com", "a"), ("example.net", "b"), ("m.example.net", "c")], "domain string, provider string")
     got = {r.host: (r.provider, r.action) for r in policy.route(hosts, table).collect()}
     assert got == {"A.Example.com:443": ("a", "MITM"), "example.com.evil.org": ("unknown", "TUNNEL"), "m.example.net": ("c", "MITM"), "bad host": ("unknown", "TUNNEL"), None: ("unknown", "TUNNEL")}
-    config = policy.Config(providers={"a": policy.Provider(("x.org",)), "b/": policy.Provider(("x.org", "*.y"))}, ttl="5h")
-    assert len(config.validate()) == 4 and policy.Config().merged(mode="enforce").mode == "enforce"
-    assert "x.org" in policy.pac_script(config.domains(), "127.0.0.1:1")
+    config = policy.Config(providers={"a": policy.Provider(("x.org",)), "b": policy.Provider(("x.org", "*.y")), " ": policy.Provider(("z.org",)), "off": policy.Provider((), False)}, ttl="5h")
+    assert len(config.validate()) == 4 and policy.Config().merged(mode="enforce").mode == "enforce" and policy.Config().validate() == []
+    script = policy.pac_script(["x.org", "y.net"], "127.0.0.1:1")
+    assert all(f'host === "{d}" || host.endsWith(".{d}")' in script for d in ("x.org", "y.net")) and 'return "PROXY 127.0.0.1:1"' in script and 'return "DIRECT"' in script
     row = spark.range(1).select(policy.conversation_scope(F.lit("/c/0F0E0D0C-0000-0000-0000-000000000001"), F.lit("f")).alias("a"), F.sha2(F.lit("0f0e0d0c-0000-0000-0000-000000000001"), 256).alias("b"), policy.log_path(F.lit("é" * 300)).alias("c")).first()
     assert row.a == row.b and row.c == "é" * 256
 
@@ -72,7 +104,8 @@ def test_streams_equal_batch(spark, tmp_path):
     rows = [("s", 0, "data: hi <<EMA"), ("s", 1, "IL_1>> and <<EMAIL_2>>\n\n"), ("s", 2, "data: x\n\n"), ("s", 3, None)]
     spark.createDataFrame(rows, "stream_id string, seq long, text string").coalesce(1).write.parquet(src)
     live = spark.readStream.schema("stream_id string, seq long, text string").parquet(src)
-    q = streams.rehydrate_stream(live, {"<<EMAIL_1>>": "a@example.com"}).writeStream.format("memory").queryName("out1").outputMode("append").option("checkpointLocation", str(tmp_path / "c1")).start()
+    mapping = spark.createDataFrame([("s", "<<EMAIL_1>>", "a@example.com"), ("t", "<<EMAIL_1>>", "other@example.com"), ("t", "<<EMAIL_2>>", "no@example.com")], "stream_id string, token string, value string")
+    q = streams.rehydrate_stream(live, mapping).writeStream.format("memory").queryName("out1").outputMode("append").option("checkpointLocation", str(tmp_path / "c1")).start()
     q.processAllAvailable()
     q.stop()
     assert "".join(r.text for r in spark.table("out1").orderBy("seq").collect()) == "data: hi a@example.com and <<EMAIL_2>>\n\ndata: x\n\n"
@@ -80,3 +113,104 @@ def test_streams_equal_batch(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [r.frame for r in spark.table("out2").orderBy("frame_no").collect()] == ["data: hi <<EMAIL_1>> and <<EMAIL_2>>", "data: x"]
+
+
+def test_streams_go_on_after_their_end(spark, tmp_path):
+    """Chunks after the end marker are left out and fail nothing; a stream without one gives up its state when idle."""
+    import time
+
+    from quillmask.streaming import streams
+
+    schema, src = "stream_id string, seq long, chunk string", str(tmp_path / "in")
+    put = lambda *rows: spark.createDataFrame(list(rows), schema).coalesce(1).write.mode("append").json(src)
+    put(("a", 0, "data: 1\n\ndata: [DONE]\n\ndata: 2\n\n"), ("b", 0, "data: x\n\nrest"))
+    live = spark.readStream.schema(schema).json(src)
+    q = streams.frame_stream(live, idle=0.05).writeStream.format("memory").queryName("ended").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).start()
+    q.processAllAvailable()
+    put(("a", 1, "data: 3\n\n"))
+    q.processAllAvailable()
+    time.sleep(4)
+    put(("c", 0, "data: c\n\n"))  # time-outs are looked at when something comes
+    q.processAllAvailable()
+    put(("b", 0, "data: again\n\n"))  # after its time-out a stream begins anew
+    q.processAllAvailable()
+    q.stop()
+    got = {(r.stream_id, r.frame) for r in spark.table("ended").collect()}
+    assert {("a", "data: 1"), ("a", "data: [DONE]"), ("b", "data: x"), ("b", "data: again"), ("c", "data: c")} == got
+
+
+def test_sessions_and_frame_scans(spark, tmp_path):
+    from quillmask.streaming import streams
+
+    op = lambda kind, v: json.dumps({"o": kind, "p": "/message/content/parts/0", "v": v})
+    text = f'data: {op("add", "hi")}\n\nevent: x\ndata: {op("append", " a@example.com")}\n\ndata: [DONE]\n\n'
+    src, schema = str(tmp_path / "in"), "stream_id string, seq long, chunk string"
+    spark.createDataFrame([("s", 0, text[:40]), ("s", 1, text[40:])], schema).coalesce(1).write.json(src)
+    live = spark.readStream.schema(schema).json(src)
+    chunks = spark.createDataFrame([("s", 1, "hi", False), ("s", 2, " a@example.com", False)], "stream_id string, frame_no long, text string, degraded boolean")
+    q = streams.scan_frames(live).writeStream.format("memory").queryName("scanned").outputMode("append").option("checkpointLocation", str(tmp_path / "c1")).trigger(availableNow=True).start()
+    assert q.awaitTermination(120)
+    assert [(r.frame_no, r.result) for r in spark.table("scanned").orderBy("frame_no").collect()] == [(1, "clean"), (2, "pii_found")]
+    frames = spark.createDataFrame([("s", k + 1, f) for k, f in enumerate(sse.cut_frames(text)[0])], "stream_id string, frame_no long, frame string")
+    frames.coalesce(1).write.parquet(str(tmp_path / "frames"))
+    live = spark.readStream.schema(frames.schema).parquet(str(tmp_path / "frames"))
+    q = streams.session_stream(live).writeStream.format("memory").queryName("sessions").outputMode("append").option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
+    assert q.awaitTermination(120)
+    assert sorted(spark.table("sessions").collect()) == sorted(chunks.collect())
+
+
+def test_a_session_that_fails_goes_on_raw(monkeypatch):
+    session = sse.Session()
+    assert session.text("", '{"o":"add","p":"/message/content/parts/0","v":"a"}') == "a" and not session.degraded
+    monkeypatch.setattr(sse, "event_text", lambda *_: 1 / 0)
+    assert session.text("", "{}") == "{}" and session.degraded
+    monkeypatch.undo()
+    assert session.text("", '{"x":"y"}') == '{"x":"y"}'
+
+
+def test_rewriter_flushes_what_it_holds():
+    rewriter = sse.Rewriter({"<<EMAIL_1>>": "a@example.com"})
+    assert rewriter.frame("id: 7\r\n\r\ndata:  x <<EMAIL_1>> <<EMA") == "id: 7\ndata: x a@example.com \n\n"
+    assert rewriter.frame("data: IL_1>> <<PHONE_1>>") == "data: a@example.com <<PHONE_1>>\n\n" and rewriter.count == 2
+    rewriter.frame("data: <<EM")
+    assert rewriter.close() == "data: <<EM\n\n" and rewriter.close() == ""
+
+
+def test_persisted_streams_keep_the_newest_value(spark, tmp_path):
+    from quillmask.streaming import streams
+
+    key, schema = bytes(range(32)), "provider string, conversation_id string, token string, type string, value string, at timestamp"
+    src, out = str(tmp_path / "in"), str(tmp_path / "vault")
+    for k, value in enumerate(["one", "two"]):
+        rows = [("p", "c", "<<EMAIL_1>>", "EMAIL", value, datetime.datetime(2024, 1, 1 + k)), ("p", "c", "<<EMAIL_1>>", "EMAIL", "older", datetime.datetime(2023, 1, 1))]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+        live = vault.entries(spark.readStream.schema(schema).parquet(src), key, F.col("at"))
+        q = streams.persist_stream(live, out, str(tmp_path / "c"))
+        q.processAllAvailable()
+        q.stop()
+    assert [r.v for r in vault.read(spark, out).select(vault.unseal(F.col("value"), key).alias("v")).collect()] == ["two"]
+
+
+def test_configuration_files(tmp_path):
+    from quillmask.plans.flows import CONFIG
+
+    config = policy.parse_config(CONFIG)
+    assert config.ttl_hours() == 24 and config.domains() == ["example.com"] and config.fails() == "fail_open" and config.scan_paths == policy.fixed.SCAN_PATHS and config.pii_logging is None
+    (tmp_path / "base").write_text(CONFIG)
+    (tmp_path / "over").write_text("agent: {mode: enforce, listen_port: 0, monitor: {scan_paths: [/x]}}\nlogging: {pii_logging: false}\nproviders: {beta: {enabled: true, domains: [B.example.net]}}")
+    merged = policy.load_config(str(tmp_path / "base"), str(tmp_path / "over"))
+    assert merged.mode == "enforce" and merged.listen_port == 8787 and merged.scan_paths == ("/x",) and merged.pii_logging is False and merged.ttl == "24h" and merged.domains() == ["b.example.net", "example.com"] and merged.fails() == "fail_closed"
+    assert [round(policy.Config(ttl=t).sweep_every().total_seconds() / 3600, 3) for t in ("0", "24h", "168h", "720h")] == [1, 3.429, 24, 24]
+    for bad in ("", "agent: {mode: no}", CONFIG.replace("24h", "25h"), CONFIG.replace("127.0.0.1", "8.8.8.8"), CONFIG.replace("monitor", "enforce, fail_mode: fail_open"), CONFIG.replace("[example.com]", "[example.com, EXAMPLE.com]"), CONFIG.replace("[example.com]", "[]"), CONFIG.replace("8787", "99999")):
+        with pytest.raises(ValueError):
+            policy.parse_config(bad)
+
+
+def test_audit_sink(spark, tmp_path):
+    from quillmask.operators import audit, detect
+
+    rows = spark.createDataFrame([(1, "a@example.com", datetime.datetime(2024, 1, 2))], "id int, text string, ts timestamp")
+    for _ in range(2):
+        audit.sink(audit.records(detect.detect(rows), host="h.example").drop("text"), str(tmp_path / "audit"))
+    got = spark.read.json(str(tmp_path / "audit")).collect()
+    assert len(got) == 2 and got[0].result == "pii_found" and got[0].host == "h.example" and "a@example.com" not in str(got)
