@@ -1,7 +1,14 @@
 """Five stages from raw documents to packed training sequences.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept; all but the last return the
-columns of documents.
+columns of documents.  Null and empty texts, null ids and languages, repeated rows and empty tables pass every stage:
+
+* toxicity: a text without words scores low and stays; repeated rows go or stay together;
+* near_duplicates: texts without words link with nothing and stay; of equal texts the smallest id stays, with all rows
+  of that id; rows with a null id stay;
+* secrets: every row stays; a null text stays null;
+* mixing: repeated rows share their draw; a null language or source is a value of its own;
+* packing: a null or empty text is a document of the end id alone.
 """
 
 from __future__ import annotations
@@ -11,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmask.llm import jaccard_join, mixing, packing, secrets, toxicity
-from quillmask.llm.common import table, written
+from quillmask.llm.common import mark, table, tidy, written
 
 #: SQL can't express the classifier
 ORACLE_SQL = None
@@ -46,8 +53,9 @@ STAGES = [("toxicity", toxic_out), ("near_duplicates", near_copies_out), ("secre
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each but the last is written and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents; each but the last is written and read again, and then its predecessor's rows are dropped."""
+    docs, since = table(spark, sf_dir, "documents"), mark()
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)
+        tidy(spark, since, name)
     return STAGES[-1][1](spark, docs, sf_dir)
