@@ -20,13 +20,15 @@ from pyspark.sql import functions as F
 from quillmask.llm import jaccard_join, mixing, packing, secrets, toxicity
 from quillmask.llm.common import mark, table, tidy, written
 
+#: texts that go to a Python worker at once; Spark keeps the memory of the largest batch that it has sent
+ROWS = 1_000
 #: SQL can't express the classifier
 ORACLE_SQL = None
 
 
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
-    return toxicity.reject(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return written(toxicity.reject(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"))), "clean", ROWS)
 
 
 def near_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +48,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents in sequences of 2048 tokens at most."""
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return written(packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json")), "pieces", ROWS)
 
 
 STAGES = [("toxicity", toxic_out), ("near_duplicates", near_copies_out), ("secrets", secrets_masked), ("mixing", mixed), ("packing", packed)]
