@@ -117,15 +117,35 @@ def _placed(parts: Column, sums: Column) -> Column:
     return F.flatten(F.transform(_steps(parts), block))
 
 
-def locate(df: DataFrame, text: Column, patterns: dict[str, str], out: str, gates: dict[str, Column] | None = None) -> DataFrame:
-    """Adds a struct of array<MATCH>, one per pattern: its leftmost matches that do not overlap, in order."""
+def locate(df: DataFrame, text: Column, patterns: dict[str, str | tuple[str, ...]], out: str, gates: dict[str, Column] | None = None) -> DataFrame:
+    """Adds a struct of array<MATCH>, one per pattern: its leftmost matches that do not overlap, in order.
+
+    Of several patterns under one name each is located by itself, one after the other; those that begin with two letters
+    only in texts that hold these letters.  They are one expression, however many they are.
+    """
     gates, names = gates or {}, []
     for n in range(3):
         names.append(free_name(df, f"_{out}{n}"))
-    df = hold(df, names[0], **{k: _cut(text, p, gates.get(k, text.rlike(p))) for k, p in patterns.items()})
-    df = hold(df, names[1], **{k: _parts(F.col(names[0])[k]) for k in patterns})
-    df = hold(df, names[2], **{k: _sums(F.col(names[1])[k]) for k in patterns})
-    df = hold(df, out, **{k: _placed(F.col(names[1])[k], F.col(names[2])[k]) for k in patterns})
+    several = {k for k, p in patterns.items() if not isinstance(p, str)}
+    each = lambda k, value, f: F.transform(value, f) if k in several else f(value)
+
+    def cut(k, p):
+        if k not in several:
+            return _cut(text, p, gates.get(k, text.rlike(p)))
+        some = F.filter(F.array(*map(F.lit, p)), lambda x: ~F.left(x, F.lit(2)).rlike("^[A-Z]{2}$") | F.contains(text, F.left(x, F.lit(2))))
+        some = F.when(gates.get(k, F.lit(True)), some).otherwise(empty("string"))
+        return F.transform(some, lambda x: F.struct(F.split(text, x, -1).alias("gaps"), F.regexp_extract_all(text, x, F.lit(0)).alias("hits")))
+
+    def placed(k):
+        parts, sums = F.col(names[1])[k], F.col(names[2])[k]
+        if k not in several:
+            return _placed(parts, sums)
+        return F.flatten(F.transform(parts, lambda x, i: _placed(x, F.get(sums, i))))
+
+    df = hold(df, names[0], **{k: cut(k, p) for k, p in patterns.items()})
+    df = hold(df, names[1], **{k: each(k, F.col(names[0])[k], _parts) for k in patterns})
+    df = hold(df, names[2], **{k: each(k, F.col(names[1])[k], _sums) for k in patterns})
+    df = hold(df, out, **{k: placed(k) for k in patterns})
     return df.drop(*names)
 
 

@@ -114,7 +114,7 @@ def token_reuse(spark, sf_dir):
 # ---- event streams -----------------------------------------------------------------------------------------------------
 @query("sse_fields", """
 SELECT event_id, CASE WHEN event_id % 2 = 0 THEN event_type ELSE '' END AS event, 'v ' || event_id || CASE WHEN event_id % 3 = 0 THEN chr(10) || 'more' ELSE '' END AS data, event_id::VARCHAR AS id,
-CASE WHEN event_id % 4 = 0 THEN event_id END AS retry, CASE WHEN event_id % 5 = 0 THEN 'note' ELSE '' END AS comments FROM events""")
+CASE WHEN event_id % 4 = 0 THEN event_id ELSE -1 END AS retry, CASE WHEN event_id % 5 = 0 THEN 'note' ELSE '' END AS comments FROM events""")
 def sse_fields(spark, sf_dir):
     k, key = F.col("event_id"), F.col("event_id").cast("string")
     frame = F.concat(
@@ -122,7 +122,7 @@ def sse_fields(spark, sf_dir):
         F.lit("id: "), key, F.lit("\nretry: "), F.when(k % 4 == 0, key).otherwise("soon"), F.when(k % 5 == 0, "\n: note").otherwise(""),
     )
     f = sse.fields(frame)
-    return table(spark, sf_dir, "events").select("event_id", f["event"].alias("event"), f["data"].alias("data"), f["id"].alias("id"), f["retry"].alias("retry"), F.array_join(f["comments"], "|").alias("comments"))
+    return table(spark, sf_dir, "events").select("event_id", f["event"].alias("event"), f["data"].alias("data"), f["id"].alias("id"), F.coalesce(f["retry"], F.lit(-1)).alias("retry"), F.array_join(f["comments"], "|").alias("comments"))
 
 
 @query("sse_rewrite", """
