@@ -15,7 +15,8 @@ A byte goes if a string of `length` bytes covers it that also starts in a docume
    share `length` bytes or more, and runs of them are the classes of equal windows.
 5. Blocks get the ranges to remove and make the results.
 
-Exact, up to collisions of two independent 64-bit hashes in a block's or bucket's own fragments.  Null texts are empty.
+Exact: hashes only choose anchors and deal work; fragments are equal where their bytes are.  A block has a row for each
+bucket that its anchors occur in, so rows grow with blocks times buckets until there are fewer anchors.  Null texts are empty.
 Rows with one id are one document's for "smaller id", but have a row each.  Rows with a null id keep their text.  Extra
 columns are not looked at; an empty table gives an empty result.
 """
@@ -24,9 +25,11 @@ from __future__ import annotations
 
 import hashlib
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillmask.llm import pieces
 from quillmask.llm.common import written
 
 LENGTH, GRAM, HOT = 50, 24, 512
@@ -39,65 +42,45 @@ _KEPT: dict = {}
 
 
 def _powers(n: int):
-    """Powers of two odd bases and of their inverses modulo 2**64, kept between blocks."""
-    import numpy as np
-
+    """Powers of an odd base and of its inverse modulo 2**64, kept between blocks."""
     size = 1 << max(16, n.bit_length())
     if _KEPT.get("n", 0) < size:
-        for name, base in (("a", 0xD1342543DE82EF95), ("b", 0x9E3779B97F4A7C15)):
-            up, down = np.full(size, base, np.uint64), np.full(size, pow(base, -1, 1 << 64), np.uint64)
-            up[0] = down[0] = 1
-            _KEPT[name] = np.multiply.accumulate(up), np.multiply.accumulate(down)
-        _KEPT["n"] = size
-    return _KEPT["a"], _KEPT["b"]
-
-
-def _scramble(x):
-    import numpy as np
-
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(29))
+        base = 0xD1342543DE82EF95
+        up, down = np.full(size, base, np.uint64), np.full(size, pow(base, -1, 1 << 64), np.uint64)
+        up[0] = down[0] = 1
+        _KEPT.update(n=size, up=np.multiply.accumulate(up), down=np.multiply.accumulate(down))
+    return _KEPT["up"], _KEPT["down"]
 
 
 class _Hashes:
-    """Hashes of any ranges of a byte string."""
+    """Rolling hashes of any ranges of a byte string.  Equal ranges have equal hashes; the other way round nothing rests on it."""
 
     def __init__(self, data):
-        import numpy as np
+        table = pieces.scramble((np.arange(256, dtype=np.uint64) + np.uint64(11)) * np.uint64(0x94D049BB133111EB))
+        up, self.down = _powers(len(data) + 1)
+        self.sum = np.concatenate((np.zeros(1, np.uint64), np.cumsum(table[data] * up[: len(data)], dtype=np.uint64)))
 
-        table = _scramble((np.arange(256, dtype=np.uint64) + np.uint64(11)) * np.uint64(0x94D049BB133111EB))
-        (self.up, self.down), (up, self.down2) = _powers(len(data) + 1)
-        value = table[data]
-        self.sum = np.concatenate((np.zeros(1, np.uint64), np.cumsum(value * self.up[: len(data)], dtype=np.uint64)))
-        self.sum2 = np.concatenate((np.zeros(1, np.uint64), np.cumsum(value * up[: len(data)], dtype=np.uint64)))
-
-    def first(self, lo, hi):
-        return _scramble((self.sum[hi] - self.sum[lo]) * self.down[lo])
-
-    def second(self, lo, hi):
-        return _scramble((self.sum2[hi] - self.sum2[lo]) * self.down2[lo])
+    def of(self, lo, hi):
+        return pieces.scramble((self.sum[hi] - self.sum[lo]) * self.down[lo])
 
     def grams(self, n: int, size: int):
-        return _scramble((self.sum[size : n + 1] - self.sum[: n + 1 - size]) * self.down[: n + 1 - size])
+        return pieces.scramble((self.sum[size : n + 1] - self.sum[: n + 1 - size]) * self.down[: n + 1 - size])
 
 
 class _Block:
     """Texts of a block in one byte string, in order of id and text."""
 
     def __init__(self, ids, texts):
-        import numpy as np
-
         order = sorted(range(len(ids)), key=lambda k: (ids[k], texts[k]))
         self.ids = np.array([ids[k] for k in order], np.int64)
         self.texts = [texts[k] for k in order]
-        self.data = np.frombuffer(b"".join(self.texts), np.uint8)
+        self.raw = b"".join(self.texts)
+        self.data = np.frombuffer(self.raw, np.uint8)
         self.ends = np.cumsum([len(t) for t in self.texts]).astype(np.int64)
         self.begins = self.ends - np.array([len(t) for t in self.texts], np.int64)
 
     def fragments(self, length: int, gram: int):
         """(hashes, anchor hash, first window, last window + 1, document) of each fragment."""
-        import numpy as np
-
         n = len(self.data)
         hashes = _Hashes(self.data)
         none = np.zeros(0, np.int64)
@@ -140,14 +123,20 @@ def _named(copies):
 
 def _short(anchor):
     """Within its bucket an anchor is known by 32 bits: whether it is shared is a filter, so a chance equality costs only work."""
-    import numpy as np
-
     return ((anchor >> np.uint64(29)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
 
 
+def _by_bucket(bucket):
+    """(bucket, places of its members) of the buckets that occur."""
+    order = np.argsort(bucket, kind="stable")
+    edge = np.flatnonzero(np.diff(bucket[order])) + 1
+    if len(order):
+        for part in np.split(order, edge):
+            yield int(bucket[part[0]]), part
+
+
 def _anchors(docs, copies, length: int, gram: int, buckets: int):
     """Different anchors of a block by bucket, with how many different fragments each has (up to 255; 128 more: in two documents)."""
-    import numpy as np
     import pandas as pd
 
     pdf, _ = _without(docs, _named(copies.gone))
@@ -155,28 +144,22 @@ def _anchors(docs, copies, length: int, gram: int, buckets: int):
     hashes, anchor, first, last, document = block.fragments(length, gram)
     out = []
     if len(anchor):
-        order = np.lexsort((hashes.first(first, last + (length - 1)), anchor))
-        anchor, content, owner = anchor[order], hashes.first(first, last + (length - 1))[order], block.ids[document[order]]
+        order = np.lexsort((hashes.of(first, last + (length - 1)), anchor))
+        anchor, content, owner = anchor[order], hashes.of(first, last + (length - 1))[order], block.ids[document[order]]
         new = np.concatenate(([True], anchor[1:] != anchor[:-1]))
         at = np.flatnonzero(new)
         kinds = np.add.reduceat((new | np.concatenate(([True], content[1:] != content[:-1]))).astype(np.int64), at)
         many = np.minimum.reduceat(owner, at) != np.maximum.reduceat(owner, at)
         anchor = anchor[at]
         count = (np.minimum(kinds, 127) + 128 * many).astype(np.uint8)
-        bucket = anchor % np.uint64(buckets)
-        order = np.argsort(bucket, kind="stable")
-        cut = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
         number = docs.block.iloc[0]
-        for b in range(buckets):
-            part = order[cut[b] : cut[b + 1]]
-            if len(part):
-                out.append((b, number, _short(anchor[part]).tobytes(), count[part].tobytes()))
+        for b, part in _by_bucket(anchor % np.uint64(buckets)):
+            out.append((b, number, _short(anchor[part]).tobytes(), count[part].tobytes()))
     return pd.DataFrame(out, columns=["bucket", "block", "hashes", "counts"])
 
 
 def _shared(pdf, hot: int):
     """Anchors of a bucket that occur in two documents or blocks, by block; hot ones marked."""
-    import numpy as np
     import pandas as pd
 
     blocks, sizes = pdf.block.to_numpy(), np.array([len(c) for c in pdf.counts])
@@ -198,9 +181,8 @@ def _shared(pdf, hot: int):
     return pd.DataFrame(out, columns=["block", "bucket", "hashes", "marks"])
 
 
-def _candidates(docs, answers, length: int, gram: int, buckets: int):
+def _candidates(docs, answers, length: int, gram: int, known_by: int, buckets: int):
     """Fragments that may repeat elsewhere, by bucket; ranges that repeat within the block go along."""
-    import numpy as np
     import pandas as pd
 
     columns = ["bucket", "block", "anchors", "ids", "sizes", "bytes", "owners", "starts", "ranges"]
@@ -214,7 +196,7 @@ def _candidates(docs, answers, length: int, gram: int, buckets: int):
     mark = np.frombuffer(b"".join(answers.marks), np.uint8)
     order = np.argsort(known)
     known, mark = known[order], mark[order]
-    name = _short(anchor).astype(np.uint64) | (anchor % np.uint64(buckets)) << np.uint64(32)
+    name = _short(anchor).astype(np.uint64) | (anchor % np.uint64(known_by)) << np.uint64(32)
     at = np.minimum(np.searchsorted(known, name), len(known) - 1)
     got = np.where(known[at] == name, mark[at], 0)
     keep = got > 0
@@ -226,12 +208,13 @@ def _candidates(docs, answers, length: int, gram: int, buckets: int):
     first = np.concatenate((first[~split], lone))
     last = np.concatenate((last[~split], lone + 1))
     document = np.concatenate((document[~split], np.repeat(document[split], n)))
-    route = np.concatenate((anchor[~split], hashes.first(lone, lone + length)))
+    route = np.concatenate((anchor[~split], hashes.of(lone, lone + length)))
     stop = last + length - 1
-    h1, h2, owner = hashes.first(first, stop), hashes.second(first, stop), block.ids[document]
-    order = np.lexsort((first, owner, h2, h1))
-    first, stop, document, route, owner, h1, h2 = (x[order] for x in (first, stop, document, route, owner, h1, h2))
-    new = np.concatenate(([True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1]))) if len(first) else np.zeros(0, bool)
+    owner = block.ids[document]
+    _, which = pieces.distinct(pieces.buffer(block.raw), first, stop - first)  # compared byte by byte
+    order = np.lexsort((first, owner, which))
+    first, stop, document, route, owner, which = (x[order] for x in (first, stop, document, route, owner, which))
+    new = np.concatenate(([True], which[1:] != which[:-1])) if len(first) else np.zeros(0, bool)
     at = np.flatnonzero(new)
     group = np.cumsum(new) - 1
     lowest = owner == owner[at][group] if len(at) else np.zeros(0, bool)
@@ -240,27 +223,21 @@ def _candidates(docs, answers, length: int, gram: int, buckets: int):
     number, out = docs.block.iloc[0], []
     out.append((int(number % buckets), number, b"", b"", b"", b"", b"", b"", ranges.tobytes()))
     bucket = (route[at] % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
     # occurrences in the lowest document, by group
     spots = np.flatnonzero(lowest)
     spot_cut = np.searchsorted(group[spots], np.arange(len(at) + 1))
-    raw = block.data.tobytes()
-    for b in range(buckets):
-        part = order[cut[b] : cut[b + 1]]
-        if len(part):
-            lo, hi = first[at[part]].tolist(), stop[at[part]].tolist()
-            where = np.concatenate([spots[spot_cut[g] : spot_cut[g + 1]] for g in part])
-            times = (spot_cut[part + 1] - spot_cut[part]).astype(np.int32)
-            flat = np.stack((document[where], begin[where]), axis=1).astype(np.int32)
-            out.append((b, number, (route[at[part]] >> np.uint64(32)).astype(np.uint32).tobytes(), owner[at[part]].tobytes(), np.array([y - x for x, y in zip(lo, hi)], np.uint16).tobytes(), b"".join(raw[x:y] for x, y in zip(lo, hi)), times.tobytes(), flat.tobytes(), b""))
+    raw = block.raw
+    for b, part in _by_bucket(bucket):
+        lo, hi = first[at[part]].tolist(), stop[at[part]].tolist()
+        where = np.concatenate([spots[spot_cut[g] : spot_cut[g + 1]] for g in part])
+        times = (spot_cut[part + 1] - spot_cut[part]).astype(np.int32)
+        flat = np.stack((document[where], begin[where]), axis=1).astype(np.int32)
+        out.append((b, number, (route[at[part]] >> np.uint64(32)).astype(np.uint32).tobytes(), owner[at[part]].tobytes(), np.array([y - x for x, y in zip(lo, hi)], np.uint16).tobytes(), b"".join(raw[x:y] for x, y in zip(lo, hi)), times.tobytes(), flat.tobytes(), b""))
     return pd.DataFrame(out, columns=columns)
 
 
 def transform(text):
     """(suffix array, Burrows-Wheeler transform, LF mapping) of the cyclic shifts of integers 0 to 256."""
-    import numpy as np
-
     n = len(text)
     rank, have = text.astype(np.int64), 1
     if n >= 8:
@@ -288,8 +265,6 @@ def common_prefixes(bwt, lf, stop: int):
 
     Breadth first: level l holds intervals of strings of l symbols whose right end was found at the level before.
     """
-    import numpy as np
-
     n = len(bwt)
     lcp = np.full(n + 1, -1, np.int16)
     lcp[0] = lcp[n] = 0
@@ -320,8 +295,6 @@ def common_prefixes(bwt, lf, stop: int):
 
 def repeated_windows(fragments: list[bytes], ids, length: int):
     """For each fragment, a mask of its windows that also occur in a fragment of smaller id."""
-    import numpy as np
-
     sizes = np.array([len(f) for f in fragments])
     text = np.zeros(int((sizes + 1).sum()), np.int64)
     ends = np.cumsum(sizes + 1) - 1
@@ -344,7 +317,6 @@ def repeated_windows(fragments: list[bytes], ids, length: int):
 
 def _search(pdf, length: int):
     """Ranges to remove, by block, from a bucket's fragments."""
-    import numpy as np
     import pandas as pd
 
     out: dict = {}
@@ -395,7 +367,6 @@ def _search(pdf, length: int):
 
 def _results(docs, found, length: int, keep_text: bool):
     """A row per text of a block."""
-    import numpy as np
     import pandas as pd
 
     lost = docs[docs.id.isna()]
@@ -435,18 +406,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), text.alias("text"))
     total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(8, -(-total // block_bytes))
-    buckets = max(8, blocks // 4)
+    buckets, anchor_buckets = max(8, blocks // 4), max(8, blocks // 16)
     rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("long"))
     keyed = rows.where("id IS NOT NULL").select("block", "id", F.md5("text").alias("key"))
     lowest = written(keyed.groupBy("key").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "low"), "lowest")
     again = keyed.join(lowest, "key").where("id <> low").select("block", F.struct("id", "key").alias("c")).distinct()
     copies = written(again.groupBy("block").agg(F.collect_list("c").alias("gone")), "copies")
     none = lambda *names: [F.lit(None).cast("binary").alias(n) for n in names]
-    anchors = rows.groupBy("block").cogroup(copies.groupBy("block")).applyInPandas(lambda a, b: _anchors(a, b, length, gram, buckets), "bucket long, block long, hashes binary, counts binary")
+    anchors = rows.groupBy("block").cogroup(copies.groupBy("block")).applyInPandas(lambda a, b: _anchors(a, b, length, gram, anchor_buckets), "bucket long, block long, hashes binary, counts binary")
     answers = anchors.groupBy("bucket").applyInPandas(lambda pdf: _shared(pdf, hot), "block long, bucket long, hashes binary, marks binary")
     answers = answers.select("block", "bucket", "hashes", "marks", F.lit(None).cast(copies.schema["gone"].dataType).alias("gone")).union(copies.select("block", F.lit(None).cast("long").alias("bucket"), *none("hashes", "marks"), "gone"))
     wanted = "bucket long, block long, anchors binary, ids binary, sizes binary, bytes binary, owners binary, starts binary, ranges binary"
-    candidates = rows.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(lambda a, b: _candidates(a, b, length, gram, buckets), wanted)
+    candidates = rows.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(lambda a, b: _candidates(a, b, length, gram, anchor_buckets, buckets), wanted)
     ranges = candidates.groupBy("bucket").applyInPandas(lambda pdf: _search(pdf, length), "block long, ranges binary")
     ranges = ranges.select("block", "ranges", F.lit(None).cast(copies.schema["gone"].dataType).alias("gone")).union(copies.select("block", *none("ranges"), "gone"))
     out = rows.groupBy("block").cogroup(ranges.groupBy("block")).applyInPandas(lambda a, b: _results(a, b, length, keep_text), "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text)
