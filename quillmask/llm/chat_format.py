@@ -19,14 +19,20 @@ from pyspark.sql import functions as F
 TURN = "<|{role}|>\n{text}<|end|>\n"
 
 
+#: a conversation's id where it has one, and whether it has none: what rows are dealt by throughout
+KEY = ["conv", "none"]
+
+
 def _rows(turns: DataFrame, conv_col: str, turn_col: str, role_col: str, text_col: str) -> DataFrame:
-    return turns.select(*(F.col(f"`{c}`").alias(n) for c, n in ((conv_col, "conv"), (turn_col, "turn"), (role_col, "role"), (text_col, "text"))))
+    conv = F.col(f"`{conv_col}`")
+    own = F.coalesce(conv, F.lit(0).cast(turns.schema[conv_col].dataType)).alias("conv")
+    return turns.select(own, conv.isNull().alias("none"), *(F.col(f"`{c}`").alias(n) for c, n in ((turn_col, "turn"), (role_col, "role"), (text_col, "text"))))
 
 
 def prefixes(rows: DataFrame) -> DataFrame:
-    """Adds place, turns and the rolling prefix hash (two 64-bit halves) to conv, turn, role, text."""
-    order = Window.partitionBy("conv").orderBy("turn", "role", "text")
-    rows = rows.withColumn("place", F.row_number().over(order)).withColumn("turns", F.count(F.lit(1)).over(Window.partitionBy("conv")))
+    """Adds place, turns and the rolling prefix hash (two 64-bit halves) to conv, none, turn, role, text."""
+    order = Window.partitionBy(*KEY).orderBy("turn", "role", "text")
+    rows = rows.withColumn("place", F.row_number().over(order)).withColumn("turns", F.count(F.lit(1)).over(Window.partitionBy(*KEY)))
     said = (F.col("role").isNull(), F.col("role"), F.col("text").isNull(), F.col("text"), F.col("place"))
     running = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     for n in (1, 2):  # position-salted hashes under xor: each turn's prefix follows from the one before
@@ -35,20 +41,24 @@ def prefixes(rows: DataFrame) -> DataFrame:
 
 
 def maximal(marked: DataFrame) -> DataFrame:
-    """conv of each conversation that is no proper prefix of another, one for equal ones."""
-    whole = marked.where("place = turns").groupBy("hash1", "hash2", "place").agg(F.min("conv").alias("conv"))
+    """conv and none of each conversation that is no proper prefix of another, one for equal ones (none last)."""
+    ends = marked.where("place = turns").select("hash1", "hash2", "place", F.struct("none", "conv").alias("who"))
+    whole = ends.groupBy("hash1", "hash2", "place").agg(F.min("who").alias("who"))
     part = marked.where("place < turns").select("hash1", "hash2", "place").distinct()
-    return whole.join(part, ["hash1", "hash2", "place"], "left_anti").select("conv")
+    return whole.join(part, ["hash1", "hash2", "place"], "left_anti").select("who.*")
 
 
 def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", template: str = TURN) -> DataFrame:
-    """One row per maximal conversation: id, n_turns, rendered."""
+    """One row per maximal conversation: id, n_turns, rendered.
+
+    Turns are dealt by conversation once: the search for prefixes and the rendering read the same exchange.
+    """
     rows = _rows(turns, conv_col, turn_col, role_col, text_col)
-    kept = maximal(prefixes(rows)).withColumnRenamed("conv", "kept")
+    kept = maximal(prefixes(rows))
     head, middle, tail = template.replace("{role}", "\0").replace("{text}", "\0").split("\0")
-    grouped = rows.join(kept, F.col("conv").eqNullSafe(F.col("kept")), "left_semi").groupBy("conv").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("all"))
+    grouped = rows.join(kept.hint("merge"), KEY, "left_semi").groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("all"))
     lines = F.transform("all", lambda t: F.concat(F.lit(head), F.coalesce(t["role"], F.lit("")), F.lit(middle), F.coalesce(t["text"], F.lit("")), F.lit(tail)))
-    return grouped.select(F.col("conv").alias(conv_col), F.size("all").cast("long").alias("n_turns"), F.array_join(lines, "").alias("rendered"))
+    return grouped.select(F.when(~F.col("none"), F.col("conv")).alias(conv_col), F.size("all").cast("long").alias("n_turns"), F.array_join(lines, "").alias("rendered"))
 
 
 SQL = """
