@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmask.llm import chat_format, embedding_dedup, jaccard_join, media, mixing, packing, secrets, suffix_dedup, token_counts, toxicity
+from quillmask.llm import alignment, chat_format, embedding_dedup, hard_negatives, jaccard_join, media, mixing, packing, residual_packing, secrets, suffix_dedup, token_counts, toxicity
 from quillmask.llm.common import table
 
 
@@ -58,6 +58,20 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer())
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
+def op12_residual_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residual_packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.linked_counts(table(spark, sf_dir, "documents"), tokenizer(), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_chat_format": op2_chat_format,
@@ -69,10 +83,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_media_columns": op8_media_columns,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_packing": op10_packing,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_residual_packing": op12_residual_packing,
+    "op13_alignment": op13_alignment,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_chat_format": chat_format.SQL,
     "op4_mixing": mixing.sql(),
     "op9_jaccard_join": jaccard_join.SQL,
+    "op11_hard_negatives": hard_negatives.SQL,
 }
