@@ -31,11 +31,12 @@ from pyspark.sql import functions as F
 
 from quillmask.llm import bpe
 from quillmask.llm.common import mark, tidy, written
+from quillmask.llm.words import LETTERS, MARKS, Words, code, flat, sums, tokenizer
 
 #: bytes of text in a block; texts that Python functions get at once
-BLOCK, ROWS = 4_000_000, 1_000
-#: neither tokenizer joins what stands on both sides of a space after something that is no white space
-_WORD = re.compile(r"(?<=\S)(?= )")
+BLOCK, ROWS = 2_000_000, 1_000
+#: what marks the B ids of a word's code
+_B = 1 << 31
 
 
 class Pair:
@@ -45,8 +46,6 @@ class Pair:
         import numpy as np
         import sentencepiece
 
-        from quillmask.llm.words import Words, tokenizer
-
         with open(path_a, encoding="utf-8") as f:
             spec = json.load(f)
         pre = spec.get("pre_tokenizer") or {}
@@ -63,37 +62,43 @@ class Pair:
             self.bytes_a[k] = bytes(stand_in[c] for c in token)
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(k) else p.replace("▁", " ").encode() for k, p in enumerate(pieces)]
         self.size_a, self.size_b = (np.fromiter(map(len, every), np.int64, len(every)) for every in (self.bytes_a, self.bytes_b))
+        self.of_a = [f"{k}{end}" for k in range(len(self.bytes_a)) for end in ",|"]
+        self.of_b = [f"{k}{end}" for k in range(len(self.bytes_b)) for end in ",;"]
+        # neither tokenizer joins what stands on both sides of a space after something that is no white space, nor of a mark after a letter where no piece of B does
+        marks = "".join(m for m in MARKS if not any(re.search(f"[{LETTERS}]{re.escape(m)}", p) for p in pieces))
+        self.cut = re.compile(rf"(?= )(?<=\S)|(?=[{re.escape(marks)}])(?<=[{LETTERS}])" if marks else r"(?= )(?<=\S)")
         self.words = Words(self._words)
 
     def _words(self, words: list[str]) -> list:
-        """(A ids, B ids) of words that begin with a space, or None where their bytes are not the word's."""
-        from quillmask.llm.words import code
-
-        out, space = [], [self.b.piece_to_id("▁")]
-        for word, a, b in zip(words, self.a.encode_batch_fast(words, add_special_tokens=False), self.b.encode([w[1:] for w in words], num_threads=1)):
+        """Codes of parts of a text, A ids and then marked B ids; None where the tokens' bytes are not the part's.
+
+        A part that begins with a space is encoded by B as the text after it, since B adds one; the others stand behind a
+        letter that is encoded by itself, and are encoded behind it.
+        """
+        out, space, lead = [], [self.b.piece_to_id("▁")], self.b.encode("a")
+        every = self.b.encode([w[1:] if w[0] == " " else "a" + w for w in words], num_threads=1)
+        for word, a, b in zip(words, self.a.encode_batch_fast(words, add_special_tokens=False), every):
+            if word[0] != " ":
+                b = b[len(lead) :] if b[: len(lead)] == lead else []
             raw, a, b = word.encode(), a.ids, b or space  # the library gives an empty text no space
             same = b"".join([self.bytes_a[k] for k in a]) == raw and b"".join([self.bytes_b[k] for k in b]) == raw
-            out.append((code(a), code(b)) if same else None)
+            out.append(code(a) + code([k | _B for k in b]) if same else None)
         return out
 
     def encode(self, texts: list[str]):
         """(A ids, their number by text, B ids, their number by text); texts that do not come back have none."""
         import numpy as np
 
-        from quillmask.llm.words import flat, sums
-
-        parts = [_WORD.split(" " + t) if t else [] for t in texts]
+        parts = [self.cut.split(" " + t) if t else [] for t in texts]
         values, at = self.words.values([w for p in parts for w in p]), 0
         for k, part in enumerate(parts):
             if None in values[at : at + len(part)]:
-                values[at : at + len(part)] = [(b"", b"")] * len(part)
+                values[at : at + len(part)] = [b""] * len(part)
             at += len(part)
-        count = np.fromiter(map(len, parts), np.int64, len(parts))
-        out = []
-        for codes in ([v[0] for v in values], [v[1] for v in values]):
-            ids, sizes = flat(codes)
-            out += [ids.astype(np.int64), sums(sizes, count)]
-        return tuple(out)
+        ids, sizes = flat(values)
+        of_b = ids >= _B
+        n, n_b = (sums(x, np.fromiter(map(len, parts), np.int64, len(parts))) for x in (sizes, sums(of_b, sizes)))
+        return ids[~of_b].astype(np.int64), n - n_b, (ids[of_b] & np.uint32(_B - 1)).astype(np.int64), n_b
 
 
 @lru_cache(maxsize=2)
@@ -151,21 +156,20 @@ def linked(x: Aligned):
     return x.text_of[group[left]], a[left] << 32 | b[right], times_a[left] * times_b[right]
 
 
-def group_texts(x: Aligned) -> list[str]:
+def group_texts(x: Aligned, tokens: Pair) -> list[str]:
     """By text, `a1,a2|b1;a3|b2`: the ids of each group."""
     import numpy as np
 
     groups = len(x.text_of)
     n_a, n_b = np.bincount(x.group_a, minlength=groups), np.bincount(x.group_b, minlength=groups)
-    ids, ends = np.zeros(len(x.a) + len(x.b), np.int64), np.full(len(x.a) + len(x.b), ",", object)
-    at_a, at_b = np.arange(len(x.a)) + (np.cumsum(n_b) - n_b)[x.group_a], np.arange(len(x.b)) + np.cumsum(n_a)[x.group_b]
-    ids[at_a], ids[at_b] = x.a, x.b
-    last = np.cumsum(n_a + n_b)
-    ends[last - n_b - 1], ends[last - 1] = "|", ";"
-    texts, begin = [s + e for s, e in zip(map(str, ids.tolist()), ends.tolist())], 0
-    out = []
+    last_a, last_b = np.zeros(len(x.a), np.int64), np.zeros(len(x.b), np.int64)
+    last_a[np.cumsum(n_a) - 1] = last_b[np.cumsum(n_b) - 1] = 1
+    said = np.zeros(len(x.a) + len(x.b), np.int64)
+    said[np.arange(len(x.a)) + (np.cumsum(n_b) - n_b)[x.group_a]] = 2 * x.a + last_a
+    said[np.arange(len(x.b)) + np.cumsum(n_a)[x.group_b]] = 2 * x.b + last_b + len(tokens.of_a)
+    words, begin, out = tokens.of_a + tokens.of_b, 0, []
     for n in (x.n_a + x.n_b).tolist():
-        out.append("".join(texts[begin : begin + n])[:-1])
+        out.append("".join(map(words.__getitem__, said[begin : begin + n].tolist()))[:-1])
         begin += n
     return out
 
@@ -222,7 +226,7 @@ def _blocks(docs: DataFrame, path_a: str, path_b: str, id_col: str, text_col: st
                 text, place = keys // max(len(known), 1), keys % max(len(known), 1)
                 links = np.zeros(n, np.int64)
                 np.add.at(links, text, total)
-                sha = [hashlib.sha256(g.encode()).hexdigest() if g else "" for g in group_texts(x)]
+                sha = [hashlib.sha256(g.encode()).hexdigest() if g else "" for g in group_texts(x, tokens)]
                 edges = np.searchsorted(text, np.arange(n + 1)).astype(np.int32)
                 lists = lambda values: pa.ListArray.from_arrays(pa.array(edges), values)
                 held = np.bincount(place, minlength=len(known))
@@ -259,8 +263,6 @@ def linked_counts(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_
         import numpy as np
         import pyarrow as pa
 
-        from quillmask.llm.words import sums
-
         n, best = np.zeros(looked.num_rows, np.int64), np.zeros(looked.num_rows, np.int64)
         place = looked.column("place").to_numpy()
         n[place], best[place] = looked.column("n").to_numpy(), looked.column("best").to_numpy()

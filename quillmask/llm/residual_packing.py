@@ -27,14 +27,15 @@ from pyspark.sql import functions as F
 
 from quillmask.llm import bpe
 from quillmask.llm.common import mark, tidy, written
+from quillmask.llm.words import LETTERS, MARKS
 
 CAPACITY, END_ID, SLACK = 4096, 1, 8
 #: pieces that are packed at once in a partition; bins that are packed at once in a group
 BLOCK, GROUP = 200_000, 100_000
 #: rounds end when they leave more than this share of the bins
 GAIN = 0.99
-#: Python functions get so many texts at once, and keep the ids of so many words
-ROWS, WORDS = 1_000, 400_000
+#: Python functions get so many texts at once
+ROWS = 1_000
 
 
 def best_fit(sizes, capacity: int = CAPACITY):
@@ -63,8 +64,7 @@ def best_fit(sizes, capacity: int = CAPACITY):
     return where, offset, np.array(fill, np.int64)
 
 
-#: a mark after a letter is a pre-token's start in every such tokenizer; İ is none of these letters, since its lower case ends in a mark
-_MARK = re.compile("[.,!?;:#*&%](?<=[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f].)")
+_MARK = re.compile(f"[{MARKS}](?<=[{LETTERS}].)")
 
 
 @lru_cache(maxsize=2)
@@ -73,7 +73,7 @@ def _words(path: str):
     from quillmask.llm.words import Words, code, tokenizer
 
     own = tokenizer(path)
-    return Words(lambda words: [code(e.ids) for e in own.encode_batch_fast(words, add_special_tokens=False)], WORDS)
+    return Words(lambda words: [code(e.ids) for e in own.encode_batch_fast(words, add_special_tokens=False)])
 
 
 def _drops_space(path: str) -> bool:
