@@ -131,5 +131,5 @@ TYPES = ("EMAIL", "PHONE", "IBAN", "CREDIT_CARD", "JWT", "NAME", "SECRET", "PRIV
 # Event streams: end marker, limits of a stream's document, types without text of the user's.
 DONE = "[DONE]"
 MOST_NODES, MOST_TEXT, MOST_PATH, MOST_SEGMENT, MOST_DEPTH = 10_000, 1 << 20, 512, 256, 32
-SILENT = ("title_generation", "message_marker", "server_ste_metadata")
+SILENT = ("delta_encoding", "resume_conversation_token", "message_marker")
 FRAME, STALL_SECONDS, IDLE_MINUTES, EVENT_TYPE = 256 * 1024, 30, 30, 128

@@ -125,11 +125,8 @@ def sse_fields(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", f["event"].alias("event"), f["data"].alias("data"), f["id"].alias("id"), F.coalesce(f["retry"], F.lit(-1)).alias("retry"), F.array_join(f["comments"], "|").alias("comments"))
 
 
-@query("sse_rewrite", """
-WITH s AS (SELECT conv_id, string_agg('event: t' || chr(10) || 'data: hi user' || (turn % 2 + 1) || '@example.org and <<EMAIL_9>>' || chr(10) || chr(10), '' ORDER BY turn) AS body, count(*) AS n FROM conversations GROUP BY conv_id)
-SELECT conv_id AS stream_id, body || 'data: tail <<EMAIL_1>>' AS body, n AS restored FROM s""")
-def sse_rewrite(spark, sf_dir):
-    """Streams in chunks of eleven characters, so that tokens are split; what follows the last frame is not touched."""
+def _token_chunks(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """(stream_id, seq, chunk) of eleven characters each, so that tokens are split; (stream_id, token, value)."""
     frame = F.concat(F.lit("event: t\r\ndata:   hi <<EMAIL_"), (F.col("turn") % 2 + 1).cast("string"), F.lit(">> and <<EMAIL_9>>\r\n\r\n"))
     text = _chats(spark, sf_dir).groupBy(F.col("conv_id").alias("stream_id")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", frame.alias("f")))), lambda x: x["f"]), "").alias("t"))
     text = text.withColumn("t", F.concat("t", F.lit("data: tail <<EMAIL_1>>")))
@@ -137,7 +134,15 @@ def sse_rewrite(spark, sf_dir):
     chunks = text.select("stream_id", F.posexplode(cut).alias("seq", "chunk"))
     known = F.explode(F.array(*(F.struct(F.lit(f"<<EMAIL_{k}>>").alias("token"), F.lit(f"user{k}@example.org").alias("value")) for k in (1, 2)))).alias("e")
     mapping = text.select("stream_id", known).select("stream_id", "e.*")
-    return sse.rewrite_streams(chunks, mapping)
+    return chunks, mapping
+
+
+@query("sse_rewrite", """
+WITH s AS (SELECT conv_id, string_agg('event: t' || chr(10) || 'data: hi user' || (turn % 2 + 1) || '@example.org and <<EMAIL_9>>' || chr(10) || chr(10), '' ORDER BY turn) AS body, count(*) AS n FROM conversations GROUP BY conv_id)
+SELECT conv_id AS stream_id, body || 'data: tail <<EMAIL_1>>' AS body, n AS restored FROM s""")
+def sse_rewrite(spark, sf_dir):
+    """Streams in chunks of eleven characters; what follows the last frame is not touched."""
+    return sse.rewrite_streams(*_token_chunks(spark, sf_dir))
 
 
 @query("stream_until_done", "SELECT conv_id AS stream_id, count(*) AS frames, count(*)::BIGINT AS entity_count, sum(strlen('mail user' || turn || '@example.org'))::BIGINT AS bytes FROM conversations WHERE turn < 3 GROUP BY conv_id")
@@ -149,21 +154,30 @@ def stream_until_done(spark, sf_dir):
 
 
 @query("patch_events", """
-WITH e AS (SELECT conv_id, turn, CASE turn % 7 WHEN 0 THEN 'a' || turn WHEN 1 THEN 'p' || turn WHEN 2 THEN 'r' || turn WHEN 3 THEN 'x' || turn || 'y' WHEN 4 THEN 'in' || turn || 'ok' WHEN 5 THEN '' ELSE 'raw ' || turn END AS t FROM conversations)
+WITH e AS (SELECT conv_id, turn, CASE CASE WHEN turn = 0 THEN 0 ELSE 1 + (conv_id + turn) % 12 END WHEN 0 THEN 'a' || turn WHEN 1 THEN 'p' || turn WHEN 2 THEN 'r' || turn WHEN 3 THEN 'x' || turn || 'y' WHEN 4 THEN 'in' || turn || ' ok' WHEN 6 THEN 'raw ' || turn || ' more'
+  WHEN 7 THEN 'of ' || turn WHEN 8 THEN '/message/content/parts/0 v' || turn WHEN 9 THEN 'd' || turn ELSE '' END AS t FROM conversations)
 SELECT conv_id AS stream_id, string_agg(t, '/' ORDER BY turn) AS text FROM e GROUP BY conv_id""")
 def patch_events(spark, sf_dir):
-    """Operations add, append, replace and batches, input messages, silent types and plain events."""
-    t, path = F.col("turn").cast("string"), '"p":"/message/content/parts/0"'
-    bodies = F.array(
-        F.concat(F.lit(f'{{"o":"add",{path},"v":"a'), t, F.lit('"}')),
-        F.concat(F.lit(f'{{"o":"append",{path},"v":"p'), t, F.lit('"}')),
-        F.concat(F.lit(f'{{"o":"replace",{path},"v":"r'), t, F.lit('"}')),
-        F.concat(F.lit(f'{{"o":"patch","ops":[{{"o":"append",{path},"v":"x'), t, F.lit(f'"}},{{"o":"add","p":"/message/status","v":"no"}},{{"o":"append",{path},"v":"y"}},{{"o":"move",{path},"v":"no"}}]}}')),
-        F.concat(F.lit('{"type":"input_message","input_message":{"content":{"parts":["in'), t, F.lit('",3,"ok"]}}}')),
-        F.lit('{"type":"title_generation","title":"secret"}'),
-        F.concat(F.lit('{"kind":{"z":["raw '), t, F.lit('"]},"n":1}')),
-    )
-    events = _chats(spark, sf_dir).select(F.col("conv_id").alias("stream_id"), F.col("turn").alias("frame_no"), F.lit("delta").alias("event"), F.get(bodies, F.col("turn").cast("int") % 7).alias("data"))
+    """Operations, batches, deeper paths, input messages whose frame says so, silent types, plain events, and what brings nothing."""
+    t, at = F.col("turn").cast("string"), '"p":"/message/content/parts/'
+    cases = (
+        ("delta", '{"o":"add",' + at + '0","v":"a@"}'),
+        ("delta", '{"o":"append",' + at + '0","v":"p@"}'),
+        ("", '{"o":"replace",' + at + '0","v":"r@"}'),
+        ("delta", '{"o":"patch","ops":[{"o":"append",' + at + '0","v":"x@"},{"o":"add","p":"/message/status","v":"no"},{"o":"append",' + at + '0","v":"y"},{"o":"move",' + at + '0","v":"no"}]}'),
+        ("input_message", '{"type":"message_marker","input_message":{"content":{"parts":["in@",3,"ok"]}}}'),
+        ("", '{"type":"message_marker","marker":"no"}'),
+        ("", '{"kind":{"z":["raw @"]},"n":1,"y":"more"}'),
+        ("title_generation", '{"title":"of @"}'),
+        ("", '{' + at + '0","v":"v@"}'),
+        ("delta", '{"o":"patch","ops":[{"o":"add",' + at + '1","v":{"text":"m"}},{"o":"add",' + at + '1/text","v":"d@"}]}'),
+        ("delta_encoding", '{"v":"no"}'),
+        ("", '["no"]'),
+        ("delta", '{"o":"move",' + at + '0","v":"no"}'),
+    )
+    case = F.when(F.col("turn") == 0, 0).otherwise(1 + (F.col("conv_id") + F.col("turn")) % 12).cast("int")
+    pick = lambda k: F.get(F.array(*(F.lit(c[k]) for c in cases)), case)
+    events = _chats(spark, sf_dir).select(F.col("conv_id").alias("stream_id"), F.col("turn").alias("frame_no"), pick(0).alias("event"), F.replace(pick(1), F.lit("@"), t).alias("data"))
     folded = sse.patch_text(events).groupBy("stream_id").agg(F.sort_array(F.collect_list(F.struct("frame_no", "text"))).alias("l"))
     return folded.select("stream_id", F.array_join(F.transform("l", lambda x: x["text"]), "/").alias("text"))
 

@@ -178,10 +178,13 @@ def token_assign(spark, sf_dir):
     return tokens.tokenize(_chats(spark, sf_dir), ["conv_id"], ["turn"])[1].select("conv_id", "value", "n", "token")
 
 
-@query("tokenize_conversations", """
+SQL_OF_TOKENS = """
 WITH v AS (SELECT conv_id, turn, 1 AS pos, 'user' || (turn % 3) || '@example.org' AS value FROM conversations UNION ALL SELECT conv_id, turn, 2, 'user' || (conv_id % 2) || '@example.org' FROM conversations),
 n AS (SELECT conv_id, value, '<<EMAIL_' || row_number() OVER (PARTITION BY conv_id ORDER BY min(turn * 10 + pos)) || '>>' AS token FROM v GROUP BY conv_id, value)
-SELECT c.conv_id, c.turn, md5(coalesce(text, '') || ' mail ' || a.token || ' or ' || b.token) AS tokenized FROM conversations c JOIN n a ON a.conv_id = c.conv_id AND a.value = 'user' || (turn % 3) || '@example.org' JOIN n b ON b.conv_id = c.conv_id AND b.value = 'user' || (c.conv_id % 2) || '@example.org'""")
+SELECT c.conv_id, c.turn, md5(coalesce(text, '') || ' mail ' || a.token || ' or ' || b.token) AS tokenized FROM conversations c JOIN n a ON a.conv_id = c.conv_id AND a.value = 'user' || (turn % 3) || '@example.org' JOIN n b ON b.conv_id = c.conv_id AND b.value = 'user' || (c.conv_id % 2) || '@example.org'"""
+
+
+@query("tokenize_conversations", SQL_OF_TOKENS)
 def tokenize_conversations(spark, sf_dir):
     return tokens.tokenize(_chats(spark, sf_dir), ["conv_id"], ["turn"])[0].select("conv_id", "turn", F.md5("tokenized").alias("tokenized"))
 
@@ -368,4 +371,4 @@ def events_sessionized(spark, sf_dir):
     return grouped.select("user_id", "first_ts", "last_ts", "n")
 
 
-from quillmask.plans import flows, planted  # noqa: E402,F401  (they register more queries)
+from quillmask.plans import flows, live, planted  # noqa: E402,F401  (they register more queries)

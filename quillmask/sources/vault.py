@@ -1,7 +1,8 @@
 """The token vault: encrypted values by scope, with listing, reading, purging and time to live.
 
 Tables are plain data: entries (provider, conversation_id, token, type, value binary, created_at).  Values are
-AES-256-GCM with a random nonce in front.  Keys come as arguments and are never written.
+AES-256-GCM with a random nonce in front.  Keys come as arguments and are never written.  `store` keeps entries in files
+that can be written and swept at once.
 """
 
 from __future__ import annotations
@@ -113,36 +114,6 @@ def put(store: DataFrame, meta: DataFrame, mapping: DataFrame, key: bytes, creat
     return upsert(store, new), merge_metadata(meta, new)
 
 
-def append(batch: DataFrame, path: str, number: int) -> None:
-    """Writes a batch of entries beside earlier ones; the same batch written again replaces itself."""
-    batch.write.mode("overwrite").partitionBy("provider").parquet(f"{path}/batch={number}")
-
-
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """Entries of all appended batches, a scope's token with its newest value (later batches win ties)."""
-    every = spark.read.option("basePath", path).parquet(f"{path}/batch=*")
-    newest = F.max_by(F.struct("type", "value", "created_at"), F.struct("created_at", "batch")).alias("_e")
-    return every.groupBy(*SCOPE, "token").agg(newest).select(*SCOPE, "token", "_e.*")
-
-
-def sweep(spark: SparkSession, path: str, now: Column, ttl_hours: int, number: int) -> int:
-    """Rewrites appended batches as one without expired conversations, numbered after them; returns how many went.
-
-    The new batch is written before the old ones are dropped, so a sweep that is cut short loses nothing.
-    """
-    store = read(spark, path)
-    meta = metadata(store)
-    gone = meta.where(expired(F.col("created_at"), now, ttl_hours)).count()
-    append(purge(store, meta, now, ttl_hours), path, number)
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    for found in files.listStatus(folder):
-        name = found.getPath().getName()
-        if name.startswith("batch=") and name != f"batch={number}":
-            files.delete(found.getPath(), True)
-    return gone
-
-
 def write(store: DataFrame, path: str) -> None:
     """Partitioned by provider; a write replaces the partitions it holds."""
     store.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("provider").parquet(path)

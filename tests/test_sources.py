@@ -1,11 +1,12 @@
 import datetime
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from quillmask.plans import policy
-from quillmask.sources import extract, sse, vault
+from quillmask.sources import extract, sse, store, vault
 from quillmask.streaming.streams import hold_back
 
 
@@ -28,15 +29,56 @@ def test_frames(spark):
     assert [(r.frame_no, r.event, r.data) for r in got] == [(1, "x", "one"), (2, "", "two\nthree")]
 
 
+PART = "/message/content/parts/0"
+
+
 def test_document_limits():
     d = sse.Document()
-    assert d.apply({"o": "add", "p": "/message/content/parts/0", "v": "ab"}) == "ab"
-    assert d.apply({"o": "append", "p": "/message/content/parts/0", "v": "c"}) == "c"
-    assert d.root["message"]["content"]["parts"]["0"] == "abc"
-    assert d.apply({"o": "patch", "ops": [{"o": "replace", "p": "/message/content/parts/0", "v": "z"}, {"o": "add", "p": "/message/status", "v": "q"}]}) == "z"
-    assert d.apply({"o": "add", "p": "/../x", "v": "y"}) == "" and sse.parse_path("/a~1b/~0") == ["a/b", "~"] and sse.parse_path("/" + "a" * 300) is None
-    d.apply({"o": "append", "p": "/message/content/parts/0", "v": "x" * (sse.MOST_TEXT + 1)})
+    assert d.apply({"o": "add", "p": PART, "v": "ab"}) == "ab"
+    assert d.apply({"o": "append", "p": PART, "v": "c"}) == "c"
+    assert d.nodes[PART][:2] == ("text", "abc")
+    assert d.apply({"o": "patch", "ops": [{"o": "replace", "p": PART, "v": "z"}, {"o": "add", "p": "/message/status", "v": "q"}, {"o": "patch", "ops": [{"o": "add", "p": PART, "v": "no"}]}]}) == "z"
+    d.apply({"o": "append", "p": PART, "v": "x" * (sse.MOST_TEXT + 1)})
     assert d.degraded and d.apply({"o": "add", "p": "/message/content/parts/1", "v": "n"}) == ""
+    assert sse.parse_path("/a~1b/~0") == ["a/b", "~"] and sse.parse_path("") == []
+    for bad in ("/../x", "/$ref", "/a/@b", "x", "/" + "a" * 300, "/a" * 32, "/" + "é" * 200, "/a" * 300):
+        d = sse.Document()
+        assert d.apply({"o": "add", "p": bad, "v": "y"}) == "" and d.degraded, bad
+
+
+def test_replaced_text_counts_by_its_difference():
+    d = sse.Document()
+    d.apply({"o": "add", "p": PART, "v": "x"})
+    assert all(d.apply({"o": "replace", "p": PART, "v": c * 100_000}) == c * 100_000 for c in "abcdefghijklmnopqrst")
+    assert d.size == 100_000 and not d.degraded
+    assert d.apply({"o": "replace", "p": PART, "v": "é" * 600_000}) == "" and d.degraded  # limits are bytes
+
+
+def test_paths_lead_through_lists_and_below_parts():
+    d = sse.Document()
+    assert sse.event_text(d, "input_message", '{"input_message":{"content":{"parts":["a",{"text":"b"},"c"]}}}') == "a c"
+    assert d.apply({"o": "append", "p": "/message/content/parts/2", "v": "d"}) == "d" and d.nodes["/message/content/parts/2"][1] == "cd"
+    assert d.apply({"o": "add", "p": "/message/content/parts/1/text", "v": "e"}) == "e"
+    assert d.apply({"o": "add", "p": "/message/content/parts/5", "v": "far"}) == "far" and d.nodes["/message/content/parts"][2] == 6 and d.count == 4
+    assert d.apply({"o": "add", "p": "/message/content/parts/", "v": "no"}) == "" and not d.degraded
+    assert d.apply({"o": "add", "p": "/message/content", "v": {"parts": {"x": ["deep"]}}}) == "" and "/message/content/parts/2" not in d.nodes
+    assert d.apply({"o": "append", "p": "/message/content/parts/x/0", "v": "er"}) == "er" and d.nodes["/message/content/parts/x/0"][1] == "deeper"
+    for bad in ({"o": "append", "p": "/nowhere/0", "v": "x"}, {"o": "append", "p": "/message", "v": "x"}, {"o": "replace", "p": "", "v": "x"}, {"o": "add", "p": "/message/content/parts/x/-1", "v": "x"}, {"o": "add", "p": "/message/content/parts/x/0/y", "v": "x"}):
+        other = sse.Document(dict(d.nodes))
+        assert other.apply(bad) == "" and other.degraded, bad
+    many = sse.Document()
+    many.apply({"o": "add", "p": "/l", "v": []})
+    many.apply({"o": "add", "p": "/l/10001", "v": "x"})
+    assert many.degraded and sse.event_text(many, "input_message", '{"input_message":{"content":{"parts":["still"]}}}') == "still"
+
+
+def test_types_of_events():
+    said = lambda kind, body: sse.event_text(sse.Document(), kind, json.dumps(body))
+    assert [said(k, {"v": "a@example.com"}) for k in ("delta_encoding", "resume_conversation_token", "message_marker", "title_generation", "")] == ["", "", "", "a@example.com", "a@example.com"]
+    assert said("", {"p": PART, "v": "a@example.com"}) == f"{PART} a@example.com" and said("", {"o": 1, "v": "x"}) == "x"
+    assert said("", {"type": "message_marker", "v": "x"}) == "" and said("other", {"type": "message_marker", "v": "x"}) == "message_marker x"
+    assert said("input_message", {"type": "x", "input_message": {"content": {"parts": ["a", "b"]}}}) == "a b" and said("input_message", {"x": "y"}) == ""
+    assert said("", ["x"]) == said("", "x") == said("", None) == sse.event_text(sse.Document(), "", "{") == ""
 
 
 def test_stream_helpers():
@@ -69,12 +111,24 @@ def test_vault_files(spark, tmp_path):
     key, path = bytes(range(32)), str(tmp_path / "vault")
     row = lambda c, value, day: [("p", c, "<<EMAIL_1>>", "EMAIL", value, datetime.datetime(2024, 1, day))]
     sealed = lambda rows: vault.entries(spark.createDataFrame(rows, "provider string, conversation_id string, token string, type string, value string, at timestamp"), key, F.col("at"))
-    vault.append(sealed(row("a", "old", 1) + row("b", "b", 1)), path, 0)
-    vault.append(sealed(row("a", "new", 20)), path, 1)
-    vault.append(sealed(row("a", "new", 20)), path, 1)  # the same batch again
-    values = lambda: {r.conversation_id: r.v for r in vault.read(spark, path).select("conversation_id", vault.unseal(F.col("value"), key).alias("v")).collect()}
+    files = store.Store(spark, path)
+    assert files.read().count() == 0 and files.sweep(F.current_timestamp(), 168) == 0
+    assert files.add(sealed(row("a", "old", 1) + row("b", "b", 1)), "s", 0)
+    assert files.add(sealed(row("a", "new", 20)), "s", 1)
+    assert not files.add(sealed(row("a", "other", 21)), "s", 1)  # the same batch again
+    values = lambda: {r.conversation_id: r.v for r in files.read().select("conversation_id", vault.unseal(F.col("value"), key).alias("v")).collect()}
     assert values() == {"a": "new", "b": "b"}
-    assert vault.sweep(spark, path, F.expr("TIMESTAMP '2024-01-21 00:00:00'"), 168, 2) == 1 and values() == {"a": "new"}
+    meta = {r.conversation_id: r for r in files.metadata().collect()}
+    assert meta["a"].pii_count == 2 and meta["a"].created_at == datetime.datetime(2024, 1, 1) and meta["a"].updated_at == datetime.datetime(2024, 1, 20)
+    files.compact()
+    assert {r.conversation_id: r for r in files.metadata().collect()} == meta
+    # a rewritten token does not make a conversation younger
+    late = F.expr("TIMESTAMP '2024-01-21 00:00:00'")
+    assert files.conversation(key, "p", "a", late, 720).collect() == [("<<EMAIL_1>>", "EMAIL", "new")] and files.conversation(key, "p", "a", late, 168).count() == 0
+    assert files.sweep(late, 0) == 0 and files.sweep(late, 168, grace=0) == 2 and values() == {} and files.vacuum(0) == 0
+    assert files.add(sealed(row("c", "c", 20)), "s", 2) and files.add(sealed(row("d", "d", 20))) and values() == {"c": "c", "d": "d"}
+    files.remove("p", "c")
+    assert values() == {"d": "d"}
     made = vault.load_key(str(tmp_path / "key"))
     assert len(made) == 32 and vault.load_key(str(tmp_path / "key")) == made
     (tmp_path / "open").write_bytes(made)
@@ -97,68 +151,6 @@ def test_policy(spark):
     assert row.a == row.b and row.c == "é" * 256
 
 
-def test_streams_equal_batch(spark, tmp_path):
-    from quillmask.streaming import streams
-
-    src = str(tmp_path / "in")
-    rows = [("s", 0, "data: hi <<EMA"), ("s", 1, "IL_1>> and <<EMAIL_2>>\n\n"), ("s", 2, "data: x\n\n"), ("s", 3, None)]
-    spark.createDataFrame(rows, "stream_id string, seq long, text string").coalesce(1).write.parquet(src)
-    live = spark.readStream.schema("stream_id string, seq long, text string").parquet(src)
-    mapping = spark.createDataFrame([("s", "<<EMAIL_1>>", "a@example.com"), ("t", "<<EMAIL_1>>", "other@example.com"), ("t", "<<EMAIL_2>>", "no@example.com")], "stream_id string, token string, value string")
-    q = streams.rehydrate_stream(live, mapping).writeStream.format("memory").queryName("out1").outputMode("append").option("checkpointLocation", str(tmp_path / "c1")).start()
-    q.processAllAvailable()
-    q.stop()
-    assert "".join(r.text for r in spark.table("out1").orderBy("seq").collect()) == "data: hi a@example.com and <<EMAIL_2>>\n\ndata: x\n\n"
-    q = streams.frame_stream(live.withColumnRenamed("text", "chunk")).writeStream.format("memory").queryName("out2").outputMode("append").option("checkpointLocation", str(tmp_path / "c2")).start()
-    q.processAllAvailable()
-    q.stop()
-    assert [r.frame for r in spark.table("out2").orderBy("frame_no").collect()] == ["data: hi <<EMAIL_1>> and <<EMAIL_2>>", "data: x"]
-
-
-def test_streams_go_on_after_their_end(spark, tmp_path):
-    """Chunks after the end marker are left out and fail nothing; a stream without one gives up its state when idle."""
-    import time
-
-    from quillmask.streaming import streams
-
-    schema, src = "stream_id string, seq long, chunk string", str(tmp_path / "in")
-    put = lambda *rows: spark.createDataFrame(list(rows), schema).coalesce(1).write.mode("append").json(src)
-    put(("a", 0, "data: 1\n\ndata: [DONE]\n\ndata: 2\n\n"), ("b", 0, "data: x\n\nrest"))
-    live = spark.readStream.schema(schema).json(src)
-    q = streams.frame_stream(live, idle=0.05).writeStream.format("memory").queryName("ended").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).start()
-    q.processAllAvailable()
-    put(("a", 1, "data: 3\n\n"))
-    q.processAllAvailable()
-    time.sleep(4)
-    put(("c", 0, "data: c\n\n"))  # time-outs are looked at when something comes
-    q.processAllAvailable()
-    put(("b", 0, "data: again\n\n"))  # after its time-out a stream begins anew
-    q.processAllAvailable()
-    q.stop()
-    got = {(r.stream_id, r.frame) for r in spark.table("ended").collect()}
-    assert {("a", "data: 1"), ("a", "data: [DONE]"), ("b", "data: x"), ("b", "data: again"), ("c", "data: c")} == got
-
-
-def test_sessions_and_frame_scans(spark, tmp_path):
-    from quillmask.streaming import streams
-
-    op = lambda kind, v: json.dumps({"o": kind, "p": "/message/content/parts/0", "v": v})
-    text = f'data: {op("add", "hi")}\n\nevent: x\ndata: {op("append", " a@example.com")}\n\ndata: [DONE]\n\n'
-    src, schema = str(tmp_path / "in"), "stream_id string, seq long, chunk string"
-    spark.createDataFrame([("s", 0, text[:40]), ("s", 1, text[40:])], schema).coalesce(1).write.json(src)
-    live = spark.readStream.schema(schema).json(src)
-    chunks = spark.createDataFrame([("s", 1, "hi", False), ("s", 2, " a@example.com", False)], "stream_id string, frame_no long, text string, degraded boolean")
-    q = streams.scan_frames(live).writeStream.format("memory").queryName("scanned").outputMode("append").option("checkpointLocation", str(tmp_path / "c1")).trigger(availableNow=True).start()
-    assert q.awaitTermination(120)
-    assert [(r.frame_no, r.result) for r in spark.table("scanned").orderBy("frame_no").collect()] == [(1, "clean"), (2, "pii_found")]
-    frames = spark.createDataFrame([("s", k + 1, f) for k, f in enumerate(sse.cut_frames(text)[0])], "stream_id string, frame_no long, frame string")
-    frames.coalesce(1).write.parquet(str(tmp_path / "frames"))
-    live = spark.readStream.schema(frames.schema).parquet(str(tmp_path / "frames"))
-    q = streams.session_stream(live).writeStream.format("memory").queryName("sessions").outputMode("append").option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
-    assert q.awaitTermination(120)
-    assert sorted(spark.table("sessions").collect()) == sorted(chunks.collect())
-
-
 def test_a_session_that_fails_goes_on_raw(monkeypatch):
     session = sse.Session()
     assert session.text("", '{"o":"add","p":"/message/content/parts/0","v":"a"}') == "a" and not session.degraded
@@ -176,19 +168,51 @@ def test_rewriter_flushes_what_it_holds():
     assert rewriter.close() == "data: <<EM\n\n" and rewriter.close() == ""
 
 
-def test_persisted_streams_keep_the_newest_value(spark, tmp_path):
-    from quillmask.streaming import streams
+SEALED = "provider string, conversation_id string, token string, type string, value string, at timestamp"
+
+
+def test_what_comes_during_a_sweep_stays(spark, tmp_path):
+    """Batches that are added, and sweeps that finish, while another sweep has read but not yet committed."""
+    key, files = bytes(range(32)), store.Store(spark, str(tmp_path / "vault"))
+    sealed = lambda c, day: vault.entries(spark.createDataFrame([("p", c, "<<EMAIL_1>>", "EMAIL", c, datetime.datetime(2024, 1, day))], SEALED), key, F.col("at"))
+    files.add(sealed("old", 1), "s", 0)
+    files.add(sealed("young", 20), "s", 1)
+    snapshot = files.read()
+    events = [lambda: (files.add(sealed("during", 20), "s", 2), files.compact()), lambda: files.add(sealed("later", 20), "s", 3)]  # the first makes the sweep start again
+
+    def keep(entries):
+        events.pop(0)()
+        return entries.where("conversation_id <> 'old'")
 
-    key, schema = bytes(range(32)), "provider string, conversation_id string, token string, type string, value string, at timestamp"
-    src, out = str(tmp_path / "in"), str(tmp_path / "vault")
-    for k, value in enumerate(["one", "two"]):
-        rows = [("p", "c", "<<EMAIL_1>>", "EMAIL", value, datetime.datetime(2024, 1, 1 + k)), ("p", "c", "<<EMAIL_1>>", "EMAIL", "older", datetime.datetime(2023, 1, 1))]
-        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
-        live = vault.entries(spark.readStream.schema(schema).parquet(src), key, F.col("at"))
-        q = streams.persist_stream(live, out, str(tmp_path / "c"))
-        q.processAllAvailable()
-        q.stop()
-    assert [r.v for r in vault.read(spark, out).select(vault.unseal(F.col("value"), key).alias("v")).collect()] == ["two"]
+    files._rewrite(keep)
+    assert {r.conversation_id for r in files.read().collect()} == {"young", "during", "later"} and not events
+    assert {r.conversation_id for r in snapshot.collect()} == {"old", "young"}  # readers keep what they began with
+    assert not files.add(sealed("during", 21), "s", 2) and len(files.commits()[1]["folders"]) <= 2
+
+
+def test_two_writers_never_take_one_number(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    key, path = bytes(range(32)), str(tmp_path / "vault")
+    sealed = lambda c: vault.entries(spark.createDataFrame([("p", c, "<<EMAIL_1>>", "EMAIL", c, datetime.datetime(2024, 1, 1))], SEALED), key, F.col("at"))
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(lambda k: store.Store(spark, path).add(sealed(f"c{k}"), f"s{k % 2}", k), range(8)))
+    kept = {r.conversation_id for r in store.Store(spark, path).read().collect()}
+    assert store.Store(spark, path).commits()[0] == len(kept)
+    one, two = store.Store(spark, path)._at("commits", "x"), store.Store(spark, path)._at("commits", f"{1:012d}")
+    store.Store(spark, path)._files().create(one, False).close()
+    assert not store.Store(spark, path)._renamed(one, two)
+
+
+def test_a_conversation_reads_one_bucket(spark, tmp_path):
+    files = store.Store(spark, str(tmp_path / "vault"))
+    rows = spark.range(200).selectExpr("'p' AS provider", "concat('c', id) AS conversation_id", "'<<EMAIL_1>>' AS token", "'EMAIL' AS type", "'v' AS value", "TIMESTAMP '2024-01-01' AS at")
+    files.add(vault.entries(rows, bytes(32), F.col("at")))
+    own = files.conversation(bytes(32), "p", "c7", F.expr("TIMESTAMP '2024-01-02'"), 168)
+    assert [r.value for r in own.collect()] == ["v"]
+    plan = own._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in plan.splitlines() if "FileScan" in line]
+    assert scans and all(re.search(r"PartitionFilters: \[.*bucket.* = [0-9]+", line) for line in scans)
 
 
 def test_configuration_files(tmp_path):
