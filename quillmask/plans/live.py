@@ -15,14 +15,23 @@ from quillmask.sources import vault
 from quillmask.sources.store import Store
 from quillmask.streaming import streams
 
+NO_DATA = "spark.sql.streaming.noDataMicroBatches.enabled"
+
 
 def _fed(spark: SparkSession, rows: DataFrame, part: str, parts: int, at: str, run: Callable[[DataFrame, str], object]) -> None:
-    """Feeds the rows part by part to a stream that run(live, checkpoint) starts, each time to its end."""
+    """Feeds the rows part by part to a stream that run(live, checkpoint) starts, each time to its end.
+
+    Streams with timers would go on making micro-batches without data, and never end.
+    """
     rows.write.parquet(f"{at}/rows")
-    rows = spark.read.schema(rows.schema).parquet(f"{at}/rows")
-    for k in range(parts):
-        rows.where(f"{part} = {k}").write.mode("append").parquet(f"{at}/in")
-        run(spark.readStream.schema(rows.schema).parquet(f"{at}/in"), f"{at}/checkpoint").awaitTermination()
+    rows, before = spark.read.schema(rows.schema).parquet(f"{at}/rows"), spark.conf.get(NO_DATA)
+    spark.conf.set(NO_DATA, "false")
+    try:
+        for k in range(parts):
+            rows.where(f"{part} = {k}").write.mode("append").parquet(f"{at}/in")
+            run(spark.readStream.schema(rows.schema).parquet(f"{at}/in"), f"{at}/checkpoint").awaitTermination()
+    finally:
+        spark.conf.set(NO_DATA, before)
 
 
 def _replayed(spark: SparkSession, rows: DataFrame, part: str, parts: int, name: str, build: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -93,7 +102,7 @@ def vault_sweep_stream(spark, sf_dir):
     token = F.concat(F.lit("<<"), F.upper("event_type"), F.lit("_"), F.floor(F.col("event_id") / 4) % 5, F.lit(">>"))
     rows = table(spark, sf_dir, "events").select(
         F.lit("alpha").alias("provider"), F.col("user_id").cast("string").alias("conversation_id"), token.alias("token"), F.upper("event_type").alias("type"),
-        F.concat(F.lit("v"), F.unix_micros("ts")).alias("value"), F.col("ts").alias("created_at"), (F.col("event_id") % 4).alias("part"),
+        F.concat(F.lit("v"), F.unix_micros(F.col("ts").cast("timestamp"))).alias("value"), F.col("ts").cast("timestamp").alias("created_at"), (F.col("event_id") % 4).alias("part"),
     )
     at, runs = scratch(spark, "vault"), []
     store = Store(spark, f"{at}/store")
@@ -105,5 +114,5 @@ def vault_sweep_stream(spark, sf_dir):
         return runs[-1]
 
     _fed(spark, rows, "part", 4, at, run)
-    meta = store.metadata().select("conversation_id", "pii_count", F.array_join("pii_types", ",").alias("pii_types"), "created_at", "updated_at")
+    meta = store.metadata().select("conversation_id", "pii_count", F.array_join("pii_types", ",").alias("pii_types"), *(F.col(c).cast("timestamp_ntz").alias(c) for c in ("created_at", "updated_at")))
     return store.read().select("conversation_id", "token", vault.unseal(F.col("value"), KEY).alias("value")).join(meta, "conversation_id")

@@ -127,7 +127,8 @@ class Store:
         """Adds entries (as vault.entries gives them).  A batch of a stream that was added before adds nothing again."""
         if stream is not None and self.commits()[1]["batches"].get(stream, -1) >= batch:
             return False
-        new = entries.select(*SCOPE, "token", "type", "value", "created_at", F.col("created_at").alias("first_at"), F.lit(1).cast("long").alias("writes"), F.lit(time.time_ns()).alias("seq"))
+        at = F.col("created_at").cast("timestamp")
+        new = entries.select(*SCOPE, "token", "type", "value", at.alias("created_at"), at.alias("first_at"), F.lit(1).cast("long").alias("writes"), F.lit(time.time_ns()).alias("seq"))
         name = self._written(_merged(new))
 
         def change(now: dict) -> dict | None:
