@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quillmask.functions import fixed
+from quillmask.functions.spans import let
 
 
 def digits(text: Column) -> Column:
@@ -49,18 +50,19 @@ def entropy(text: Column, alphabet: str | None = None) -> Column:
 
     alphabet: a character class whose members alone count; one symbol then counts as 255/256 of the string.
     """
-    kept = text if alphabet is None else F.regexp_replace(text, f"[^{alphabet}]", "")
-    chars, n = F.split(kept, ""), F.length(kept)
-
-    def term(c):
-        share = F.floor(F.size(F.filter(chars, lambda x: x == c)) * 256 / n)
-        share = F.least(share, F.lit(255)) if alphabet is not None else share
-        exact = F.size(F.filter(chars, lambda x: x == c)) / n
-        return F.when(share <= 0, 0.0).otherwise(-exact * F.log2(share / 256))
-
-    total = F.aggregate(F.transform(F.array_distinct(chars), term), F.lit(0.0), lambda a, v: a + v)
-    single = F.size(F.array_distinct(chars)) == 1
-    return F.when(n == 0, 0.0).when(single & F.lit(alphabet is None), 0.0).otherwise(total)
+    def whole(kept):
+        n = F.length(kept)
+
+        def term(count):
+            share = F.floor(count * 256 / n)
+            share = F.least(share, F.lit(255)) if alphabet is not None else share
+            return F.when(share <= 0, 0.0).otherwise(-(count / n) * F.log2(share / 256))
+
+        counts = F.transform(F.array_distinct(F.split(kept, "")), lambda c: n - F.length(F.replace(kept, c, F.lit(""))))
+        total = F.aggregate(F.transform(counts, term), F.lit(0.0), lambda a, v: a + v)
+        return F.when(n == 0, 0.0).when((F.size(counts) == 1) & F.lit(alphabet is None), 0.0).otherwise(total)
+
+    return let(text if alphabet is None else F.regexp_replace(text, f"[^{alphabet}]", ""), whole)
 
 
 def jwt_score(header: Column) -> Column:

@@ -31,7 +31,12 @@ def match(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataF
 
 def hold(df: DataFrame, name: str, **columns: Column) -> DataFrame:
     """Adds a struct that is computed once a row: behind a generator the optimiser cannot copy it into lambdas."""
-    return df.withColumn(name, F.explode(F.array(F.struct(*(c.alias(k) for k, c in columns.items())))))
+    return df.withColumn(name, held(**columns))
+
+
+def held(**columns: Column) -> Column:
+    """The generator of hold."""
+    return F.explode(F.array(F.struct(*(c.alias(k) for k, c in columns.items()))))
 
 
 def let(value: Column, use) -> Column:
@@ -118,14 +123,20 @@ def _placed(parts: Column, sums: Column) -> Column:
 
 
 def locate(df: DataFrame, text: Column, patterns: dict[str, str | tuple[str, ...]], out: str, gates: dict[str, Column] | None = None) -> DataFrame:
-    """Adds a struct of array<MATCH>, one per pattern: its leftmost matches that do not overlap, in order.
+    """Adds a struct of array<MATCH>, one per pattern: its leftmost matches that do not overlap, in order."""
+    names = [free_name(df, f"_{out}{n}") for n in range(3)]
+    for name, column in locating(text, patterns, out, names, gates):
+        df = df.withColumn(name, column)
+    return df.drop(*names)
+
+
+def locating(text: Column, patterns: dict[str, str | tuple[str, ...]], out: str, names: list[str], gates: dict[str, Column] | None = None) -> list[tuple[str, Column]]:
+    """The columns that locate adds one after the other, with three free names for those on the way.
 
     Of several patterns under one name each is located by itself, one after the other; those that begin with two letters
     only in texts that hold these letters.  They are one expression, however many they are.
     """
-    gates, names = gates or {}, []
-    for n in range(3):
-        names.append(free_name(df, f"_{out}{n}"))
+    gates = gates or {}
     several = {k for k, p in patterns.items() if not isinstance(p, str)}
     each = lambda k, value, f: F.transform(value, f) if k in several else f(value)
 
@@ -142,11 +153,12 @@ def locate(df: DataFrame, text: Column, patterns: dict[str, str | tuple[str, ...
             return _placed(parts, sums)
         return F.flatten(F.transform(parts, lambda x, i: _placed(x, F.get(sums, i))))
 
-    df = hold(df, names[0], **{k: cut(k, p) for k, p in patterns.items()})
-    df = hold(df, names[1], **{k: each(k, F.col(names[0])[k], _parts) for k in patterns})
-    df = hold(df, names[2], **{k: each(k, F.col(names[1])[k], _sums) for k in patterns})
-    df = hold(df, out, **{k: placed(k) for k in patterns})
-    return df.drop(*names)
+    return [
+        (names[0], held(**{k: cut(k, p) for k, p in patterns.items()})),
+        (names[1], held(**{k: each(k, F.col(names[0])[k], _parts) for k in patterns})),
+        (names[2], held(**{k: each(k, F.col(names[1])[k], _sums) for k in patterns})),
+        (out, held(**{k: placed(k) for k in patterns})),
+    ]
 
 
 def entity(kind: str, source: str, confidence: Column, match: Column, order: int, value: Column | None = None) -> Column:
@@ -162,10 +174,6 @@ def _wins(a: Column, b: Column, rank) -> Column:
 def resolve_overlaps(entities: Column, types: tuple[str, ...]) -> Column:
     """A greedy fold in order of start (longer first): an entity that overlaps the last kept one replaces it or goes."""
     rank = lambda e: F.array_position(F.array(*map(F.lit, types)), e["type"])
-    before = lambda a, b: (
-        F.when(a["start"] != b["start"], F.when(a["start"] < b["start"], -1).otherwise(1)).when(a["end"] != b["end"], F.when(a["end"] > b["end"], -1).otherwise(1)).otherwise(a["ord"] - b["ord"])
-    )
-
     def step(a, e):
         last = a["last"]
         clear = last.isNull() | (last["end"] <= e["start"])
@@ -180,13 +188,19 @@ def resolve_overlaps(entities: Column, types: tuple[str, ...]) -> Column:
         start = F.struct(F.lit(None).cast(ENTITY).alias("last"), empty(ENTITY).alias("out"))
         return F.aggregate(_steps(every), start, block, lambda a: F.when(a["last"].isNull(), a["out"]).otherwise(F.concat(a["out"], F.array(a["last"]))))
 
-    return let(F.array_sort(entities, before), fold)
+    def in_order(every):  # by keys of numbers, as a comparison in a lambda costs more than all else
+        keys = F.array_sort(F.transform(every, lambda e, i: F.struct(e["start"].alias("start"), (-e["end"]).alias("end"), e["ord"].alias("ord"), i.alias("at"))))
+        return F.transform(keys, lambda k: F.get(every, k["at"]))
+
+    return let(let(entities, in_order), fold)
 
 
 def substitute(text: Column, spans: Column, new) -> Column:
     """Text with each span (disjoint, in order, in bytes) replaced by new(span)."""
-    raw = text.cast("binary")
-    piece = lambda lo, hi: F.substring(raw, lo + 1, hi - lo).cast("string")
-    parts = F.transform(spans, lambda s, i: F.concat(piece(F.when(i == 0, 0).otherwise(F.get(spans, i - 1)["end"]), s["start"]), new(s)))
-    tail = piece(F.coalesce(F.try_element_at(spans, F.lit(-1))["end"], F.lit(0)), F.octet_length(text))
-    return F.when(F.size(spans) > 0, F.concat(F.array_join(parts, ""), tail)).otherwise(text)
+    def put(raw):  # held, as a text is copied whole for each cast in a lambda
+        piece = lambda lo, hi: F.substring(raw, lo + 1, hi - lo).cast("string")
+        parts = F.transform(spans, lambda s, i: F.concat(piece(F.when(i == 0, 0).otherwise(F.get(spans, i - 1)["end"]), s["start"]), new(s)))
+        tail = piece(F.coalesce(F.try_element_at(spans, F.lit(-1))["end"], F.lit(0)), F.octet_length(text))
+        return F.concat(F.array_join(parts, ""), tail)
+
+    return F.when(F.size(spans) > 0, let(text.cast("binary"), put)).otherwise(text)

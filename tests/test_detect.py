@@ -70,19 +70,16 @@ MANY = {
 }
 
 
-SLOW = pytest.mark.xfail(reason="29,000 entropy candidates take about 40 s, beyond the 25 s asked for; see the README", strict=False)
-
-
-@pytest.mark.parametrize("name", [pytest.param(n, marks=SLOW) if n == "secret_entropy" else n for n in MANY])
+@pytest.mark.parametrize("name", MANY)
 def test_a_mebibyte_of_matches(spark, name):
-    """The time per recognizer does not grow with the square of its matches."""
+    """The time per recognizer does not grow with the square of its matches (the aim is 5 s; the README says what is met)."""
     n = MEBIBYTE // len(MANY[name])
     df = spark.createDataFrame([(1, MANY[name] * n)], "id int, text string")
-    run = lambda d: det.detect(d, only=(name,), limit=det.WHOLE).select(F.size("raw_entities").alias("raw"), F.size("entities").alias("kept")).first()
+    run = lambda d: det.detect(d, only=(name,), with_names=False, limit=det.WHOLE).select(F.size("raw_entities").alias("raw"), F.size("entities").alias("kept")).first()
     run(spark.createDataFrame([(1, MANY[name] * 9)], "id int, text string"))  # compiled
     began = time.time()
     row = run(df)
-    assert row.raw >= n and row.kept >= n and time.time() - began < 25, (row, time.time() - began)
+    assert row.raw >= n and row.kept >= n and time.time() - began < 15, (row, time.time() - began)
 
 
 def plain_rows(entities):
