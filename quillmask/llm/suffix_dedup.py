@@ -15,7 +15,8 @@ A byte goes if a string of `length` bytes covers it that also starts in a docume
    share `length` bytes or more, and runs of them are the classes of equal windows.
 5. Blocks get the ranges to remove and make the results.
 
-Exact: hashes only choose anchors and deal work; fragments are equal where their bytes are.  A block has a row for each
+Fragments are equal where their bytes are; rolling hashes only choose anchors and deal work.  Whole texts are equal where their
+SHA-256 is.  A block has a row for each
 bucket that its anchors occur in, so rows grow with blocks times buckets until there are fewer anchors.  Null texts are empty.
 Rows with one id are one document's for "smaller id", but have a row each.  Rows with a null id keep their text.  Extra
 columns are not looked at; an empty table gives an empty result.
@@ -34,7 +35,8 @@ from quillmask.llm.common import written
 
 LENGTH, GRAM, HOT = 50, 24, 512
 BLOCK_BYTES = 1_500_000
-_LOW = (1 << 28) - 1
+#: places in a block have so many bits beside a hash
+_LOW = (1 << 34) - 1
 #: bytes that are searched at once
 SEARCH = 600_000
 
@@ -113,12 +115,12 @@ def _without(docs, copies):
     known = {x for part in copies for x in part}
     if not known:
         return docs, docs.iloc[:0]
-    again = [(int(i), hashlib.md5(t).hexdigest()) in known for i, t in zip(docs.id, docs.text)]
+    again = [(int(i), hashlib.sha256(t).digest()) in known for i, t in zip(docs.id, docs.text)]
     return docs[[not a for a in again]], docs[again]
 
 
 def _named(copies):
-    return [[(int(c["id"]), c["key"]) for c in part] for part in copies if part is not None]
+    return [[(int(c["id"]), bytes(c["key"])) for c in part] for part in copies if part is not None]
 
 
 def _short(anchor):
@@ -164,7 +166,6 @@ def _shared(pdf, hot: int):
 
     blocks, sizes = pdf.block.to_numpy(), np.array([len(c) for c in pdf.counts])
     hashes, counts = np.frombuffer(b"".join(pdf.hashes), np.uint32), np.frombuffer(b"".join(pdf.counts), np.uint8)
-    origin = np.repeat(np.arange(len(blocks)), sizes)
     order = np.argsort(hashes, kind="stable")
     at = np.flatnonzero(np.concatenate(([True], hashes[order][1:] != hashes[order][:-1])))
     runs = np.diff(np.append(at, len(order)))
@@ -172,9 +173,9 @@ def _shared(pdf, hot: int):
     many = np.add.reduceat((counts[order] & 127).astype(np.int64), at) > hot
     mark = np.empty(len(order), np.uint8)
     mark[order] = np.repeat(good * (1 + many), runs)
-    out = []
+    out, edges = [], np.concatenate(([0], np.cumsum(sizes)))
     for k in range(len(blocks)):
-        own = (origin == k) if len(blocks) < 2 else slice(int(sizes[:k].sum()), int(sizes[: k + 1].sum()))
+        own = slice(int(edges[k]), int(edges[k + 1]))
         chosen = mark[own] > 0
         if chosen.any():
             out.append((blocks[k], pdf.bucket.iloc[0], hashes[own][chosen].tobytes(), mark[own][chosen].tobytes()))
@@ -408,7 +409,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     blocks = max(8, -(-total // block_bytes))
     buckets, anchor_buckets = max(8, blocks // 4), max(8, blocks // 16)
     rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("long"))
-    keyed = rows.where("id IS NOT NULL").select("block", "id", F.md5("text").alias("key"))
+    keyed = rows.where("id IS NOT NULL").select("block", "id", F.unhex(F.sha2("text", 256)).alias("key"))
     lowest = written(keyed.groupBy("key").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "low"), "lowest")
     again = keyed.join(lowest, "key").where("id <> low").select("block", F.struct("id", "key").alias("c")).distinct()
     copies = written(again.groupBy("block").agg(F.collect_list("c").alias("gone")), "copies")
