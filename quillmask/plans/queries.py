@@ -346,7 +346,8 @@ def sse_split_frames(spark, sf_dir):
 
 @query("patch_text", "SELECT conv_id AS stream_id, string_agg('t' || turn, '' ORDER BY turn) AS text, count(*) AS events FROM conversations GROUP BY conv_id")
 def patch_text(spark, sf_dir):
-    op = F.to_json(F.struct(F.lit("append").alias("o"), F.lit("/message/content/parts/0").alias("p"), F.concat(F.lit("t"), F.col("turn").cast("string")).alias("v")))
+    kind = F.when(F.col("turn") == 0, "add").otherwise("append")  # nothing is appended to what is not there
+    op = F.to_json(F.struct(kind.alias("o"), F.lit("/message/content/parts/0").alias("p"), F.concat(F.lit("t"), F.col("turn").cast("string")).alias("v")))
     events = _t(spark, sf_dir, "conversations").select(F.col("conv_id").alias("stream_id"), F.col("turn").alias("frame_no"), F.lit("delta").alias("event"), op.alias("data"))
     folded = sse.patch_text(events).groupBy("stream_id").agg(F.sort_array(F.collect_list(F.struct("frame_no", "text"))).alias("l"))
     return folded.select("stream_id", F.array_join(F.transform("l", lambda x: x["text"]), "").alias("text"), F.size("l").cast("long").alias("events"))
