@@ -253,3 +253,11 @@ def test_align_gives_spans_overlaps_and_groups(spark, docs):
         want = [(i, j) for i, x in enumerate(a) for j, y in enumerate(b) if x.start < y.end and y.start < x.end] if len(a) * len(b) < 10**5 else None
         assert want is None or sorted(map(tuple, found[k].overlaps)) == want
         assert [([a[i].id for i in range(g.a_from, g.a_to)], [b[i].id for i in range(g.b_from, g.b_to)]) for g in found[k].groups] == (groups_by_hand(*both) if both else [])
+
+
+# ---- folds of the classifier ---------------------------------------------------------------------------------------
+def test_folds_are_those_of_crc32(spark):
+    from quillmask.llm import toxicity
+
+    rows = spark.range(-5, 500).select("id", (toxicity.fold(F.col("id")) == 0).alias("out")).collect()
+    assert all(r.out == (zlib.crc32(str(r.id).encode()) % 5 == 0) for r in rows)
