@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from quillmask.llm import bpe
 from quillmask.llm.common import mark, tidy, written
-from quillmask.llm.words import LETTERS, MARKS
+from quillmask.llm.words import LETTERS, MARKS, Known, code, flat, tokenizer
 
 CAPACITY, END_ID, SLACK = 4096, 1, 8
 #: pieces that are packed at once in a partition; bins that are packed at once in a group
@@ -65,15 +65,61 @@ def best_fit(sizes, capacity: int = CAPACITY):
 
 
 _MARK = re.compile(f"[{MARKS}](?<=[{LETTERS}].)")
+#: what a file says whose words of letters alone are lowered and go to BPE byte by byte
+_LOWERED = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+_LETTER_RUNS = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+_BY_BYTE = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False}
+_PLAIN = re.compile(f"[{LETTERS}]+")
+
+
+class _Encoder:
+    """Codes of texts: the ids of a word are looked up, and made by the library where the word is not known.
+
+    Of words of plain letters only BPE is asked for, as the other steps do no more to them than lower them: these letters
+    are composed, and a run of them is one pre-token.
+    """
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or []
+        self.lowers = (
+            (spec.get("normalizer") or {}).get("normalizers") == _LOWERED and spec["model"]["type"] == "BPE" and not spec["model"].get("dropout")
+            and len(steps) == 2 and steps[0].get("pattern", {}).get("Regex") == _LETTER_RUNS and _BY_BYTE.items() <= steps[1].items()
+        )
+        self.special = [t["content"].lower() for t in spec.get("added_tokens", [])]
+        self.lowers = self.lowers and not any(_PLAIN.fullmatch(s) for s in self.special)
+        self.own, self.stand_in = tokenizer(path), {byte: c for c, byte in bpe.byte_alphabet().items()}
+        self.bpe, self.words = self.own.model, Known(self._word)
+
+    def _word(self, word: str) -> bytes:
+        if self.lowers and _PLAIN.fullmatch(word):
+            word = word.lower()
+            if not word.isascii():
+                word = word.encode().decode("latin-1").translate(self.stand_in)
+            return code([t.id for t in self.bpe.tokenize(word)])
+        return code(self.own.encode_batch_fast([word], add_special_tokens=False)[0].ids)
+
+    def _lower(self, text: str) -> str:
+        """A to Z lowered, so that a word is known in either case; not in texts beyond Latin-1, whose marks may be composed with the letter before, nor where a special string would come of it."""
+        if not self.lowers:
+            return text
+        try:
+            low = text.encode("latin-1").lower().decode("latin-1")
+        except UnicodeEncodeError:
+            return text
+        return text if any(s in low for s in self.special) else low
+
+    def codes(self, texts: list[str]) -> list[bytes]:
+        known = self.words.__getitem__
+        cut = (_MARK.sub(r" \g<0>", self._lower(t)).replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts)
+        return [b"".join(map(known, words)) for words in cut]
 
 
 @lru_cache(maxsize=2)
-def _words(path: str):
+def _encoder(path: str) -> _Encoder:
     """Per Python worker."""
-    from quillmask.llm.words import Words, code, tokenizer
-
-    own = tokenizer(path)
-    return Words(lambda words: [code(e.ids) for e in own.encode_batch_fast(words, add_special_tokens=False)])
+    return _Encoder(path)
 
 
 def _drops_space(path: str) -> bool:
@@ -87,14 +133,7 @@ def _drops_space(path: str) -> bool:
 
 def encode(texts: list[str], path: str):
     """(all ids, number of ids by text)."""
-    import numpy as np
-
-    from quillmask.llm.words import flat, sums
-
-    cut = (_MARK.sub(r" \g<0>", t).replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts)
-    parts = [[w for w in words if w] for words in cut]
-    ids, sizes = flat(_words(path).values([w for p in parts for w in p]))
-    return ids, sums(sizes, np.fromiter(map(len, parts), np.int64, len(parts)))
+    return flat(_encoder(path).codes(texts))
 
 
 def _pieces(docs: DataFrame, path: str, id_col: str, text_col: str, capacity: int, end_id: int, slack: int, block: int) -> DataFrame:
@@ -102,12 +141,11 @@ def _pieces(docs: DataFrame, path: str, id_col: str, text_col: str, capacity: in
     schema = f"id {docs.schema[id_col].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long, bin long, offset long, fill long"
 
     def run(batches):
-        import numpy as np
         import pyarrow as pa
         from pyspark import TaskContext
 
         names = ["id", "piece", "start", "length", "ids_crc32", "bin", "offset", "fill"]
-        first, held, kind = TaskContext.get().partitionId() << 36, [], None
+        first, held, kind, last = TaskContext.get().partitionId() << 36, [], None, code([end_id])
 
         def packed():
             nonlocal first
@@ -123,13 +161,11 @@ def _pieces(docs: DataFrame, path: str, id_col: str, text_col: str, capacity: in
             kind = batch.schema.field(0).type
             keys = batch.column(0).to_pylist()
             for lo, texts in bpe.parts(batch.column(1)):
-                flat, sizes = encode(texts, path)
-                ends = np.cumsum(sizes)
-                for k, (end, n) in enumerate(zip(ends.tolist(), sizes.tolist())):
-                    ids = np.append(flat[end - n : end], np.uint32(end_id)).astype("<u4")
-                    for piece, at in enumerate(range(0, n + 1, capacity)):
-                        own = ids[at : at + capacity]
-                        held.append((keys[lo + k], piece, at, len(own), zlib.crc32(own)))
+                for k, own in enumerate(_encoder(path).codes(texts)):
+                    own += last
+                    for piece, at in enumerate(range(0, len(own) // 4, capacity)):
+                        part = own[4 * at : 4 * (at + capacity)]
+                        held.append((keys[lo + k], piece, at, len(part) // 4, zlib.crc32(part)))
                     if len(held) >= block:
                         yield from packed()
         if held:

@@ -39,6 +39,29 @@ class Words:
         return out
 
 
+class Known(dict):
+    """make: the value of a word, which is made when the word is looked up and not known.
+
+    Words are kept in two halves.  When the newer one is full it becomes the older one; of the older one before, the words
+    that were not looked up since are forgotten.
+    """
+
+    def __init__(self, make: Callable[[str], bytes], most: int = 2 * MOST):
+        super().__init__()
+        self.make, self.half, self.older = make, most // 2, {}
+
+    def __missing__(self, word: str) -> bytes:
+        value = self.older.get(word)
+        if value is None:
+            value = self.make(word)
+        if len(word) <= LONGEST:
+            if len(self) >= self.half:
+                self.older = dict(self)
+                self.clear()
+            self[word] = value
+        return value
+
+
 def code(ids: list[int]) -> bytes:
     """Little-endian 32-bit numbers."""
     out = array("I", ids)

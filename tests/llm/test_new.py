@@ -3,6 +3,8 @@
 import hashlib
 import os
 import random
+import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -11,7 +13,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from quillmask.llm import alignment, hard_negatives, queries, residual_packing
+from quillmask.llm import alignment, hard_negatives, queries, residual_packing, words
 
 DATA = "/root/testdata"
 needs_tables = pytest.mark.skipif(not os.path.isdir(f"{DATA}/sf0.001"), reason="tables are absent")
@@ -114,6 +116,60 @@ def test_words_are_encoded_as_texts():
     assert [x.tolist() for x in np.split(flat, np.cumsum(sizes)[:-1])] == word_ids(texts)
 
 
+def test_letters_are_lowered_as_the_library_does():
+    letters = [c for c in map(chr, range(0x250)) if re.fullmatch(f"[{words.LETTERS}]", c)]
+    texts = [t for c in letters for t in (c, f"x{c}Q", f"{c}\u0331{c}.", f"{c}\u0301,{c}'S")]
+    texts += ["<|ENDOFTEXT|> The<|endoftext|>THE", "H\u0331 J\u030c T\u0308", "THE the The", "\u00c9T\u00c9 \u00c9t\u00e9!", "A" * 70 + " B", "NA\u0130VE \u03a3\u03a3. \u01c5", "\u1e9e \ufb01X"]
+    flat, sizes = residual_packing.encode(texts, WORD)
+    assert [x.tolist() for x in np.split(flat, np.cumsum(sizes)[:-1])] == word_ids(texts)
+
+
+def test_other_files_are_asked_for_every_word(tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    with open(WORD, encoding="utf-8") as f:
+        spec = json.load(f)
+    spec["normalizer"] = {"type": "NFC"}
+    path = str(tmp_path / "cased.json")
+    (tmp_path / "cased.json").write_text(json.dumps(spec), encoding="utf-8")
+    texts = [*random_texts(500, 12), "The THE the. \u00c9t\u00e9 H\u0331"]
+    flat, sizes = residual_packing.encode(texts, path)
+    want = [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    assert [x.tolist() for x in np.split(flat, np.cumsum(sizes)[:-1])] == want != word_ids(texts)
+
+
+def test_words_not_seen_before_cost_less_than_the_whole_library(monkeypatch):
+    """The share of the time that words of letters alone take where none comes again."""
+    monkeypatch.setenv("TOKENIZERS_PARALLELISM", "false")
+    own, rng = words.tokenizer(WORD), random.Random(9)
+    residual_packing.encode(["a b"], WORD)
+    took = []
+    for _ in range(3):
+        new = sorted({"".join(rng.choices(["th", "on", "tion", "er", "\u00e9", "in", "X"], k=9)) for _ in range(20_000)})
+        began = time.process_time()
+        ids = [i for e in own.encode_batch_fast(new, add_special_tokens=False) for i in e.ids]
+        whole = time.process_time() - began
+        began = time.process_time()
+        flat, _ = residual_packing.encode([" ".join(new)], WORD)
+        took.append((time.process_time() - began) / whole)
+        assert flat.tolist() == ids
+    assert min(took) < 0.75
+
+
+def test_known_words_are_made_again_only_when_both_halves_lost_them():
+    made = []
+    known = words.Known(lambda w: made.append(w) or w.encode(), most=6)
+    assert [known[w] for w in "abcadbea"] == [w.encode() for w in "abcadbea"] and made == list("abcde")
+    assert len(known) <= 3 and len(known.older) <= 3
+    for w in "fghijk":
+        known[w]
+    assert known["a"] == b"a" and made.count("a") == 2
+    long = "x" * (words.LONGEST + 1)
+    assert known[long] == known[long] == long.encode() and long not in known and made.count(long) == 2
+
+
 def check_pieces(rows, ids, capacity):
     """rows: (key of ids, piece, start, length, crc, sequence, offset); every id once, sequences gapless and within capacity."""
     by_doc, by_sequence = defaultdict(list), defaultdict(list)
